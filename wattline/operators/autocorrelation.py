@@ -8,10 +8,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.columns import ratio
+from wattline.functions.columns import nan_to_null, ratio
 from wattline.plans.attach import attach
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, running
+from wattline.plans.series import look_back, recent, running
 from wattline.schema import KEYS, TS, VALUE
 from wattline.sources.tables import calendar_spine
 
@@ -41,23 +41,17 @@ def acf(
     if by == "time":
         centred = calendar_spine(known, keys=keys, ts=ts).join(centred, [*keys, ts], "left")
         scale = measure(centred, keys)
-    lags = range(1, max_lag + 1)
     paired = look_back(
-        centred, lambda w: {f"_l{k}": F.lag("_x", k).over(w) for k in lags}, max_lag, keys, ts, scale
-    )
-    sums = paired.groupBy(*keys).agg(
-        F.count("_x").alias("n"),
-        F.count("*").alias("_rows"),
-        F.sum(F.col("_x") * F.col("_x")).alias("_total"),
-        *[F.sum(F.col("_x") * F.col(f"_l{k}")).alias(f"_s{k}") for k in lags],
-    )
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("s")) for k in lags])
-    )
+        centred, lambda w: {"_recent": recent("_x", max_lag, w)}, max_lag, keys, ts, scale
+    ).select(*keys, "_x", F.posexplode("_recent").alias("lag", "_y"))
+    products = F.sum(F.col("_x") * nan_to_null("_y"))
+    sums = paired.groupBy(*keys, "lag").agg(products.alias("_s"), F.count("_x").alias("_n"))
+    # lag 0 holds the sum of squares and the number of values
+    whole = sums.filter("lag = 0").select(*keys, F.col("_s").alias("_total"), F.col("_n").alias("n"))
     return (
-        sums.select(*keys, "n", "_rows", "_total", pairs.alias("_p"))
-        .filter(F.col("_p.lag") < F.col("_rows"))
-        .select(*keys, F.col("_p.lag").alias("lag"), ratio("_p.s", "_total").alias("acf"), "n")
+        sums.filter("lag > 0")
+        .join(whole, list(keys))
+        .select(*keys, "lag", ratio(F.coalesce("_s", F.lit(0.0)), "_total").alias("acf"), "n")
     )
 
 

@@ -9,10 +9,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.columns import correlation
+from wattline.functions.columns import correlation, nan_to_null
 from wattline.plans.attach import attach
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, running, with_position
+from wattline.plans.series import look_back, recent, running, with_position
 from wattline.schema import KEYS, TS, VALUE
 
 # Mean, amplitude, period in hours and phase of the daily temperature wave.
@@ -109,23 +109,12 @@ def lag_correlation(
     value: str = VALUE,
     scale: Scale | None = None,
 ) -> DataFrame:
-    """Correlation of the load with `x` shifted by 0 ... `max_lag` - 1 rows."""
-    lags = range(1, max_lag)
+    """Correlation of the load with `x` shifted by 0 ... `max_lag` - 1 rows (below the key's length)."""
+    rows = max_lag - 1
     shifted = look_back(
-        df.select(*keys, ts, value, x),
-        lambda w: {f"_x{k}": F.lag(x, k).over(w) for k in lags},
-        max_lag - 1,
-        keys,
-        ts,
-        scale,
-    ).withColumn("_x0", F.col(x))
-    wide = shifted.groupBy(*keys).agg(
-        *[correlation(value, f"_x{k}").alias(f"_c{k}") for k in range(max_lag)]
-    )
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("corr")) for k in range(max_lag)]
-    )
-    return wide.select(*keys, F.inline(pairs))
+        df.select(*keys, ts, value, x), lambda w: {"_recent": recent(x, rows, w)}, rows, keys, ts, scale
+    ).select(*keys, value, F.posexplode("_recent").alias("lag", "_x"))
+    return shifted.groupBy(*keys, "lag").agg(correlation(value, nan_to_null("_x")).alias("corr"))
 
 
 def best_lag(corrs: DataFrame, mode: str = "min", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -155,15 +144,8 @@ def shift_covariate(
     scale = scale or measure(df, keys)
     known = attach(df, lags.select(*keys, "best_lag"), keys, scale, how="left")
     # the lag differs between keys: take it from the few candidates of the row
-    shifted = look_back(
-        known,
-        lambda w: {f"_x{k}": F.lag(x, k).over(w) for k in range(1, max_lag)},
-        max_lag - 1,
-        keys,
-        ts,
-        scale,
-    )
-    choices = F.array(F.col(x), *[F.col(f"_x{k}") for k in range(1, max_lag)])
-    return shifted.withColumn(f"{x}_shifted", F.get(choices, F.col("best_lag"))).select(
+    rows = max_lag - 1
+    shifted = look_back(known, lambda w: {"_recent": recent(x, rows, w)}, rows, keys, ts, scale)
+    return shifted.withColumn(f"{x}_shifted", nan_to_null(F.get("_recent", "best_lag"))).select(
         *df.columns, f"{x}_shifted"
     )

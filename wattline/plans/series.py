@@ -101,6 +101,16 @@ def with_position(
     return numbered.withColumn(name, F.col(name) - 1)
 
 
+def recent(column: str, rows: int, window: WindowSpec) -> Column:
+    """The value of a row and of up to `rows` rows before it, newest first, as an array of doubles.
+
+    A missing value is kept as NaN, so that an index is a number of rows.  One array is much cheaper
+    than as many `lag` columns.
+    """
+    kept = F.coalesce(F.col(column).cast("double"), F.lit(float("nan")))
+    return F.reverse(F.collect_list(kept).over(window.rowsBetween(-rows, 0)))
+
+
 def look_back(
     df: DataFrame,
     build: Callable[[WindowSpec], Mapping[str, Column]],
