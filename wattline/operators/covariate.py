@@ -70,13 +70,14 @@ def attach_covariate(
         return last.filter("_side = 1").select(*df.columns, "_last.*")
     if asof:
         moments = df.select(on).distinct()
-        # one shared series: always cut by day, only the day totals are brought together
+        # one shared series: always cut by day, only the last value of each day is brought together
         line = running(
             _beside(moments, cov, names),
             {"_last": ("last", F.col("_cov"))},
             [],
             [on, "_side"],
-            scale=Scale(1, _ENDLESS, _ENDLESS),
+            F.to_date(on),
+            Scale(1, _ENDLESS, _ENDLESS),
         )
         cov = line.filter("_side = 1").select(on, "_last.*")
     table_rows = cov.count()

@@ -4,43 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
 
 
 def _ranked_days(
-    df: DataFrame, k: int, highest: bool, name: str, keys: Sequence[str], ts: str, value: str
+    df: DataFrame, k: int, highest: bool, name: str, keys: Sequence[str], ts: str, value: str, scale: Scale | None
 ) -> DataFrame:
-    def direction(column: str):
+    def direction(column: str) -> Column:
         return F.desc(column) if highest else F.asc_nulls_last(column)
 
-    days = df.select(*keys, F.to_date(ts).alias("date"), value)
+    scale = scale or measure(df, keys)
+    days = df.select(*keys, F.to_date(ts).alias("date"), F.col(value).alias("_v"))
+    if scale.short_series:
+        levels = days.withColumn("_n", F.lit(1))
+    else:
+        # equal readings become one level first: a flat day cannot fill a rank with endless ties
+        levels = days.groupBy(*keys, "date", "_v").agg(F.count("*").alias("_n"))
     # ranks above k are dropped before the shuffle as well as after it
-    place = F.dense_rank().over(Window.partitionBy(*keys, "date").orderBy(direction(value)))
+    place = F.dense_rank().over(Window.partitionBy(*keys, "date").orderBy(direction("_v")))
     means = (
-        days.withColumn("_place", place)
+        levels.withColumn("_place", place)
         .filter(F.col("_place") <= k)
         .groupBy(*keys, "date")
-        .agg(F.avg(value).alias(name))
+        .agg((F.sum(F.col("_v") * F.col("_n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias(name))
     )
     month = Window.partitionBy(*keys).orderBy(direction(name))
     return means.withColumn("day_rank", F.rank().over(month))
 
 
 def daily_peaks(
-    df: DataFrame, k: int = 3, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
+    df: DataFrame,
+    k: int = 3,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    value: str = VALUE,
+    scale: Scale | None = None,
 ) -> DataFrame:
-    """Mean of the `k` highest power levels of each day (ties count), and the rank of the day."""
-    return _ranked_days(df, k, True, "peak_mean_kw", keys, ts, value)
+    """Mean of the readings at the `k` highest power levels of each day, and the rank of the day."""
+    return _ranked_days(df, k, True, "peak_mean_kw", keys, ts, value, scale)
 
 
 def daily_troughs(
-    df: DataFrame, k: int = 6, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
+    df: DataFrame,
+    k: int = 6,
+    keys: Sequence[str] = KEYS,
+    ts: str = TS,
+    value: str = VALUE,
+    scale: Scale | None = None,
 ) -> DataFrame:
-    """Mean of the `k` lowest power levels of each day (ties count), and the rank of the day."""
-    return _ranked_days(df, k, False, "trough_mean_kw", keys, ts, value)
+    """Mean of the readings at the `k` lowest power levels of each day, and the rank of the day."""
+    return _ranked_days(df, k, False, "trough_mean_kw", keys, ts, value, scale)
 
 
 def daily_extremes(

@@ -42,6 +42,19 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(here, before)
 
 
+def _second(ts: str) -> Column:
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+
+
+def _time_slice(df: DataFrame, ts: str, scale: Scale) -> Column:
+    """Number of the time span a row lies in: the longest key has about half a full slice in each."""
+    first, last = df.agg(F.min(_second(ts)), F.max(_second(ts))).first()
+    slices = max(1, 2 * scale.largest // scale.series_rows)
+    span = 1 if first is None else max(1, (last - first) // slices)
+    return F.floor(_second(ts) / span)
+
+
 def running(
     df: DataFrame,
     columns: Mapping[str, Running],
@@ -52,15 +65,16 @@ def running(
 ) -> DataFrame:
     """Add running sums, maxima or last known values up to and including each row.
 
-    `chunk` cuts a long key into slices that do not overlap in `order`; default is the day of the
-    first order column.  Rows with a NULL order value sort first, as their slice does.
+    `chunk` cuts a long key into slices that do not overlap in `order`.  By default the first order
+    column is a timestamp and is cut into equal spans, short enough for the longest key.  Rows with a
+    NULL order value sort first, as their slice does.
     """
     scale = scale or measure(df, keys)
     if scale.short_series:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _fold(kind, value, window) for name, (kind, value) in columns.items()})
 
-    slices = df.withColumn("_chunk", F.to_date(order[0]) if chunk is None else chunk)
+    slices = df.withColumn("_chunk", _time_slice(df, order[0], scale) if chunk is None else chunk)
     for name, (_, value) in columns.items():
         slices = slices.withColumn("_v_" + name, value)
     position = F.struct(*order)

@@ -72,15 +72,15 @@ def write_readings(
 ) -> None:
     """Readings as Parquet, partitioned by month so that period filters skip folders.
 
-    Rows are spread over (partition, day, key hash) first: files stay large, each holds few keys in
-    time order, and neither one month nor one key is written by a single task.
+    A key's month is written together and in time order.  The rebalance lets AQE merge small shuffle
+    partitions and split large ones, so file sizes are even and a key with most of the rows does not
+    end in one task.
     """
     out = df
     if "month" in partition_by and "month" not in df.columns:
         out = df.withColumn("month", F.date_format(F.to_date(ts), "yyyy-MM"))
-    day = F.to_date(ts)
-    spread = out.repartition(*partition_by, day, F.pmod(F.xxhash64(*keys), F.lit(16)))
-    spread.sortWithinPartitions(*partition_by, *keys, ts).write.mode(mode).partitionBy(
+    even = out.hint("rebalance", *[F.col(c) for c in (*partition_by, *keys)])
+    even.sortWithinPartitions(*partition_by, *keys, ts).write.mode(mode).partitionBy(
         *partition_by
     ).parquet(path)
 

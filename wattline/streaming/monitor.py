@@ -9,21 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.columns import ratio
+from wattline.operators.anomalies import MAD_FACTOR
 from wattline.schema import KEYS, TS, VALUE
 
+BROADCAST_ROWS = 200_000
+
 
 def _timed(stream: DataFrame, ts: str, watermark: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
 
 
-def _plain(column: str):
+def _plain(column: str) -> Column:
     return F.col(column).cast("timestamp_ntz")
 
 
+def _with_table(stream: DataFrame, table: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Stream joined with a static table of one row per key, broadcast only after counting it."""
+    small = table.count() <= rows
+    return stream.join(F.broadcast(table) if small else table, list(keys))
+
+
 def stream_hourly(
     stream: DataFrame,
     watermark: str = "2 hours",
@@ -91,15 +100,17 @@ def stream_zscore(
     threshold: float = 2,
     keys: Sequence[str] = KEYS,
     value: str = VALUE,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Readings far from their key's baseline (mean, stddev, median, mad), by either score.
 
-    The baseline is a static table; Spark broadcasts it only if its size allows.
+    The baseline is a static table with one row per key; store it, or each micro-batch computes it
+    again.
     """
-    scored = stream.join(baseline, list(keys)).withColumns(
+    scored = _with_table(stream, baseline, keys, broadcast_rows).withColumns(
         {
             "z_score": ratio(F.col(value) - F.col("mean"), "stddev"),
-            "z_robust": ratio(F.col(value) - F.col("median"), 1.4826 * F.col("mad")),
+            "z_robust": ratio(F.col(value) - F.col("median"), MAD_FACTOR * F.col("mad")),
         }
     )
     return scored.filter((F.abs("z_score") > threshold) | (F.abs("z_robust") > threshold))
@@ -114,12 +125,12 @@ def stream_overload_sessions(
     keys: Sequence[str] = KEYS,
     ts: str = TS,
     value: str = VALUE,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Sessions of readings above the key's limit, closed after `gap` without one."""
-    over = (
-        _timed(stream, ts, watermark)
-        .join(limits.select(*keys, limit), list(keys))
-        .filter(F.col(value) > F.col(limit))
+    timed = _timed(stream, ts, watermark)
+    over = _with_table(timed, limits.select(*keys, limit), keys, broadcast_rows).filter(
+        F.col(value) > F.col(limit)
     )
     return (
         over.groupBy(*keys, F.session_window(ts, gap).alias("_s"))
