@@ -712,8 +712,8 @@ _per_source(
 _per_source(
     "histogram",
     distribution.histogram,
-    f""", {BOUNDS}, placed AS (SELECT meter_id, CAST(coalesce(least(floor((power_kw - lo)
-        / nullif((hi - lo) / 39, 0)), 38), 0) AS BIGINT) AS bin, count(*) AS n
+    f""", {BOUNDS}, placed AS (SELECT meter_id, CAST(least(coalesce(floor((power_kw - lo)
+        / nullif((hi - lo) / 39, 0)), 0), 38) AS BIGINT) AS bin, count(*) AS n
       FROM readings JOIN bounds USING (meter_id) GROUP BY 1, 2)
       SELECT b.meter_id, g.bin, lo + g.bin * ((hi - lo) / 39) AS bin_start,
         lo + (g.bin + 1) * ((hi - lo) / 39) AS bin_end, coalesce(n, 0) AS n,

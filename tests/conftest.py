@@ -16,7 +16,7 @@ TESTDATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4")
+    session = build_session("local[8]", "tests", spark__sql__shuffle__partitions="4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -15,6 +15,7 @@ from wattline.plans.attach import attach
 from wattline.plans.percentiles import percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
+from wattline.session import stage
 
 # Consistency factor of the MAD for a normal distribution; floor for a MAD of zero.
 MAD_FACTOR = 1.4826
@@ -127,6 +128,8 @@ def instability_index(
     long = varied.select(*keys, ts, value, per_window.alias("_e")).select(
         *keys, ts, value, F.col("_e.w").alias("window_rows"), F.col("_e.cv").alias("cv")
     )
+    if not scale.short_series:
+        long = stage(long, "instability")  # the score makes several passes over it
     wider = replace(scale, keys=scale.keys * len(windows), rows=scale.rows * len(windows))
     scored = robust_z(long, None, "two", mad_floor, [*keys, "window_rows"], "cv", wider)
     return scored.select(*keys, ts, value, "window_rows", "cv", F.col("z_robust").alias("instability"))

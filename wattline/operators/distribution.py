@@ -59,10 +59,11 @@ def histogram(
     bounds = df.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n")
     )
-    place = F.least(F.floor(ratio(F.col(value) - F.col("_lo"), width)), F.lit(bins - 1))
+    cell = F.coalesce(F.floor(ratio(F.col(value) - F.col("_lo"), width)), F.lit(0))
+    place = F.least(cell, F.lit(bins - 1))
     counts = (
         attach(df.filter(F.col(value).isNotNull()), bounds, keys, scale)
-        .groupBy(*keys, F.coalesce(place, F.lit(0)).cast("int").alias("bin"))
+        .groupBy(*keys, place.cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     grid = bounds.filter("_n > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

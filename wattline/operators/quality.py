@@ -2,7 +2,7 @@
 
 The frames here are raw: one timestamp may hold any number of copies, so nothing may gather the copies
 of a timestamp in one task.  Copies are counted by partial aggregation, ranks are cut before the
-shuffle, and facts about a group are joined back with `attach`.
+shuffle, and facts about a group are joined back with `attach_to_copies`.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.columns import nan_to_null
-from wattline.plans.attach import attach
+from wattline.plans.attach import attach_to_copies
 from wattline.plans.scale import Scale, measure
 from wattline.plans.series import running, with_position
 from wattline.schema import KEYS, TS, VALUE
@@ -82,7 +82,7 @@ def duplicate_rows_join(
 ) -> DataFrame:
     """Full rows of repeated (key, timestamp) pairs; NULLs never match, as in an equality join."""
     groups, size = _repeated(df, [*keys, ts])
-    return attach(df, groups.drop("copies"), [*keys, ts], scale or size)
+    return attach_to_copies(df, groups.drop("copies"), [*keys, ts], scale or size)
 
 
 def duplicate_rows(
@@ -90,7 +90,7 @@ def duplicate_rows(
 ) -> DataFrame:
     """Full rows of repeated (key, timestamp) pairs with the number of copies; NULL equals NULL."""
     groups, size = _repeated(df, [*keys, ts])
-    return attach(df, groups, [*keys, ts], scale or size, null_safe=True)
+    return attach_to_copies(df, groups, [*keys, ts], scale or size, null_safe=True)
 
 
 def dedup(

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.plans.scale import Scale, measure
+from wattline.session import cut_lineage
 
 _PREFIX = "_right_"
+_SPREAD = 1 << 20
 
 
 def join_on(
@@ -26,39 +28,71 @@ def join_on(
     return left.join(renamed, matches, how).drop(*[_PREFIX + key for key in keys])
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], scale: Scale) -> DataFrame:
+    """Keys with more than 1 / `hot_parts` of all rows: fewer than `hot_parts`, however large `df`."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return cut_lineage(counts.filter(F.col("_n") * scale.hot_parts > scale.rows).select(*keys))
+
+
 def attach(
-    df: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    scale: Scale | None = None,
-    how: str = "inner",
-    null_safe: bool = False,
+    df: DataFrame, table: DataFrame, keys: Sequence[str], scale: Scale | None = None, how: str = "inner"
 ) -> DataFrame:
     """`df` joined with `table`, which has at most one row per key; `how` is 'inner' or 'left'.
 
     Up to `scale.broadcast_rows` keys the table is broadcast and `df` is not shuffled.  Beyond that
-    the hot keys are split off: a key is hot when it has more than 1 / `hot_parts` of all rows, so
-    there are fewer than `hot_parts` of them however large the data, and their part of the table is
-    broadcast.  The other rows go through an ordinary shuffle join in which no key is large.
+    the part of the table for hot keys is broadcast, and the other rows find theirs in a shuffle join
+    in which no key is large.  Hot rows pass through that join spread by a hash of their columns, so
+    `df` is read once.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     scale = scale or measure(df, keys)
     if scale.broadcastable:
-        return join_on(df, F.broadcast(table), keys, how, null_safe)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") * scale.hot_parts > scale.rows)
-        .select(*keys)
+        return join_on(df, F.broadcast(table), keys, how)
+    names = [c for c in table.columns if c not in keys]
+    stored = cut_lineage(table)
+    hot = hot_keys(df, keys, scale)
+    hits = stored.join(F.broadcast(hot), list(keys), "left_semi").select(
+        *keys, *[F.col(c).alias("_h_" + c) for c in names], F.lit(True).alias("_hit")
+    )
+    known = F.broadcast(hot.withColumn("_hot", F.lit(True)).join(F.broadcast(hits), list(keys), "left"))
+    keyless = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
+    settled = F.col("_hot").isNotNull() | keyless
+    salt = F.when(settled, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(_SPREAD))).otherwise(F.lit(0))
+    tail = stored.select(
+        *keys,
+        *[F.col(c).alias("_t_" + c) for c in names],
+        F.lit(0).cast("bigint").alias("_salt"),
+        F.lit(True).alias("_found"),
     )
-    hot_table = join_on(table, F.broadcast(hot), keys, "left_semi", null_safe)
-    in_hot = join_on(df, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left", null_safe)
+    joined = (
+        df.join(known, list(keys), "left")
+        .withColumn("_salt", salt.cast("bigint"))
+        .join(tail, [*keys, "_salt"], "left")
+    )
+    if how == "inner":
+        joined = joined.filter(F.col("_hit") | F.col("_found"))
+    return joined.select(
+        *df.columns, *[F.coalesce(F.col("_h_" + c), F.col("_t_" + c)).alias(c) for c in names]
+    )
+
+
+def attach_to_copies(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], scale: Scale, null_safe: bool = False
+) -> DataFrame:
+    """Inner `attach` for raw rows, which may be copies of each other in every column.
+
+    Nothing tells such copies apart, so hot rows are not shuffled at all: they are read a second time
+    and meet a broadcast.
+    """
+    if scale.broadcastable:
+        return join_on(df, F.broadcast(table), keys, "inner", null_safe)
+    stored = cut_lineage(table)
+    hot = F.broadcast(hot_keys(df, keys, scale))
+    hot_table = F.broadcast(join_on(stored, hot, keys, "left_semi", null_safe))
     order = [*df.columns, *[c for c in table.columns if c not in keys]]
-    tail = in_hot.filter(F.col("_hot").isNull()).drop("_hot")
-    head = in_hot.filter(F.col("_hot")).drop("_hot")
-    return (
-        join_on(head, F.broadcast(hot_table), keys, how, null_safe)
-        .select(*order)
-        .unionByName(join_on(tail, table, keys, how, null_safe).select(*order))
+    head = join_on(df, hot_table, keys, "inner", null_safe)
+    tail = join_on(
+        join_on(df, hot, keys, "left_anti", null_safe), stored, keys, "inner", null_safe
     )
+    return head.select(*order).unionByName(tail.select(*order))

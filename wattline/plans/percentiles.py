@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wattline.plans.attach import attach
 from wattline.plans.scale import Scale, measure
+from wattline.session import cut_lineage
 
 BINS = 65_536
 ACCURACY = 10_000
@@ -55,13 +56,13 @@ def percentiles(
         )
     per_key = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
     # a key without any value keeps its row, as the built-in aggregate does
-    return per_key.join(_narrowed(df, value, q, keys, weight, scale), list(keys), "left")
+    return cut_lineage(per_key.join(_narrowed(df, value, q, keys, weight, scale), list(keys), "left"))
 
 
 def _bin(value: Column) -> Column:
     width = F.col("_hi") - F.col("_lo")
     cell = F.floor((value - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * BINS)
-    return F.coalesce(F.least(cell, F.lit(BINS - 1)), F.lit(0))
+    return F.least(F.coalesce(cell, F.lit(0)), F.lit(BINS - 1))
 
 
 def _narrowed(
@@ -73,7 +74,8 @@ def _narrowed(
         F.col(value).cast("double").alias("_v"),
         (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_w"),
     )
-    bounds = rows.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    # the tables in between have one row per key: stored, so that no later step repeats them
+    bounds = cut_lineage(rows.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")))
     binned = attach(rows, bounds, keys, scale).withColumn("_bin", _bin(v))
     per_key = Window.partitionBy(*keys)
     counts = (
@@ -88,7 +90,7 @@ def _narrowed(
         *[F.ceil(F.lit(f) * (F.col("_n") - 1)).cast("bigint") for f in q],
     )
     before = F.col("_upto") - F.col("_c")
-    wanted = (
+    wanted = cut_lineage(
         counts.withColumn("_ranks", F.filter(ranks, lambda r: (r >= before) & (r < F.col("_upto"))))
         .filter(F.size("_ranks") > 0)
         .groupBy(*keys)

@@ -144,5 +144,5 @@ def calendar_spine(
         .withColumn(
             "_step", F.explode(F.sequence(stretch, F.least(stretch + _STRETCH - 1, F.lit(last_step))))
         )
-        .select(*keys, (F.lit(start).cast("timestamp_ntz") + F.col("_step") * F.lit(step)).alias(ts))
+        .select(*keys, (F.lit(str(start)).cast("timestamp_ntz") + F.col("_step") * F.lit(step)).alias(ts))
     )
