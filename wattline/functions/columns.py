@@ -48,10 +48,16 @@ def timestamp_from_text(c: ColumnOrName, fmt: str | None = None, strict: bool =
     return text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
 
 
-def hour_start(ts: ColumnOrName) -> Column:
-    """Timestamp cut to the hour (stays TIMESTAMP_NTZ, unlike `date_trunc`)."""
-    t = as_column(ts)
-    return F.to_date(t).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(t))
+def at_hour(day: ColumnOrName, hour: ColumnOrName) -> Column:
+    """TIMESTAMP_NTZ of a date and an hour (`date_trunc` would go through the session time zone)."""
+    return as_column(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), as_column(hour))
+
+
+def exact_sum(c: ColumnOrName, places: int = 2) -> Column:
+    """Sum in whole units of the last place, so it does not depend on the order of the rows."""
+    unit = float(10**places)
+    x = as_column(c)
+    return F.sum((F.signum(x) * F.floor(F.abs(x) * unit + 0.5)).cast("bigint")) / F.lit(unit)
 
 
 def iso_weekday(ts: ColumnOrName) -> Column:
@@ -59,9 +65,15 @@ def iso_weekday(ts: ColumnOrName) -> Column:
     return F.weekday(as_column(ts)) + 1
 
 
+def week_start(ts: ColumnOrName) -> Column:
+    """Monday of the ISO week."""
+    day = F.to_date(as_column(ts))
+    return F.date_sub(day, F.weekday(day))
+
+
 def iso_year(ts: ColumnOrName) -> Column:
     """Year the ISO week belongs to."""
-    return F.extract(F.lit("YEAROFWEEK"), as_column(ts)).cast("int")
+    return F.year(F.date_add(week_start(ts), 3))
 
 
 def rolling_week_block(ts: ColumnOrName, start: date | str) -> Column:

@@ -85,6 +85,7 @@ def forest_fit(
         maxDepth=max_depth,
         maxBins=max_bins,
         featureSubsetStrategy="all",
+        maxMemoryInMB=512,  # fewer passes over the rows at the deep levels
     )
 
     def fit_one(wanted: object) -> DataFrame:

@@ -19,6 +19,7 @@ from wattline.functions.columns import (
     ratio,
     status_label,
     tariff_label,
+    week_start,
 )
 from wattline.plans.attach import attach
 from wattline.plans.percentiles import percentile_name, percentiles
@@ -68,9 +69,13 @@ def weekly_energy(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
     """Energy per key and ISO week, with the year the week belongs to."""
-    return df.groupBy(
-        *keys, iso_year(ts).alias("iso_year"), F.weekofyear(ts).alias("iso_week")
-    ).agg(_energy(value, dt_hours))
+    weeks = df.groupBy(*keys, week_start(ts).alias("_monday")).agg(_energy(value, dt_hours))
+    return weeks.select(
+        *keys,
+        iso_year("_monday").alias("iso_year"),
+        F.weekofyear("_monday").alias("iso_week"),
+        "energy_kwh",
+    )
 
 
 def stability_summary(df: DataFrame, keys: Sequence[str] = KEYS, value: str = VALUE) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.columns import decimal_comma, hour_start, timestamp_from_text
+from wattline.functions.columns import at_hour, decimal_comma, exact_sum, timestamp_from_text
 from wattline.schema import KEYS, TS, VALUE
 
 _STRETCH = 1000
@@ -97,23 +97,26 @@ def hourly_readings(
     ts: str = "ts",
     value: str = "value",
     agg: str = "sum",
-    scale: int = 2,
+    places: int = 2,
 ) -> DataFrame:
     """One reading per key and hour from irregular events.
 
-    Sums go through DECIMAL with `scale` places, so they do not depend on the order of the events.
+    Sums are taken in units of 10 ** -`places`, so they do not depend on the order of the events.
     """
     names = [key] if isinstance(key, str) else list(key)
-    exact = F.col(value).cast(f"decimal(18,{scale})")
     totals = {
-        "sum": F.sum(exact),
+        "sum": exact_sum(value, places),
         "avg": F.avg(value),
         "min": F.min(value),
         "max": F.max(value),
     }
     renamed = [F.col(names[0]).alias(KEYS[0])] if len(names) == 1 else [F.col(n) for n in names]
-    return events.groupBy(*renamed, hour_start(ts).alias(TS)).agg(
-        totals[agg].cast("double").alias(VALUE)
+    out = [KEYS[0]] if len(names) == 1 else names
+    # grouping by two whole numbers is cheaper per row than building the timestamp first
+    return (
+        events.groupBy(*renamed, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour"))
+        .agg(totals[agg].cast("double").alias(VALUE))
+        .select(*out, at_hour("_day", "_hour").alias(TS), VALUE)
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.columns import ratio
+from wattline.functions.columns import exact_sum, ratio
 from wattline.operators.anomalies import MAD_FACTOR
 from wattline.schema import KEYS, TS, VALUE
 
@@ -44,7 +44,7 @@ def stream_hourly(
     return (
         _timed(stream, ts, watermark)
         .groupBy(*keys, F.window(ts, "1 hour").alias("_w"))
-        .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias(value))
+        .agg(exact_sum(value).alias(value))
         .select(*keys, _plain("_w.start").alias(ts), value)
     )
 
