@@ -31,6 +31,7 @@ def sf():
 
 def golden_rows():
     """A month of two meters without noise: a commercial profile and a flat one, both with spikes."""
+    # Hourly levels, weekend factor, days, hours and height of the spikes.
     rows = []
     for n in range(720):
         ts = datetime(2026, 1, 1) + timedelta(hours=n)

@@ -121,15 +121,14 @@ def instability_index(
 ) -> DataFrame:
     """Robust z of the rolling coefficient of variation: one row per reading and window."""
     scale = scale or measure(df, keys)
-    varied = rolling_cv(df.select(*keys, ts, value), windows, keys, ts, value, scale)
+    # the score below makes three passes: the windows are computed once and stored
+    varied = stage(rolling_cv(df.select(*keys, ts, value), windows, keys, ts, value, scale), "rolling")
     per_window = F.explode(
         F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"cv_{w}").alias("cv")) for w in windows])
     )
     long = varied.select(*keys, ts, value, per_window.alias("_e")).select(
         *keys, ts, value, F.col("_e.w").alias("window_rows"), F.col("_e.cv").alias("cv")
     )
-    if not scale.short_series:
-        long = stage(long, "instability")  # the score makes several passes over it
     wider = replace(scale, keys=scale.keys * len(windows), rows=scale.rows * len(windows))
     scored = robust_z(long, None, "two", mad_floor, [*keys, "window_rows"], "cv", wider)
     return scored.select(*keys, ts, value, "window_rows", "cv", F.col("z_robust").alias("instability"))

@@ -65,7 +65,7 @@ def run_reports(
     found = anomalies.anomaly_table(
         {"zscore": z, "robust_z": robust, "isolation_forest": isolated}, keys, ts, value
     )
-    index = stage(anomalies.instability_index(base, **of_series), "instability")
+    index = anomalies.instability_index(base, **of_series)
     if covariates is None:
         heated = covariate.harmonic_feature(base, keys=keys, ts=ts, scale=scale)
     else:
