@@ -1,7 +1,6 @@
 """Isolation forest: planted outliers, bounded and repeatable samples, brute-force scoring."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tests.conftest import rows_of
@@ -18,28 +17,35 @@ def test_planted_spikes_are_found(golden):
     assert 0 < len(busy) <= 0.01 * 720 + 6
 
 
-def test_samples_are_bounded_and_do_not_depend_on_the_layout(golden):
-    scale = measure(golden, ["meter_id"])
-    draw = lambda df: isolation.draw_samples(df, 20, 64, 1, ["meter_id"], "ts", "power_kw", scale)
-    sizes = draw(golden).groupBy("meter_id", "_tree").count().collect()
-    assert len(sizes) == 40 and {r["count"] for r in sizes} == {64}
-    assert rows_of(draw(golden)) == rows_of(draw(golden.repartition(7, "ts")))
+def draw(df, trees, sample):
+    return isolation.draw_pool(df, trees, sample, 1, ["meter_id"], "ts", "power_kw", measure(df, ["meter_id"]))
+
+
+def test_pool_of_a_long_key_is_a_random_part_of_it(golden):
+    assert draw(golden, 100, 256).count() == 1440
+    part = draw(golden, 4, 64)
+    sizes = [r["count"] for r in part.groupBy("meter_id").count().collect()]
+    assert all(200 < n < 320 for n in sizes)  # 256 expected of 720
+    assert rows_of(part) == rows_of(draw(golden.repartition(7, "ts"), 4, 64))
+
+
+def test_scores_do_not_depend_on_the_layout(golden):
+    score = lambda df: rows_of(isolation.isolation_scores(df, 10, 64))
+    assert score(golden) == score(golden.repartition(7, "ts"))
 
 
 def test_copies_of_one_reading_cannot_fill_a_group(make):
     df = make([("a", 0, 5)] * 900 + [("a", h, h) for h in range(1, 100)])
-    drawn = isolation.draw_samples(df, 5, 16, 1, ["meter_id"], "ts", "power_kw", measure(df, ["meter_id"]))
-    assert max(r["count"] for r in drawn.groupBy("_tree").count().collect()) <= 16
+    assert draw(df, 50, 16).count() <= 100
+    assert draw(df, 50, 256).count() == 100
 
 
 def test_steps_equal_a_walk_through_every_tree():
-    rng = np.random.default_rng(3)
-    trees = [np.sort(rng.normal(size=40).round(1)) for _ in range(7)]
-    samples = pd.DataFrame({"_tree": np.repeat(range(7), 40), "_v": np.concatenate(trees)})
-    steps = isolation.grow_steps(samples, 11)
+    values = np.random.default_rng(3).normal(size=60).round(1)
+    steps = isolation.grow_steps(values, 7, 40, np.random.default_rng(11))
     again = np.random.default_rng(11)
-    parts = [isolation._split(v, 6, again) for v in trees]
-    for x in np.concatenate([*trees[:2], [-9.0, 9.0]]):
+    parts = [isolation._split(np.sort(again.choice(values, 40, replace=False)), 6, again) for _ in range(7)]
+    for x in [*values, -9.0, 9.0]:
         walk = np.mean([paths[int(np.searchsorted(bounds, x, side="left"))] for bounds, paths in parts])
         line = steps["_path"].to_numpy()[np.flatnonzero(steps["_v"].to_numpy() < x)[-1]]
         assert line == pytest.approx(walk)

@@ -1,9 +1,10 @@
 """Isolation forest per key.
 
-Trees see small random samples, so only the samples are gathered: at most `trees * sample` values of a
-key reach Python, whatever the length of the series.  There the trees of a key are merged into one
-step function, mean path length by value.  Scoring is relational: the distinct values of a key are
-ordered together with the steps and take the last step before them.
+Trees see small random samples, so a key needs few of its rows: a pool of about `trees * sample`
+readings, drawn by hash, whatever the length of the series.  Only that pool is grouped by key.  In
+Python the trees of a key are merged into one step function, mean path length by value.  Scoring is
+relational: the distinct values of a key are ordered together with the steps and take the last step
+before them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +26,6 @@ from wattline.plans.series import running
 from wattline.schema import KEYS, TS, VALUE
 from wattline.session import cut_lineage
 
-POOL_ROWS = 50_000  # rows of a key that compete for the samples
-OVERSAMPLE = 1.5  # candidates drawn per tree, in multiples of the sample
 SLICES = 4096  # value slices of a long key while scoring
 
 
@@ -44,29 +43,20 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
 
 
-def draw_samples(
+def draw_pool(
     df: DataFrame, trees: int, sample: int, seed: int, keys: Sequence[str], ts: str, value: str, scale: Scale
 ) -> DataFrame:
-    """Rows (key, tree, value): at most `sample` values for each tree of each key."""
+    """Readings (key, ts, value) the trees draw from: all of a short key, a random part of a long one.
+
+    Copies of a reading count once; they are combined before the shuffle and cannot fill a group.
+    """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    identity = [*[F.col(k) for k in keys], F.col(ts), F.col("_v")]
-    pool = attach(rows, sizes, keys, scale).filter(
-        _uniform(*identity, F.lit(seed)) * F.col("_n") < POOL_ROWS
-    )
-    share = OVERSAMPLE * sample / F.least(F.col("_n"), F.lit(POOL_ROWS))
-    wanted = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(*identity, F.lit(seed + 1), t) < share
-    )
-    drawn = pool.withColumn("_tree", F.explode(wanted)).withColumn(
-        "_draw", F.xxhash64(*identity, F.lit(seed + 2), "_tree")
-    )
-    order = Window.partitionBy(*keys, "_tree").orderBy("_draw", ts, "_v")
-    return (
-        drawn.withColumn("_place", F.row_number().over(order))
-        .filter(F.col("_place") <= sample)
-        .select(*keys, "_tree", "_v")
-    )
+    wanted = trees * sample
+    if scale.largest > wanted:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        draw = _uniform(*[F.col(k) for k in keys], F.col(ts), F.col("_v"), F.lit(seed))
+        rows = attach(rows, sizes, keys, scale).filter(draw * F.col("_n") < wanted).drop("_n")
+    return rows.dropDuplicates([*keys, ts, "_v"])
 
 
 def _split(values: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[list, list]:
@@ -89,41 +79,42 @@ def _split(values: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[li
     return bounds, paths
 
 
-def grow_steps(samples: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Mean path length by value for the trees of one key: valid above `_v`, up to the next one."""
-    rng = np.random.default_rng(seed)
-    edges, jumps, base, trees = [], [], 0.0, 0
-    for _, values in samples.groupby("_tree", sort=True)["_v"]:
-        v = np.sort(values.to_numpy())
-        limit = int(np.ceil(np.log2(max(len(v), 2))))
-        bounds, paths = _split(v, limit, rng)
+def grow_steps(values: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> pd.DataFrame:
+    """Mean path length by value over the trees of one key: valid above `_v`, up to the next one."""
+    edges, jumps, base = [], [], 0.0
+    size = min(sample, len(values))
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    for _ in range(trees):
+        bounds, paths = _split(np.sort(rng.choice(values, size, replace=False)), limit, rng)
         edges.append(np.asarray(bounds, dtype=float))
         jumps.append(np.diff(paths))
         base += paths[0]
-        trees += 1
     at = np.concatenate(edges)
     order = np.argsort(at, kind="stable")
     level = base + np.concatenate([[0.0], np.cumsum(np.concatenate(jumps)[order])])
     return pd.DataFrame({"_v": np.concatenate([[-np.inf], at[order]]), "_path": level / trees})
 
 
-def fit_steps(samples: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Step function of every key; one group holds one key's bounded samples."""
+def fit_steps(
+    pool: DataFrame, trees: int, sample: int, seed: int, keys: Sequence[str], ts: str
+) -> DataFrame:
+    """Step function of every key; one group holds one key's pool."""
     names = list(keys)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # the draw depends on the key and on the set of values, not on the order of arrival
+        # the draw depends on the key and its readings, not on the order of arrival
         own = zlib.crc32(repr(tuple(str(part) for part in key)).encode()) ^ seed
-        steps = grow_steps(rows, own)
+        values = rows.sort_values([ts, "_v"])["_v"].to_numpy()
+        steps = grow_steps(values, trees, sample, np.random.default_rng(own))
         for name, part in zip(reversed(names), reversed(key)):
             steps.insert(0, name, part)
         return steps
 
-    fields = [samples.schema[name] for name in names]
+    fields = [pool.schema[name] for name in names]
     schema = T.StructType(
         [*fields, T.StructField("_v", T.DoubleType()), T.StructField("_path", T.DoubleType())]
     )
-    return samples.groupBy(*names).applyInPandas(fit, schema)
+    return pool.groupBy(*names).applyInPandas(fit, schema)
 
 
 def isolation_scores(
@@ -138,7 +129,8 @@ def isolation_scores(
 ) -> DataFrame:
     """Score in (0, 1) of every distinct value of a key, with its number of rows; 1 is isolated."""
     scale = scale or measure(df, keys)
-    steps = fit_steps(draw_samples(df, trees, sample, seed, keys, ts, value, scale), keys, seed)
+    pool = draw_pool(df, trees, sample, seed, keys, ts, value, scale)
+    steps = fit_steps(pool, trees, sample, seed, keys, ts)
     values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
