@@ -1180,6 +1180,20 @@ _register(
 )
 
 
+# The text operators stand apart: without their package the library and its other queries still work.
+try:
+    import corpus_pipeline
+    from wattline.llm import queries as llm_queries
+except ImportError:
+    pass
+else:
+    _QUERIES.update(llm_queries.QUERIES)
+    _SQL.update(llm_queries.SQL)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the daily load profile of every meter."""
     return queries()["daily_profile"](spark, "/root/testdata/sf0.001")
