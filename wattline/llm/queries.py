@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import token_counts
-from wattline.llm.common import documents
+from wattline.llm import decontamination, quality, token_counts
+from wattline.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,47 @@ def piece_model() -> str:
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf).select("doc_id", "text"), piece_model())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = decontamination.find_passages(docs, documents(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL["op5_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+phrase AS (SELECT DISTINCT item_id, least(len(w), 10) AS k,
+  array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS p
+  FROM i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM phrase),
+place AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS p
+  FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(s)),
+found AS (SELECT doc_id, item_id, s, k FROM place JOIN phrase USING (k, p)),
+hit AS (SELECT doc_id, count(DISTINCT s + j) AS n FROM found, unnest(range(0, k)) AS t(j) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(listed.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    held = F.col("held_out")
+    docs = documents(spark, sf).select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
+    scored = quality.score_quality(docs, documents(spark, sf, "labels"), learn=~held)
+    return scored.select("doc_id", "held_out", "score", "predicted")
