@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import decontamination, quality, token_counts
+from wattline.llm import decontamination, language, quality, token_counts, toxicity
 from wattline.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
     scored = quality.score_quality(docs, documents(spark, sf, "labels"), learn=~held)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    held = (remainder("doc_id", 4) == 2).alias("held_out")
+    docs = documents(spark, sf).select("doc_id", "text", "lang", held)
+    return language.identify(docs, learn=~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held = (remainder("doc_id", 3) == 1).alias("held_out")
+    docs = documents(spark, sf).select("doc_id", "text", held)
+    scored = toxicity.score_toxicity(docs, documents(spark, sf, "labels"), learn=~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
