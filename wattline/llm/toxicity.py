@@ -4,7 +4,8 @@ A noisy-channel model restores disguised words first.  Every character that may
 a small lattice (a leet sign as the letters it looks like, a blank between single letters as nothing, a
 letter written many times as one or two); the Viterbi path with the least cost under a letter trigram
 model, counted over all documents, is the restored text.  Words of the restored text, and their first
-letters, then go into a sparse logistic regression.
+letters, then go into a sparse logistic regression; a text is also at least as toxic as its most telling
+word alone makes it, by the lower confidence bound of that word's share of toxic texts.
 """
 
 from __future__ import annotations
@@ -167,8 +168,9 @@ def numbers(features: set[str]) -> np.ndarray:
     return np.fromiter({zlib.crc32(f.encode()) % BINS for f in features}, np.int32)
 
 
-def _telling(rows: list[np.ndarray], toxic: np.ndarray, most: int = 20_000) -> np.ndarray:
-    """Features that tell the kinds apart by their likelihood ratio, beyond what chance among all gives."""
+def _telling(rows: list[np.ndarray], toxic: np.ndarray, most: int = 20_000, z: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+    """Features that tell the kinds apart by their likelihood ratio, beyond what chance among all gives,
+    and Wilson's lower bound of the share of toxic texts among those that have them."""
     joined = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     size = np.array([len(r) for r in rows], np.int64)
     n = np.bincount(joined, minlength=BINS).astype(float)
@@ -177,7 +179,10 @@ def _telling(rows: list[np.ndarray], toxic: np.ndarray, most: int = 20_000) -> n
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(t * np.log(t / n / base)) + np.nan_to_num((n - t) * np.log((n - t) / n / (1 - base)))
     picked = np.flatnonzero((gain > 12) & (t / np.maximum(n, 1) > base))
-    return picked[np.argsort(-gain[picked], kind="stable")][:most]
+    picked = picked[np.argsort(-gain[picked], kind="stable")][:most]
+    n, p = n[picked], t[picked] / n[picked]
+    bound = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + (z / (2 * n)) ** 2)) / (1 + z * z / n)
+    return picked, bound
 
 
 def score_toxicity(
@@ -210,19 +215,19 @@ def score_toxicity(
 
     drawn = with_python(taken, {"_text": F.col("text")}, "bins array<int>", build).select("key", "mark", "bins")
     table = drawn.toArrow().sort_by("key") if count else None
-    weights: dict[int, float] = {}
+    weights: dict[int, tuple[float, float]] = {}
     bias = -50.0
     if table is not None and table.num_rows:
         toxic = np.array(table["mark"].to_pylist(), bool)
         rows = [r.values.to_numpy() for r in table["bins"]]
         if 0 < toxic.sum() < len(toxic):
-            picked = _telling(rows, toxic)
+            picked, bound = _telling(rows, toxic)
             place = np.full(BINS, -1, np.int32)
             place[picked] = np.arange(len(picked))
             at = [np.append(p[p >= 0], len(picked)) for p in (place[r] for r in rows)]  # the last one is always there
             w = ftrl.fit([(a, np.ones(len(a))) for a in at], toxic.astype(np.int64), len(picked) + 1, 2, alpha=1.0, l1=0.1, epochs=15)
             line = w[:, 1] - w[:, 0]
-            weights = {int(picked[k]): float(line[k]) for k in np.flatnonzero(line[:-1])}
+            weights = {int(b): (float(x), float(y)) for b, x, y in zip(picked, line, bound)}
             bias = float(line[-1])
 
     def judge(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -230,9 +235,9 @@ def score_toxicity(
         for t in batch.column("_text"):
             t = t.as_py()
             restored = reader().clear(t)
-            get = weights.get
-            total = bias + sum(get(int(k), 0.0) for k in numbers(terms(t, restored)))
-            scores.append(1 / (1 + np.exp(-np.clip(total, -50, 50))) if weights else 0.0)
+            found = [weights[k] for k in numbers(terms(t, restored)).tolist() if k in weights]
+            total = bias + sum(x for x, _ in found)
+            scores.append(max(1 / (1 + np.exp(-np.clip(total, -50, 50))), *(y for _, y in found), 0.0) if weights else 0.0)
             texts.append(restored)
         values = np.array(scores, float)
         return [pa.array(texts, pa.string()), pa.array(values), pa.array((values >= cut).astype(np.int32))]
