@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import decontamination, language, quality, token_counts, toxicity
+from wattline.llm import decontamination, language, quality, suffix_dedup, token_counts, toxicity
 from wattline.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,10 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text", held)
     scored = toxicity.score_toxicity(docs, documents(spark, sf, "labels"), learn=~F.col("held_out"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs, keep_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
