@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import decontamination, language, quality, suffix_dedup, token_counts, toxicity
+from wattline.llm import decontamination, embeddings, language, near_dedup, quality, suffix_dedup, token_counts, toxicity
 from wattline.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text")
     cut = suffix_dedup.remove_repeats(docs, keep_text=False)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+@_query
+def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, words=3, percent=85)
+
+
+@_query
+def op6_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = documents(spark, sf, "embeddings").select("vec_id", "embedding")
+    return embeddings.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
