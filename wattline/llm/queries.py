@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import decontamination, embeddings, language, near_dedup, quality, suffix_dedup, token_counts, toxicity
+from wattline.llm import (
+    decontamination,
+    embeddings,
+    language,
+    near_dedup,
+    quality,
+    segmentation,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    warc,
+)
 from wattline.llm.common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +118,21 @@ def op8_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op6_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     vectors = documents(spark, sf, "embeddings").select("vec_id", "embedding")
     return embeddings.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+@_query
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    both = segmentation.decode(segmentation.encode(docs, piece_model()), piece_model())
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        "ids_sha256",
+        F.col("nbest")["score"].alias("scores"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+@_query
+def op4_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.derive(documents(spark, sf, "pages"))
