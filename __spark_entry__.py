@@ -255,6 +255,39 @@ _register(
 _register("write_readings", _written, f"{READINGS} SELECT * FROM readings", "power_kw")
 _register("write_report", _reported, f"{READINGS} {DAILY}", SPREAD)
 _register("hourly_readings", _readings, f"{READINGS} SELECT * FROM readings", "power_kw")
+for _agg in ("avg", "min", "max"):
+    _register(
+        f"hourly_readings_{_agg}",
+        lambda s, d, agg=_agg: tables.hourly_readings(_events(s, d), "event_type", agg=agg),
+        f"""SELECT event_type AS meter_id, date_trunc('hour', ts) AS ts, {_agg}(value) AS power_kw
+            FROM events GROUP BY 1, 2""",
+        "power_kw",
+    )
+_register(
+    "hourly_readings_net",  # values with more than two places
+    lambda s, d: tables.hourly_readings(
+        _table(s, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount"))),
+        "l_suppkey", "l_shipdate", "net",
+    ),
+    """SELECT l_suppkey AS meter_id, date_trunc('hour', l_shipdate) AS ts,
+         CAST(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,9))) AS DOUBLE) AS power_kw
+       FROM lineitem GROUP BY 1, 2""",
+    "power_kw",
+)
+_register(
+    "zscore_with_nan",  # NaN is missing: the scores are those of the rows without it
+    lambda s, d: anomalies.zscore(
+        _readings(s, d).withColumn(
+            "power_kw", F.when(F.hour("ts") == 7, F.lit(float("nan"))).otherwise(F.col("power_kw"))
+        )
+    ),
+    f"""{READINGS}, spoiled AS (SELECT meter_id, ts, CASE WHEN hour(ts) <> 7 THEN power_kw END AS power_kw FROM readings),
+      stats AS (SELECT meter_id, quantile_cont(power_kw, 0.95) AS p95, avg(power_kw) AS mean,
+        stddev_samp(power_kw) AS stddev FROM spoiled GROUP BY 1)
+      SELECT meter_id, ts, power_kw, p95, mean, stddev, (power_kw - mean) / nullif(stddev, 0) AS z_score
+      FROM spoiled JOIN stats USING (meter_id) WHERE abs((power_kw - mean) / nullif(stddev, 0)) > 2""",
+    "power_kw p95 mean stddev z_score",
+)
 _register("hourly_readings_by_user", _user_readings, f"{USER_READINGS} SELECT * FROM readings", "power_kw")
 _register("calendar_spine", _gapped, f"{GAPPED} SELECT * FROM gapped", "power_kw")
 
@@ -791,6 +824,14 @@ _per_source(
     _acf_sql(BY_TIME) + " SELECT * FROM correlations",
     "acf",
 )
+_per_source("acf_month", lambda r: autocorrelation.acf(r, 719), _acf_sql(BY_POSITION, 719) + " SELECT * FROM correlations", "acf")
+_per_source(
+    "shift_back",
+    lambda r: rolling.shift(r, "power_kw", -3).withColumnRenamed("power_kw_lag-3", "power_kw_lead3"),
+    "SELECT *, lead(power_kw, 3) OVER (PARTITION BY meter_id ORDER BY ts) AS power_kw_lead3 FROM readings",
+    "power_kw power_kw_lead3",
+    "_by_supplier",
+)
 _per_source(
     "acf_confint",
     lambda r: autocorrelation.acf_confint(autocorrelation.acf(r)),
@@ -1019,10 +1060,15 @@ _per_source(
         'linear' AS model FROM best JOIN ({_errors_sql("outdoor_temp_shifted")}) USING (meter_id)""",
     "corr slope intercept mae rmse",
 )
-TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def _types(spark: SparkSession, sf: str) -> list[str]:
+    return sorted(r["meter_id"] for r in quality.distinct_keys(_stored(_readings)(spark, sf)).collect())
+
+
 # Spark ML forests have no SQL twin; tests/test_models.py checks them
-_register("forest_fit", lambda s, d: models.forest_fit(_heated(_stored(_readings)(s, d)), TYPES))
-_register("model_comparison", lambda s, d: models.model_comparison(_heated(_stored(_readings)(s, d)), TYPES, trees=20))
+_register("forest_fit", lambda s, d: models.forest_fit(_heated(_stored(_readings)(s, d))))
+_register("model_comparison", lambda s, d: models.model_comparison(_heated(_stored(_readings)(s, d)), _types(s, d)))
 
 # --- demand-side management -----------------------------------------------------------------------
 

@@ -42,10 +42,11 @@ def decimal_comma(c: ColumnOrName) -> Column:
 def timestamp_from_text(c: ColumnOrName, fmt: str | None = None, strict: bool = True) -> Column:
     """Timestamp without time zone; bad text raises when `strict`, otherwise gives NULL."""
     text = as_column(c)
-    if fmt is not None:
-        parsed = F.to_timestamp(text, fmt) if strict else F.try_to_timestamp(text, F.lit(fmt))
-        return parsed.cast("timestamp_ntz")
-    return text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
+    parsed = text.try_cast("timestamp_ntz") if fmt is None else F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    if not strict:
+        return parsed
+    complaint = F.raise_error(F.concat(F.lit("no timestamp: "), text.cast("string")))
+    return F.when(text.isNotNull() & parsed.isNull(), complaint.cast("timestamp_ntz")).otherwise(parsed)
 
 
 def at_hour(day: ColumnOrName, hour: ColumnOrName) -> Column:
@@ -53,11 +54,17 @@ def at_hour(day: ColumnOrName, hour: ColumnOrName) -> Column:
     return as_column(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), as_column(hour))
 
 
-def exact_sum(c: ColumnOrName, places: int = 2) -> Column:
-    """Sum in whole units of the last place, so it does not depend on the order of the rows."""
-    unit = float(10**places)
-    x = as_column(c)
-    return F.sum((F.signum(x) * F.floor(F.abs(x) * unit + 0.5)).cast("bigint")) / F.lit(unit)
+def exact_sum(c: ColumnOrName, places: int | None = None) -> Column:
+    """Sum of the numbers as they are written, so it does not depend on the order of the rows.
+
+    Numbers are added as decimals with 18 places; where one is too large for that, or the sum is, the
+    plain sum of doubles takes over.  NaN is missing.  `places` rounds the total, never a number before it.
+    """
+    x = nan_to_null(as_column(c).cast("double"))
+    number = x.try_cast("decimal(38,18)")
+    fits = F.count_if(x.isNotNull() & number.isNull()) == 0
+    total = F.coalesce(F.when(fits, F.try_sum(number).cast("double")), F.sum(x))
+    return total if places is None else F.round(total, places)
 
 
 def iso_weekday(ts: ColumnOrName) -> Column:
@@ -88,16 +95,21 @@ def day_type_label(ts: ColumnOrName, labels: tuple[str, str] = DAY_LABELS) -> Co
     return F.when(iso_weekday(ts) <= 5, F.lit(labels[0])).otherwise(F.lit(labels[1]))
 
 
+def in_hours(hour: ColumnOrName, span: tuple[int, int]) -> Column:
+    """Whether an hour lies in the span, both ends included; a span such as (22, 2) goes over midnight."""
+    h, (first, last) = as_column(hour), span
+    return h.between(first, last) if first <= last else (h >= first) | (h <= last)
+
+
 def tariff_label(
     hour: ColumnOrName, bands: Sequence[tuple[str, int, int]] = TARIFF_BANDS, other: str = "out"
 ) -> Column:
     """Label of the first band whose hours (both ends included) hold `hour`."""
-    h = as_column(hour)
     (label, first, last), *rest = bands
     cases = reduce(
-        lambda case, band: case.when(h.between(band[1], band[2]), F.lit(band[0])),
+        lambda case, band: case.when(in_hours(hour, band[1:]), F.lit(band[0])),
         rest,
-        F.when(h.between(first, last), F.lit(label)),
+        F.when(in_hours(hour, (first, last)), F.lit(label)),
     )
     return cases.otherwise(F.lit(other))
 

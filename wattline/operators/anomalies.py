@@ -12,6 +12,7 @@ from wattline.functions.columns import ratio
 from wattline.operators.profiles import daily_profile
 from wattline.operators.rolling import rolling_cv
 from wattline.plans.attach import attach
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
@@ -30,6 +31,7 @@ def _beyond(z: str, threshold: float | None, side: str) -> Column:
     return (F.abs(z) if side == "two" else F.col(z)) > threshold
 
 
+@nan_is_missing
 def zscore(
     df: DataFrame,
     threshold: float | None = 2,
@@ -54,6 +56,7 @@ def zscore(
     return scored.filter(_beyond("z_score", threshold, side))
 
 
+@nan_is_missing
 def robust_z(
     df: DataFrame,
     threshold: float | None = 2,
@@ -84,6 +87,7 @@ def _daily_means(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> Dat
     return daily_profile(df, keys, ts, value).select(*keys, "date", "mean_kw")
 
 
+@nan_is_missing
 def zscore_daily(
     df: DataFrame,
     threshold: float | None = 2,
@@ -97,6 +101,7 @@ def zscore_daily(
     return zscore(_daily_means(df, keys, ts, value), threshold, ddof, side, keys, "mean_kw")
 
 
+@nan_is_missing
 def robust_z_daily(
     df: DataFrame,
     threshold: float | None = 2,
@@ -110,6 +115,7 @@ def robust_z_daily(
     return robust_z(_daily_means(df, keys, ts, value), threshold, side, mad_floor, keys, "mean_kw")
 
 
+@nan_is_missing
 def instability_index(
     df: DataFrame,
     windows: Sequence[int] = (3, 6, 9, 12),

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.columns import nan_to_null, ratio
-from wattline.plans.attach import attach
+from wattline.plans.attach import attach, join_on
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, recent, running
+from wattline.plans.series import look_back, recent, running, time_pairs
 from wattline.schema import KEYS, TS, VALUE
-from wattline.sources.tables import calendar_spine
 
+#: Up to so many lags, sums over the places of an array are one aggregation.
+ARRAY_LAGS = 100
 
+
+@nan_is_missing
 def acf(
     df: DataFrame,
     max_lag: int = 96,
@@ -27,8 +31,9 @@ def acf(
 ) -> DataFrame:
     """Autocorrelation at lags 1 ... `max_lag` (below the length of the series), with that length.
 
-    The denominator runs over all values.  `by='position'` counts rows; `by='time'` counts hours, so
-    a gap contributes no pairs instead of shortening the lag.
+    The denominator runs over all values.  `by='position'` counts rows; `by='time'` counts hours between
+    readings, whatever minute they lie on, so a gap contributes no pairs instead of shortening the lag; a
+    lag without any pair gives no row.
     """
     if by not in ("position", "time"):
         raise ValueError("by must be 'position' or 'time'")
@@ -39,20 +44,27 @@ def acf(
         *keys, ts, (F.col(value) - F.col("_mean")).alias("_x")
     )
     if by == "time":
-        centred = calendar_spine(known, keys=keys, ts=ts).join(centred, [*keys, ts], "left")
-        scale = measure(centred, keys)
-    paired = look_back(
-        centred, lambda w: {"_recent": recent("_x", max_lag, w)}, max_lag, keys, ts, scale
-    ).select(*keys, "_x", F.posexplode("_recent").alias("lag", "_y"))
+        whole = centred.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_total"), F.count("_x").alias("n"))
+        pairs = time_pairs(centred, "_x", max_lag, keys, ts, scale)
+        sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
+        table = join_on(sums, whole, keys, "inner", null_safe=True)
+        return table.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
+    near = look_back(centred, lambda w: {"_recent": recent("_x", max_lag, w)}, max_lag, keys, ts, scale)
+    if max_lag <= ARRAY_LAGS:
+        # one row per key leaves the only pass: a sum for each place of the array, no row per pair
+        sums = [F.sum(F.col("_x") * nan_to_null(F.get("_recent", F.lit(k)))) for k in range(max_lag + 1)]
+        line = near.groupBy(*keys).agg(F.array(*sums).alias("_s"), F.count("_x").alias("n"))
+        lags = F.posexplode(F.slice("_s", 1, F.least(F.col("n").cast("int"), F.lit(max_lag + 1))))
+        long = line.select(*keys, "n", F.col("_s")[0].alias("_total"), lags.alias("lag", "_p"))
+        return long.filter("lag > 0").select(*keys, "lag", ratio(F.coalesce("_p", F.lit(0.0)), "_total").alias("acf"), "n")
+    paired = near.select(*keys, "_x", F.posexplode("_recent").alias("lag", "_y"))
     products = F.sum(F.col("_x") * nan_to_null("_y"))
     sums = paired.groupBy(*keys, "lag").agg(products.alias("_s"), F.count("_x").alias("_n"))
     # lag 0 holds the sum of squares and the number of values
-    whole = sums.filter("lag = 0").select(*keys, F.col("_s").alias("_total"), F.col("_n").alias("n"))
-    return (
-        sums.filter("lag > 0")
-        .join(whole, list(keys))
-        .select(*keys, "lag", ratio(F.coalesce("_s", F.lit(0.0)), "_total").alias("acf"), "n")
-    )
+    key = Window.partitionBy(*keys)
+    zero = F.col("lag") == 0
+    with_total = sums.withColumns({"_total": F.max(F.when(zero, F.col("_s"))).over(key), "n": F.max(F.when(zero, F.col("_n"))).over(key)})
+    return with_total.filter("lag > 0").select(*keys, "lag", ratio(F.coalesce("_s", F.lit(0.0)), "_total").alias("acf"), "n")
 
 
 def acf_confint(acf_table: DataFrame, alpha: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -63,6 +75,7 @@ def acf_confint(acf_table: DataFrame, alpha: float = 0.05, keys: Sequence[str] =
     return acf_table.withColumn("bound", F.lit(z) * F.sqrt((1.0 + 2.0 * squares) / F.col("n")))
 
 
+@nan_is_missing
 def load_ramps(
     df: DataFrame,
     min_run: int = 3,

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.columns import correlation, nan_to_null
-from wattline.plans.attach import attach
+from wattline.plans.attach import attach, attach_table
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
 from wattline.plans.series import look_back, recent, running, with_position
 from wattline.schema import KEYS, TS, VALUE
@@ -59,12 +60,12 @@ def attach_covariate(
     """Readings with the columns of `cov`, which has one row per timestamp (and key, if `per_key`).
 
     `asof` takes the latest row at or before the reading instead of the row at the same time.
-    Readings without a match keep NULL.
+    Readings without a match keep NULL; rows of `cov` without a time match nothing.
     """
     by = [*keys, on] if per_key else [on]
     names = [c for c in cov.columns if c not in by]
     if asof and per_key:
-        both = _beside(df, cov, names)
+        both = _beside(df, cov, names, on)
         scale = measure(both, keys)
         last = running(both, {"_last": ("last", F.col("_cov"))}, keys, [on, "_side"], scale=scale)
         return last.filter("_side = 1").select(*df.columns, "_last.*")
@@ -72,7 +73,7 @@ def attach_covariate(
         moments = df.select(on).distinct()
         # one shared series: always cut by day, only the last value of each day is brought together
         line = running(
-            _beside(moments, cov, names),
+            _beside(moments, cov, names, on),
             {"_last": ("last", F.col("_cov"))},
             [],
             [on, "_side"],
@@ -87,13 +88,14 @@ def attach_covariate(
     return attach(df, cov, by, scale, how="left")
 
 
-def _beside(df: DataFrame, cov: DataFrame, names: Sequence[str]) -> DataFrame:
-    known = cov.select(
+def _beside(df: DataFrame, cov: DataFrame, names: Sequence[str], on: str) -> DataFrame:
+    known = cov.filter(F.col(on).isNotNull()).select(
         *[c for c in cov.columns if c not in names], F.struct(*names).alias("_cov"), F.lit(0).alias("_side")
     )
     return df.withColumn("_side", F.lit(1)).unionByName(known, allowMissingColumns=True)
 
 
+@nan_is_missing
 def corr_lag0(
     df: DataFrame, x: str = "outdoor_temp", keys: Sequence[str] = KEYS, value: str = VALUE
 ) -> DataFrame:
@@ -101,6 +103,7 @@ def corr_lag0(
     return df.groupBy(*keys).agg(correlation(value, x).alias("corr"))
 
 
+@nan_is_missing
 def lag_correlation(
     df: DataFrame,
     x: str = "outdoor_temp",
@@ -132,6 +135,7 @@ def best_lag(corrs: DataFrame, mode: str = "min", keys: Sequence[str] = KEYS) ->
     )
 
 
+@nan_is_missing
 def shift_covariate(
     df: DataFrame,
     lags: DataFrame,
@@ -143,7 +147,7 @@ def shift_covariate(
 ) -> DataFrame:
     """Adds `<x>_shifted`: `x` as many rows earlier as the key's `best_lag` (below `max_lag`) says."""
     scale = scale or measure(df, keys)
-    known = attach(df, lags.select(*keys, "best_lag"), keys, scale, how="left")
+    known = attach_table(df, lags.select(*keys, "best_lag"), keys, scale, how="left")
     # the lag differs between keys: take it from the few candidates of the row
     rows = max_lag - 1
     shifted = look_back(known, lambda w: {"_recent": recent(x, rows, w)}, rows, keys, ts, scale)

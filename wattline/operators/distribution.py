@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from wattline.functions.columns import normal_density, ratio
 from wattline.plans.attach import attach
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, VALUE
 
 
+@nan_is_missing
 def distribution_stats(
     df: DataFrame, keys: Sequence[str] = KEYS, value: str = VALUE, scale: Scale | None = None
 ) -> DataFrame:
@@ -29,6 +31,7 @@ def distribution_stats(
     )
 
 
+@nan_is_missing
 def normality_jb(df: DataFrame, keys: Sequence[str] = KEYS, value: str = VALUE) -> DataFrame:
     """Jarque-Bera test per key: statistic, and its probability (chi-squared, 2 degrees)."""
     moments = df.groupBy(*keys).agg(
@@ -42,6 +45,7 @@ def normality_jb(df: DataFrame, keys: Sequence[str] = KEYS, value: str = VALUE)
     )
 
 
+@nan_is_missing
 def histogram(
     df: DataFrame,
     edges: int = 40,
@@ -78,6 +82,7 @@ def histogram(
     )
 
 
+@nan_is_missing
 def gaussian_fit(
     df: DataFrame, points: int = 1000, keys: Sequence[str] = KEYS, value: str = VALUE
 ) -> DataFrame:

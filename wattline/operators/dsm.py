@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.columns import ratio
+from wattline.functions.columns import in_hours, ratio
 from wattline.operators.calendar import add_energy
 from wattline.operators.reshape import strategy_long
 from wattline.plans.attach import attach
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentile_name, percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
 
+# Fixed values in the operators below: the default hours and shares of the three strategies.
 STRATEGIES = {
     "original": "energy_kwh",
     "clip": "energy_clipped",
@@ -24,11 +26,16 @@ STRATEGIES = {
 
 
 def _hours(ts: str, span: tuple[int, int]) -> Column:
-    return F.hour(ts).between(*span)
+    return in_hours(F.hour(ts), span)
+
+
+def _members(span: tuple[int, int]) -> set[int]:
+    first, last = span
+    return set(range(first, last + 1)) if first <= last else {*range(first, 24), *range(last + 1)}
 
 
 def _check_windows(peak: tuple[int, int], off: tuple[int, int]) -> None:
-    if peak[0] <= off[1] and off[0] <= peak[1]:
+    if _members(peak) & _members(off):
         raise ValueError("peak and off-peak hours overlap")
 
 
@@ -36,6 +43,11 @@ def _moved(ts: str, share: float, peak: tuple[int, int]) -> Column:
     return F.sum(F.when(_hours(ts, peak), F.col("energy_kwh") * F.lit(share)))
 
 
+def _receivers(ts: str, off: tuple[int, int]) -> Column:
+    """Off-peak rows with an energy: only these can take some more."""
+    return F.count_if(_hours(ts, off) & F.col("energy_kwh").isNotNull())
+
+
 def _shifted(ts: str, share: float, peak: tuple[int, int], off: tuple[int, int]) -> Column:
     energy, per_row = F.col("energy_kwh"), F.coalesce("_moved", F.lit(0.0)) / F.col("_off_rows")
     shifted = (
@@ -52,6 +64,7 @@ def _reduced(ts: str, share: float, hours: tuple[int, int]) -> Column:
     return F.when(_hours(ts, hours), energy * (1 - share)).otherwise(energy)
 
 
+@nan_is_missing
 def dsm_clip(
     df: DataFrame,
     q: float = 0.95,
@@ -69,6 +82,7 @@ def dsm_clip(
     return attach(energy, caps, keys, scale).withColumn("energy_clipped", capped).drop(name)
 
 
+@nan_is_missing
 def dsm_shift(
     df: DataFrame,
     share: float = 0.2,
@@ -84,7 +98,7 @@ def dsm_shift(
     _check_windows(peak, off)
     energy = add_energy(df, dt_hours, value)
     moved = energy.groupBy(*keys).agg(
-        _moved(ts, share, peak).alias("_moved"), F.count_if(_hours(ts, off)).alias("_off_rows")
+        _moved(ts, share, peak).alias("_moved"), _receivers(ts, off).alias("_off_rows")
     )
     return (
         attach(energy, moved, keys, scale)
@@ -93,6 +107,7 @@ def dsm_shift(
     )
 
 
+@nan_is_missing
 def dsm_reduce(
     df: DataFrame,
     share: float = 0.1,
@@ -105,6 +120,7 @@ def dsm_reduce(
     return add_energy(df, dt_hours, value).withColumn("energy_reduced", _reduced(ts, share, hours))
 
 
+@nan_is_missing
 def dsm_profiles(
     df: DataFrame,
     q: float = 0.95,
@@ -131,7 +147,7 @@ def dsm_profiles(
         keys,
         extra=[
             _moved(ts, shift_share, peak).alias("_moved"),
-            F.count_if(_hours(ts, off)).alias("_off_rows"),
+            _receivers(ts, off).alias("_off_rows"),
         ],
         scale=scale,
     )

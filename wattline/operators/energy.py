@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.columns import ratio, status_label
 from wattline.operators.profiles import daily_energy, weekly_energy
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale
 from wattline.plans.series import running
 from wattline.schema import KEYS, TS, VALUE
@@ -31,6 +32,7 @@ def _with_change(energy: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     )
 
 
+@nan_is_missing
 def daily_energy_change(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -38,6 +40,7 @@ def daily_energy_change(
     return _with_change(daily_energy(df, dt_hours, keys, ts, value), keys, ["date"])
 
 
+@nan_is_missing
 def weekly_energy_change(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -45,6 +48,7 @@ def weekly_energy_change(
     return _with_change(weekly_energy(df, dt_hours, keys, ts, value), keys, ["iso_year", "iso_week"])
 
 
+@nan_is_missing
 def daily_change_status(
     df: DataFrame,
     threshold_pct: float = 20,
@@ -59,6 +63,7 @@ def daily_change_status(
     return change.withColumn("status", status_label(F.abs("change_pct"), threshold_pct, *labels))
 
 
+@nan_is_missing
 def cumulative_energy(
     df: DataFrame,
     dt_hours: float = 1.0,

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.plans.attach import attach
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentile_name, percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.plans.series import running
 from wattline.schema import KEYS, TS, VALUE
 from wattline.session import cut_lineage
 
-SLICES = 4096  # value slices of a long key while scoring
 
 
 def mean_path(n: float) -> float:
@@ -117,6 +117,7 @@ def fit_steps(
     return pool.groupBy(*names).applyInPandas(fit, schema)
 
 
+@nan_is_missing
 def isolation_scores(
     df: DataFrame,
     trees: int = 100,
@@ -141,14 +142,9 @@ def isolation_scores(
         steps.withColumn("_rows", F.lit(None).cast("bigint")).withColumn("_kind", F.lit(1))
     )
     longest = replace(scale, largest=scale.largest + trees * sample)
-    slices = None
-    if not longest.short_series:
-        bounds = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        line = attach(line, bounds, keys, scale)
-        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        inside = F.greatest(F.least("_v", "_hi"), F.col("_lo"))
-        slices = F.coalesce(F.floor((inside - F.col("_lo")) / width * SLICES), F.lit(0))
-    known = running(line, {"_known": ("last", F.col("_path"))}, keys, ["_v", "_kind"], slices, longest)
+    known = running(
+        line, {"_known": ("last", F.col("_path"))}, keys, ["_v", "_kind"], scale=longest, place=F.col("_v")
+    )
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
     scored = attach(known.filter("_kind = 0"), sizes, keys, scale)
     m = F.least(F.col("_n"), F.lit(sample)).cast("double")
@@ -158,6 +154,7 @@ def isolation_scores(
     )
 
 
+@nan_is_missing
 def isolation_forest(
     df: DataFrame,
     trees: int = 100,

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from wattline.operators.covariate import best_lag, lag_correlation, shift_covariate
 from wattline.plans.attach import attach
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
+from wattline.session import stage
 
 
+@nan_is_missing
 def linear_fit(
     df: DataFrame,
     x: str = "outdoor_temp",
@@ -33,6 +36,7 @@ def linear_fit(
     return fit.withColumns({c: F.bround(c, coef_scale) for c in ("slope", "intercept")})
 
 
+@nan_is_missing
 def linear_predict(
     df: DataFrame,
     fit: DataFrame,
@@ -45,6 +49,7 @@ def linear_predict(
     return known.withColumn("yhat", F.col("slope") * F.col(x) + F.col("intercept")).drop("slope", "intercept")
 
 
+@nan_is_missing
 def regression_metrics(
     df: DataFrame, y: str = VALUE, yhat: str = "yhat", keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -55,26 +60,37 @@ def regression_metrics(
     )
 
 
+@nan_is_missing
 def forest_fit(
     df: DataFrame,
-    key_values: Sequence[object],
+    key_values: Sequence[object] | None = None,
     x: str = "outdoor_temp",
     y: str = VALUE,
     trees: int = 100,
     seed: int = 42,
-    max_depth: int = 10,
-    max_bins: int = 256,
+    max_depth: int = 30,
+    max_bins: int | None = None,
     parallelism: int = 4,
     key: str = KEYS[0],
 ) -> DataFrame:
-    """In-sample predictions `yhat` of one random forest per named key.
+    """In-sample predictions `yhat` of one random forest per key: all keys, or the ones named.
 
     Each forest is a distributed Spark ML fit over all rows of its key, so a key may be of any length;
-    the keys to model are named by the caller, `parallelism` of them are fitted at a time.
+    `parallelism` of them are fitted at a time.  The rows are computed once and stored by key, so each fit
+    reads its own folder only.  Trees grow as deep as Spark allows; a split may fall between any two
+    values of `x` unless `max_bins` says otherwise.
     """
-    if not key_values:
+    if key_values is not None and not key_values:
         raise ValueError("name the keys to model")
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if key_values is not None:
+        known = known.filter(F.col(key).isin(list(key_values)))
+    known = stage(known, "forest", [key])
+    if key_values is None:
+        key_values = [r[0] for r in known.select(key).distinct().orderBy(key).collect()]
+        if not key_values:
+            return known.withColumn("yhat", F.lit(None).cast("double"))
+    bins = max_bins or max(2, known.agg(F.count_distinct(x)).first()[0])
     features = VectorAssembler(inputCols=[x], outputCol="_features")
     forest = RandomForestRegressor(
         featuresCol="_features",
@@ -83,7 +99,7 @@ def forest_fit(
         numTrees=trees,
         seed=seed,
         maxDepth=max_depth,
-        maxBins=max_bins,
+        maxBins=bins,
         featureSubsetStrategy="all",
         maxMemoryInMB=512,  # fewer passes over the rows at the deep levels
     )
@@ -96,6 +112,7 @@ def forest_fit(
         return reduce(DataFrame.unionByName, pool.map(fit_one, key_values))
 
 
+@nan_is_missing
 def model_comparison(
     df: DataFrame,
     key_values: Sequence[object] | None = None,
@@ -104,7 +121,7 @@ def model_comparison(
     coef_scale: int | None = 1,
     trees: int = 100,
     seed: int = 42,
-    max_depth: int = 10,
+    max_depth: int = 30,
     keys: Sequence[str] = KEYS,
     ts: str = TS,
     value: str = VALUE,

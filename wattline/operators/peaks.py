@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from wattline.plans.missing import nan_is_missing
 
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
@@ -36,6 +37,7 @@ def _ranked_days(
     return means.withColumn("day_rank", F.rank().over(month))
 
 
+@nan_is_missing
 def daily_peaks(
     df: DataFrame,
     k: int = 3,
@@ -48,6 +50,7 @@ def daily_peaks(
     return _ranked_days(df, k, True, "peak_mean_kw", keys, ts, value, scale)
 
 
+@nan_is_missing
 def daily_troughs(
     df: DataFrame,
     k: int = 6,
@@ -60,6 +63,7 @@ def daily_troughs(
     return _ranked_days(df, k, False, "trough_mean_kw", keys, ts, value, scale)
 
 
+@nan_is_missing
 def daily_extremes(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -78,6 +82,7 @@ def daily_extremes(
     )
 
 
+@nan_is_missing
 def day_hour_matrix(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:

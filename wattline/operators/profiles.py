@@ -21,7 +21,8 @@ from wattline.functions.columns import (
     tariff_label,
     week_start,
 )
-from wattline.plans.attach import attach
+from wattline.plans.attach import attach, attach_table
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentile_name, percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
@@ -40,6 +41,7 @@ def _stability(value: str) -> list[Column]:
     return [*_spread(value), ratio(F.max(value), F.avg(value)).alias("peak_factor")]
 
 
+@nan_is_missing
 def daily_profile(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -47,6 +49,7 @@ def daily_profile(
     return df.groupBy(*keys, F.to_date(ts).alias("date")).agg(*_spread(value), F.min(value).alias("min_kw"))
 
 
+@nan_is_missing
 def hourly_profile(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -58,6 +61,7 @@ def _energy(value: str, dt_hours: float) -> Column:
     return F.sum(F.col(value) * F.lit(float(dt_hours))).alias("energy_kwh")
 
 
+@nan_is_missing
 def daily_energy(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -65,6 +69,7 @@ def daily_energy(
     return df.groupBy(*keys, F.to_date(ts).alias("date")).agg(_energy(value, dt_hours))
 
 
+@nan_is_missing
 def weekly_energy(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -78,11 +83,13 @@ def weekly_energy(
     )
 
 
+@nan_is_missing
 def stability_summary(df: DataFrame, keys: Sequence[str] = KEYS, value: str = VALUE) -> DataFrame:
     """Mean, peak, deviation, coefficient of variation and peak factor per key."""
     return df.groupBy(*keys).agg(*_stability(value))
 
 
+@nan_is_missing
 def percentile_by_key(
     df: DataFrame,
     q: Sequence[float] = (0.5, 0.95, 0.99),
@@ -95,6 +102,7 @@ def percentile_by_key(
     return percentiles(df, value, q, keys, exact=exact, scale=scale)
 
 
+@nan_is_missing
 def contract_exceedance(
     df: DataFrame,
     q: float = 0.99,
@@ -115,6 +123,7 @@ def contract_exceedance(
     return counted if include_zero else counted.filter("exceedances > 0")
 
 
+@nan_is_missing
 def contract_power(
     df: DataFrame,
     q: float = 0.99,
@@ -133,6 +142,7 @@ def _weekday(ts: str) -> Column:
     return iso_weekday(ts) <= 5
 
 
+@nan_is_missing
 def week_weekend_mean(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -149,6 +159,7 @@ def _by_day_type(
     return df.groupBy(*keys, day_type_label(ts).alias("day_type")).agg(*aggregates)
 
 
+@nan_is_missing
 def week_weekend_mean_rows(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -156,6 +167,7 @@ def week_weekend_mean_rows(
     return _by_day_type(df, keys, ts, [F.avg(value).alias("mean_kw")])
 
 
+@nan_is_missing
 def week_weekend_stability(
     df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -163,6 +175,7 @@ def week_weekend_stability(
     return _by_day_type(df, keys, ts, _stability(value))
 
 
+@nan_is_missing
 def week_weekend_energy_rows(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -170,6 +183,7 @@ def week_weekend_energy_rows(
     return _by_day_type(df, keys, ts, [_energy(value, dt_hours)])
 
 
+@nan_is_missing
 def week_weekend_energy(
     df: DataFrame, dt_hours: float = 1.0, keys: Sequence[str] = KEYS, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
@@ -181,6 +195,7 @@ def week_weekend_energy(
     )
 
 
+@nan_is_missing
 def week_weekend_ratio(
     df: DataFrame,
     threshold: float = 1.1,
@@ -202,6 +217,7 @@ def week_weekend_ratio(
     )
 
 
+@nan_is_missing
 def tariff_stability(
     df: DataFrame,
     bands: Sequence[tuple[str, int, int]] = TARIFF_BANDS,
@@ -218,8 +234,8 @@ def tariff_stability(
 def join_stats(
     df: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS, scale: Scale | None = None
 ) -> DataFrame:
-    """Readings with the per-key columns of `stats`, a table of one row per key of `df`."""
-    return attach(df, stats, keys, scale)
+    """Readings with the per-key columns of `stats`, a table of at most one row per key, of any size."""
+    return attach_table(df, stats, keys, scale)
 
 
 def group_transform(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from wattline.functions.columns import ratio
+from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale
 from wattline.plans.series import look_back
 from wattline.schema import KEYS, TS, VALUE
@@ -45,6 +46,7 @@ def _rolling(df, prefix, column, windows, keys, ts, value, scale) -> DataFrame:
     )
 
 
+@nan_is_missing
 def rolling_mean(
     df: DataFrame,
     windows: Sequence[int] = WINDOWS,
@@ -57,6 +59,7 @@ def rolling_mean(
     return _rolling(df, "mean", _mean, windows, keys, ts, value, scale)
 
 
+@nan_is_missing
 def rolling_std(
     df: DataFrame,
     windows: Sequence[int] = WINDOWS,
@@ -69,6 +72,7 @@ def rolling_std(
     return _rolling(df, "std", _std, windows, keys, ts, value, scale)
 
 
+@nan_is_missing
 def rolling_cv(
     df: DataFrame,
     windows: Sequence[int] = WINDOWS,
@@ -81,6 +85,7 @@ def rolling_cv(
     return _rolling(df, "cv", _cv, windows, keys, ts, value, scale)
 
 
+@nan_is_missing
 def shift(
     df: DataFrame,
     col: str = VALUE,
@@ -89,5 +94,6 @@ def shift(
     ts: str = TS,
     scale: Scale | None = None,
 ) -> DataFrame:
-    """Value of `col` n rows earlier, as `<col>_lag<n>`."""
-    return look_back(df, lambda w: {f"{col}_lag{n}": F.lag(col, n).over(w)}, n, keys, ts, scale)
+    """Value of `col` n rows earlier (later, if n is negative), as `<col>_lag<n>`."""
+    shifted = lambda w: {f"{col}_lag{n}": F.lag(col, n).over(w)}
+    return look_back(df, shifted, max(n, 0), keys, ts, scale, ahead=max(-n, 0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,8 @@ def attach(
 ) -> DataFrame:
     """`df` joined with `table`, which has at most one row per key; `how` is 'inner' or 'left'.
 
+    A NULL key is a key like any other, as it is for a window or a group.
+
     Up to `scale.broadcast_rows` keys the table is broadcast and `df` is not shuffled.  Beyond that
     the part of the table for hot keys is broadcast, and the other rows find theirs in a shuffle join
     in which no key is large.  Hot rows pass through that join spread by a hash of their columns, so
@@ -48,16 +51,17 @@ def attach(
         raise ValueError("how must be 'inner' or 'left'")
     scale = scale or measure(df, keys)
     if scale.broadcastable:
-        return join_on(df, F.broadcast(table), keys, how)
+        return join_on(df, F.broadcast(table), keys, how, null_safe=True)
     names = [c for c in table.columns if c not in keys]
     stored = cut_lineage(table)
     hot = hot_keys(df, keys, scale)
-    hits = stored.join(F.broadcast(hot), list(keys), "left_semi").select(
+    hits = join_on(stored, F.broadcast(hot), keys, "left_semi", null_safe=True).select(
         *keys, *[F.col(c).alias("_h_" + c) for c in names], F.lit(True).alias("_hit")
     )
-    known = F.broadcast(hot.withColumn("_hot", F.lit(True)).join(F.broadcast(hits), list(keys), "left"))
-    keyless = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
-    settled = F.col("_hot").isNotNull() | keyless
+    known = F.broadcast(
+        join_on(hot.withColumn("_hot", F.lit(True)), F.broadcast(hits), keys, "left", null_safe=True)
+    )
+    settled = F.col("_hot").isNotNull()
     salt = F.when(settled, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(_SPREAD))).otherwise(F.lit(0))
     tail = stored.select(
         *keys,
@@ -65,11 +69,8 @@ def attach(
         F.lit(0).cast("bigint").alias("_salt"),
         F.lit(True).alias("_found"),
     )
-    joined = (
-        df.join(known, list(keys), "left")
-        .withColumn("_salt", salt.cast("bigint"))
-        .join(tail, [*keys, "_salt"], "left")
-    )
+    salted = join_on(df, known, keys, "left", null_safe=True).withColumn("_salt", salt.cast("bigint"))
+    joined = join_on(salted, tail, [*keys, "_salt"], "left", null_safe=True)
     if how == "inner":
         joined = joined.filter(F.col("_hit") | F.col("_found"))
     return joined.select(
@@ -77,6 +78,14 @@ def attach(
     )
 
 
+def attach_table(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], scale: Scale | None = None, how: str = "inner"
+) -> DataFrame:
+    """`attach` for a table from elsewhere: its own rows are counted before it may be broadcast."""
+    scale = scale or measure(df, keys)
+    return attach(df, table, keys, replace(scale, keys=max(scale.keys, table.count())), how)
+
+
 def attach_to_copies(
     df: DataFrame, table: DataFrame, keys: Sequence[str], scale: Scale, null_safe: bool = False
 ) -> DataFrame:

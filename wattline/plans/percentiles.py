@@ -1,9 +1,10 @@
 """Exact linearly interpolated percentiles per key, for keys of any length.
 
 `percentile` keeps a value -> count map of a key in memory, which is fine up to
-`scale.percentile_rows` rows per key.  Longer keys are narrowed down first: equal-width bins between
-the key's minimum and maximum are counted, the bins holding the wanted ranks are kept, and only the
-distinct values in those bins are ranked.  Every step is a partial aggregation; no task sees a key.
+`scale.percentile_rows` rows per key.  Longer keys are narrowed down first: a mergeable sketch brackets
+each wanted rank, by rank and not by value, so no outlier widens a bracket; rows below it are counted and
+only the distinct values inside, a few thousandths of the key, are ranked.  Weighted rows are narrowed
+by equal-width bins instead.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.plans.attach import attach
+from wattline.plans.attach import attach, join_on
 from wattline.plans.scale import Scale, measure
 from wattline.session import cut_lineage
 
@@ -55,8 +56,62 @@ def percentiles(
             *[F.percentile(value, f, freq).alias(percentile_name(f)) for f in q], *extra
         )
     per_key = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
+    narrow = _bracketed(df, value, q, keys, scale) if weight is None else _narrowed(df, value, q, keys, weight, scale)
     # a key without any value keeps its row, as the built-in aggregate does
-    return cut_lineage(per_key.join(_narrowed(df, value, q, keys, weight, scale), list(keys), "left"))
+    return cut_lineage(join_on(per_key, narrow, keys, "left", null_safe=True))
+
+
+def _between(q: Sequence[float], keys: Sequence[str], picked: DataFrame) -> DataFrame:
+    """Percentiles from the values `_a<i>` at the lower and `_b<i>` at the upper rank of `_n` values."""
+    columns = []
+    for i, f in enumerate(q):
+        place = F.lit(f) * (F.col("_n") - 1)
+        below, above = F.floor(place), F.ceil(place)
+        mixed = (above - place) * F.col(f"_a{i}") + (place - below) * F.col(f"_b{i}")
+        columns.append(F.when(below == above, F.col(f"_a{i}")).otherwise(mixed).alias(percentile_name(f)))
+    return picked.select(*keys, *columns)
+
+
+def _bracketed(df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str], scale: Scale) -> DataFrame:
+    v, margin = F.col("_v"), 4.0 / ACCURACY
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = {}
+    for i, f in enumerate(q):
+        # short keys have no use for a sketch: their bracket is the whole key
+        long = F.count("*") > 10 * ACCURACY
+        low = F.when(long & F.lit(f > margin), F.percentile_approx(v, max(f - margin, 0.0), ACCURACY)).otherwise(F.min(v))
+        high = F.when(long & F.lit(f < 1 - margin), F.percentile_approx(v, min(f + margin, 1.0), ACCURACY)).otherwise(F.max(v))
+        ends |= {f"_lo{i}": low, f"_hi{i}": high}
+    brackets = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in ends.items()])
+    # below its bracket a value only counts; above it, not even that
+    seen = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.when(v < F.col(f"_lo{i}"), F.lit(float("-inf"))).when(v <= F.col(f"_hi{i}"), v).alias("v"),
+            )
+            for i in range(len(q))
+        ]
+    )
+    counted = (
+        attach(rows, cut_lineage(brackets), keys, scale)
+        .select(*keys, "_n", F.explode(F.filter(seen, lambda s: s["v"].isNotNull())).alias("_s"))
+        .groupBy(*keys, F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v"))
+        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    )
+    ranked = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v")))
+
+    def at(i: int, rank: Column) -> Column:
+        hit = (F.col("_i") == i) & (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+        return F.max(F.when(hit, v))
+
+    n1 = F.col("_n") - 1
+    picked = ranked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[at(i, F.floor(F.lit(f) * n1)).alias(f"_a{i}") for i, f in enumerate(q)],
+        *[at(i, F.ceil(F.lit(f) * n1)).alias(f"_b{i}") for i, f in enumerate(q)],
+    )
+    return _between(q, keys, picked)
 
 
 def _bin(value: Column) -> Column:
@@ -66,13 +121,13 @@ def _bin(value: Column) -> Column:
 
 
 def _narrowed(
-    df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str], weight: str | None, scale: Scale
+    df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str], weight: str, scale: Scale
 ) -> DataFrame:
     v, w = F.col("_v"), F.col("_w")
     rows = df.filter(F.col(value).isNotNull()).select(
         *keys,
         F.col(value).cast("double").alias("_v"),
-        (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_w"),
+        F.col(weight).cast("bigint").alias("_w"),
     )
     # the tables in between have one row per key: stored, so that no later step repeats them
     bounds = cut_lineage(rows.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")))
@@ -120,11 +175,4 @@ def _narrowed(
         *[at(F.floor(F.lit(f) * n1)).alias(f"_a{i}") for i, f in enumerate(q)],
         *[at(F.ceil(F.lit(f) * n1)).alias(f"_b{i}") for i, f in enumerate(q)],
     )
-
-    def between(i: int, f: float) -> Column:
-        place = F.lit(f) * n1
-        below, above = F.floor(place), F.ceil(place)
-        mixed = (above - place) * F.col(f"_a{i}") + (place - below) * F.col(f"_b{i}")
-        return F.when(below == above, F.col(f"_a{i}")).otherwise(mixed)
-
-    return picked.select(*keys, *[between(i, f).alias(percentile_name(f)) for i, f in enumerate(q)])
+    return _between(q, keys, picked)

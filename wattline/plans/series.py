@@ -20,6 +20,7 @@ from pyspark.sql.window import WindowSpec
 
 from wattline.plans.attach import join_on
 from wattline.plans.scale import Scale, measure
+from wattline.session import cut_lineage
 
 Running = tuple[str, Column]  # ('sum' | 'max' | 'last', expression)
 
@@ -47,12 +48,27 @@ def _second(ts: str) -> Column:
     return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.floor(F.second(ts))
 
 
-def _time_slice(df: DataFrame, ts: str, scale: Scale) -> Column:
-    """Number of the time span a row lies in: the longest key has about half a full slice in each."""
-    first, last = df.agg(F.min(_second(ts)), F.max(_second(ts))).first()
-    slices = max(1, 2 * scale.largest // scale.series_rows)
-    span = 1 if first is None else max(1, (last - first) // slices)
-    return F.floor(_second(ts) / span)
+def rank_slices(df: DataFrame, keys: Sequence[str], place: Column, scale: Scale) -> DataFrame:
+    """`df` with `_chunk`, the slice of `place` a row of a long key lies in; other keys are one slice.
+
+    Slices are cut by rank, so a key has about half a full slice in each wherever its rows lie; the cuts
+    of the long keys (few, whatever the size of `df`) are broadcast.
+    """
+    slices = max(2, 2 * scale.largest // scale.series_rows + 1)
+    cuts = (
+        df.groupBy(*keys)
+        .agg(
+            F.count("*").alias("_n"),
+            F.percentile_approx(place, [k / slices for k in range(1, slices)], max(10_000, 20 * slices)).alias("_cuts"),
+        )
+        .filter(F.col("_n") > scale.series_rows)
+        .select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+    )
+    before = F.size(F.filter("_cuts", lambda cut: cut < place))
+    cut_up = join_on(df, F.broadcast(cut_lineage(cuts)), keys, "left", null_safe=True)
+    return cut_up.withColumn(
+        "_chunk", F.when(place.isNull(), F.lit(-1)).when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before).cast("bigint")
+    ).drop("_cuts")
 
 
 def running(
@@ -62,19 +78,20 @@ def running(
     order: Sequence[str],
     chunk: Column | None = None,
     scale: Scale | None = None,
+    place: Column | None = None,
 ) -> DataFrame:
     """Add running sums, maxima or last known values up to and including each row.
 
-    `chunk` cuts a long key into slices that do not overlap in `order`.  By default the first order
-    column is a timestamp and is cut into equal spans, short enough for the longest key.  Rows with a
-    NULL order value sort first, as their slice does.
+    `chunk` cuts a long key into slices that do not overlap in `order`.  By default long keys are cut by
+    rank of `place`, a number that rises with the first order column: its second, if not given.  Rows
+    with a NULL order value sort first, as their slice does.
     """
     scale = scale or measure(df, keys)
     if scale.short_series:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _fold(kind, value, window) for name, (kind, value) in columns.items()})
 
-    slices = df.withColumn("_chunk", _time_slice(df, order[0], scale) if chunk is None else chunk)
+    slices = rank_slices(df, keys, _second(order[0]) if place is None else place, scale) if chunk is None else df.withColumn("_chunk", chunk)
     for name, (_, value) in columns.items():
         slices = slices.withColumn("_v_" + name, value)
     position = F.struct(*order)
@@ -93,7 +110,6 @@ def running(
         "_chunk",
         *[_fold(kind, F.col("_t_" + name), earlier).alias("_b_" + name) for name, (kind, _) in columns.items()],
     )
-    # the join and the window below share one shuffle by (keys, slice)
     joined = join_on(slices, before, [*keys, "_chunk"], "inner", null_safe=True)
     inside = (
         Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,6 +131,35 @@ def with_position(
     return numbered.withColumn(name, F.col(name) - 1)
 
 
+def time_pairs(
+    df: DataFrame, column: str, hours: int, keys: Sequence[str], ts: str, scale: Scale | None = None
+) -> DataFrame:
+    """(keys, lag, _x, _y): each value with those exactly 1 ... `hours` hours before it.
+
+    No grid is built: the lag is the distance in time, so series may start at any minute and have gaps.
+    Long keys are cut into stretches of time, each with a copy of the last hours before it.
+    """
+    scale = scale or measure(df, keys)
+    reach, second = hours * 3_600, F.col("_sec")
+    timed = df.select(*keys, F.col(column).alias("_x"), _second(ts).alias("_sec")).filter("_sec is not null")
+    by = list(keys)
+    if not scale.short_series:
+        span = max(reach, scale.block_rows * 60)
+        home = F.floor(second / span)
+        copies = F.array(home, F.when(F.pmod(second, F.lit(span)) >= span - reach, home + 1))
+        timed = timed.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(copies)))
+        by.append("_block")
+    window = Window.partitionBy(*by).orderBy("_sec").rangeBetween(-reach, -1)
+    near = timed.withColumn("_near", F.collect_list(F.struct("_sec", "_x")).over(window))
+    if not scale.short_series:
+        near = near.filter("_block = _home")
+    pairs = near.select(*keys, "_x", "_sec", F.explode("_near").alias("_o"))
+    apart = second - F.col("_o")["_sec"]
+    return pairs.filter(apart % 3_600 == 0).select(
+        *keys, (apart / 3_600).cast("int").alias("lag"), "_x", F.col("_o")["_x"].alias("_y")
+    )
+
+
 def recent(column: str, rows: int, window: WindowSpec) -> Column:
     """The value of a row and of up to `rows` rows before it, newest first, as an array of doubles.
 
@@ -132,8 +177,9 @@ def look_back(
     keys: Sequence[str],
     ts: str,
     scale: Scale | None = None,
+    ahead: int = 0,
 ) -> DataFrame:
-    """Add columns that look at most `rows` rows back in time.
+    """Add columns that look at most `rows` rows back in time, and at most `ahead` rows forward.
 
     `build` gets a window (partitioned and ordered, without a frame) and returns the new columns; all
     of them share one shuffle and one sort.
@@ -142,12 +188,10 @@ def look_back(
     if scale.short_series:
         return df.withColumns(dict(build(Window.partitionBy(*keys).orderBy(ts))))
 
-    size = max(scale.block_rows, rows)
-    home = F.floor(F.col("_pos") / size)
-    spill = F.col("_pos") % size >= size - rows
-    blocks = with_position(df, keys, ts, "_pos", scale).withColumn(
-        "_block", F.explode(F.when(spill, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
+    size = max(scale.block_rows, rows, ahead)
+    home, place = F.floor(F.col("_pos") / size), F.col("_pos") % size
+    copies = F.array(home, F.when(place >= size - rows, home + 1), F.when(place < ahead, home - 1))
+    blocks = with_position(df, keys, ts, "_pos", scale).withColumn("_block", F.explode(F.array_compact(copies)))
     window = Window.partitionBy(*keys, "_block").orderBy("_pos")
     added = dict(build(window))
     return blocks.withColumns(added).filter(F.col("_block") == home).select(*df.columns, *added)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="wattline-")
@@ -56,13 +57,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back.
+_STAGED: list[tuple[str, str]] = []
+
+
+def stage(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
+    """`df` written once as Parquet in the shared folder, partitioned `by` columns, and read back.
 
     For a frame that several operators, or an operator with several passes, will read: later scans
-    are columnar and pruned, and nothing upstream is computed again.
+    are columnar and pruned, and nothing upstream is computed again.  `drop_staged` removes the tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the tables this application has staged; frames made from them can no longer be read."""
+    own = [path for app, path in _STAGED if app == spark.sparkContext.applicationId]
+    for path in own:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STAGED[:] = [entry for entry in _STAGED if entry[1] not in own]
+    return len(own)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.columns import at_hour, decimal_comma, exact_sum, timestamp_from_text
+from wattline.plans.missing import without_nan
 from wattline.schema import KEYS, TS, VALUE
 
 _STRETCH = 1000
@@ -59,7 +60,8 @@ def read_readings_table(
     """Catalog table, or Parquet folder if the name is a path."""
     is_path = "/" in name_or_path or name_or_path.endswith(".parquet")
     df = spark.read.parquet(name_or_path) if is_path else spark.table(name_or_path)
-    return df.select(*columns) if columns else df
+    chosen = df.select(*columns) if columns else df
+    return without_nan(chosen, VALUE)  # NaN is missing from the start
 
 
 def write_readings(
@@ -97,12 +99,13 @@ def hourly_readings(
     ts: str = "ts",
     value: str = "value",
     agg: str = "sum",
-    places: int = 2,
+    places: int | None = None,
 ) -> DataFrame:
-    """One reading per key and hour from irregular events.
+    """One reading per key and hour from irregular events; NaN is missing.
 
-    Sums are taken in units of 10 ** -`places`, so they do not depend on the order of the events.
+    Sums are exact in decimals, so they do not depend on the order of the events; `places` rounds them.
     """
+    events = without_nan(events, value)
     names = [key] if isinstance(key, str) else list(key)
     totals = {
         "sum": exact_sum(value, places),

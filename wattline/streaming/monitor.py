@@ -39,12 +39,13 @@ def stream_hourly(
     keys: Sequence[str] = KEYS,
     ts: str = TS,
     value: str = VALUE,
+    places: int | None = None,
 ) -> DataFrame:
-    """Energy per key and hour; rows later than the watermark are dropped."""
+    """Energy per key and hour; rows later than the watermark are dropped.  Sums as in `hourly_readings`."""
     return (
         _timed(stream, ts, watermark)
         .groupBy(*keys, F.window(ts, "1 hour").alias("_w"))
-        .agg(exact_sum(value).alias(value))
+        .agg(exact_sum(value, places).alias(value))
         .select(*keys, _plain("_w.start").alias(ts), value)
     )
 
