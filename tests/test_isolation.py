@@ -40,15 +40,39 @@ def test_copies_of_one_reading_cannot_fill_a_group(make):
     assert draw(df, 50, 256).count() == 100
 
 
+def plain_trees(values, trees, sample, rng):
+    """The same trees one node at a time: lists of (lo, hi, cut value) by level, with the same draws."""
+    picks = [np.sort(values[rng.choice(len(values), sample, replace=False)]) for _ in range(trees)]
+    limit = int(np.ceil(np.log2(sample)))
+    nodes = [{"v": v, "depth": 0} for v in picks]
+    level = nodes
+    while level:
+        live = [n for n in level if len(n["v"]) > 1 and n["v"][0] != n["v"][-1] and n["depth"] < limit]
+        for n, u in zip(live, rng.random(len(live))):
+            n["at"] = n["v"][0] + (n["v"][-1] - n["v"][0]) * u
+            n["left"] = {"v": n["v"][n["v"] <= n["at"]], "depth": n["depth"] + 1}
+            n["right"] = {"v": n["v"][n["v"] > n["at"]], "depth": n["depth"] + 1}
+        level = [n["left"] for n in live] + [n["right"] for n in live]
+    return nodes
+
+
 def test_steps_equal_a_walk_through_every_tree():
     values = np.random.default_rng(3).normal(size=60).round(1)
-    steps = isolation.grow_steps(values, 7, 40, np.random.default_rng(11))
-    again = np.random.default_rng(11)
-    parts = [isolation._split(np.sort(again.choice(values, 40, replace=False)), 6, again) for _ in range(7)]
+    bounds, level = isolation.grow_steps(values, 7, 40, np.random.default_rng(11))
+    nodes = plain_trees(values, 7, 40, np.random.default_rng(11))
     for x in [*values, -9.0, 9.0]:
-        walk = np.mean([paths[int(np.searchsorted(bounds, x, side="left"))] for bounds, paths in parts])
-        line = steps["_path"].to_numpy()[np.flatnonzero(steps["_v"].to_numpy() < x)[-1]]
-        assert line == pytest.approx(walk)
+        paths = []
+        for node in nodes:
+            while "at" in node:
+                node = node["left"] if x <= node["at"] else node["right"]
+            paths.append(node["depth"] + isolation.mean_path(len(node["v"])))
+        assert level[np.searchsorted(bounds, x)] == pytest.approx(np.mean(paths))
+
+
+def test_short_keys_send_no_more_rows_than_values(golden):
+    pool = draw(golden, 100, 256)
+    steps = isolation.fit_steps(pool, 100, 256, 1, ["meter_id"], "ts")
+    assert steps.count() == golden.select("meter_id", "power_kw").distinct().count()
 
 
 def test_mean_path():

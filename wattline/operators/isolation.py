@@ -46,7 +46,7 @@ def _uniform(*parts: Column) -> Column:
 def draw_pool(
     df: DataFrame, trees: int, sample: int, seed: int, keys: Sequence[str], ts: str, value: str, scale: Scale
 ) -> DataFrame:
-    """Readings (key, ts, value) the trees draw from: all of a short key, a random part of a long one.
+    """Readings (key, ts, value, size of the key) the trees draw from: all of a short key, a random part of a long one.
 
     Copies of a reading count once; they are combined before the shuffle and cannot fill a group.
     """
@@ -55,64 +55,86 @@ def draw_pool(
     if scale.largest > wanted:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
         draw = _uniform(*[F.col(k) for k in keys], F.col(ts), F.col("_v"), F.lit(seed))
-        rows = attach(rows, sizes, keys, scale).filter(draw * F.col("_n") < wanted).drop("_n")
+        rows = attach(rows, sizes, keys, scale).filter(draw * F.col("_n") < wanted)
+    else:
+        rows = rows.withColumn("_n", F.lit(0).cast("bigint"))  # every key is short
     return rows.dropDuplicates([*keys, ts, "_v"])
 
 
-def _split(values: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[list, list]:
-    """Leaves of one tree over sorted values, left to right: boundaries between them, path lengths."""
-    bounds: list[float] = []
-    paths: list[float] = []
-    stack = [(0, len(values), 0, None)]
-    while stack:
-        lo, hi, depth, bound = stack.pop()
-        if bound is not None:
-            bounds.append(bound)
-        if depth >= limit or hi - lo <= 1 or values[lo] == values[hi - 1]:
-            paths.append(depth + mean_path(hi - lo))
-            continue
-        at = rng.uniform(values[lo], values[hi - 1])
-        cut = lo + int(np.searchsorted(values[lo:hi], at, side="right"))
-        cut = min(max(cut, lo + 1), hi - 1)
-        stack.append((cut, hi, depth + 1, at))
-        stack.append((lo, cut, depth + 1, None))
-    return bounds, paths
-
-
-def grow_steps(values: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> pd.DataFrame:
-    """Mean path length by value over the trees of one key: valid above `_v`, up to the next one."""
-    edges, jumps, base = [], [], 0.0
+def grow_steps(values: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Mean path length by value over the trees of one key: boundaries, and the level before and after each.
+
+    All trees grow together, level by level: a segment of a tree's sorted sample is cut at a uniform point
+    between its ends until it is deep, single or constant.
+    """
     size = min(sample, len(values))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    for _ in range(trees):
-        bounds, paths = _split(np.sort(rng.choice(values, size, replace=False)), limit, rng)
-        edges.append(np.asarray(bounds, dtype=float))
-        jumps.append(np.diff(paths))
-        base += paths[0]
-    at = np.concatenate(edges)
+    if size < len(values):
+        picks = np.stack([rng.choice(len(values), size, replace=False) for _ in range(trees)])
+    else:
+        picks = np.broadcast_to(np.arange(size), (trees, size))
+    grid = np.sort(values[picks], axis=1)
+    levels = np.unique(values)
+    flat = (np.arange(trees)[:, None] * len(levels) + np.searchsorted(levels, grid)).ravel()
+    rest = np.array([mean_path(n) for n in range(size + 1)])
+    tree, lo, hi, depth = np.arange(trees), np.zeros(trees, np.int64), np.full(trees, size), 0
+    leaves, cuts = [], []
+    while len(tree):
+        first, last = grid[tree, lo], grid[tree, hi - 1]
+        stop = (hi - lo <= 1) | (first == last) | (depth >= limit)
+        leaves.append((tree[stop], lo[stop], depth + rest[(hi - lo)[stop]]))
+        tree, lo, hi, first, last = (x[~stop] for x in (tree, lo, hi, first, last))
+        at = first + (last - first) * rng.random(len(tree))
+        place = np.searchsorted(levels, at, side="right") - 1
+        cut = np.searchsorted(flat, tree * len(levels) + place, side="right") - tree * size
+        cut = np.clip(cut, lo + 1, hi - 1)
+        cuts.append((tree, cut, at))
+        tree, lo, hi = np.concatenate((tree, tree)), np.concatenate((lo, cut)), np.concatenate((cut, hi))
+        depth += 1
+    tree, lo, path = (np.concatenate(x) for x in zip(*leaves))
+    order = np.lexsort((lo, tree))
+    lo, path = lo[order], path[order]
+    inner = np.flatnonzero(lo > 0)  # leaves after the first one of a tree, each behind its own cut
+    tree, cut, at = (np.concatenate(x) for x in zip(*cuts))
+    at, jump = at[np.lexsort((cut, tree))], path[inner] - path[inner - 1]
     order = np.argsort(at, kind="stable")
-    level = base + np.concatenate([[0.0], np.cumsum(np.concatenate(jumps)[order])])
-    return pd.DataFrame({"_v": np.concatenate([[-np.inf], at[order]]), "_path": level / trees})
+    level = path[lo == 0].sum() + np.concatenate([[0.0], np.cumsum(jump[order])])
+    return at[order], level / trees
 
 
 def fit_steps(
     pool: DataFrame, trees: int, sample: int, seed: int, keys: Sequence[str], ts: str
 ) -> DataFrame:
-    """Step function of every key; one group holds one key's pool."""
+    """Path lengths of every key, from one group with its pool.
+
+    A key whose pool holds all its readings gets one row for each distinct value (`_kind` -1: valid at
+    that value); a longer one the steps between values (`_kind` 1: valid above it).
+    """
     names = list(keys)
+    wanted = trees * sample
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # the draw depends on the key and its readings, not on the order of arrival
         own = zlib.crc32(repr(tuple(str(part) for part in key)).encode()) ^ seed
         values = rows.sort_values([ts, "_v"])["_v"].to_numpy()
-        steps = grow_steps(values, trees, sample, np.random.default_rng(own))
+        bounds, level = grow_steps(values, trees, sample, np.random.default_rng(own))
+        if rows["_n"].iloc[0] <= wanted:
+            at = np.unique(values)
+            steps = pd.DataFrame({"_v": at, "_path": level[np.searchsorted(bounds, at)], "_kind": -1})
+        else:
+            steps = pd.DataFrame({"_v": np.concatenate([[-np.inf], bounds]), "_path": level, "_kind": 1})
         for name, part in zip(reversed(names), reversed(key)):
             steps.insert(0, name, part)
         return steps
 
     fields = [pool.schema[name] for name in names]
     schema = T.StructType(
-        [*fields, T.StructField("_v", T.DoubleType()), T.StructField("_path", T.DoubleType())]
+        [
+            *fields,
+            T.StructField("_v", T.DoubleType()),
+            T.StructField("_path", T.DoubleType()),
+            T.StructField("_kind", T.IntegerType()),
+        ]
     )
     return pool.groupBy(*names).applyInPandas(fit, schema)
 
@@ -137,9 +159,9 @@ def isolation_scores(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_rows"))
     )
-    # a step at the same value comes after it: the step holds for larger values only
+    # a path of the very value comes before it; a step at the same value after it, as it holds above
     line = values.withColumn("_path", F.lit(None).cast("double")).withColumn("_kind", F.lit(0)).unionByName(
-        steps.withColumn("_rows", F.lit(None).cast("bigint")).withColumn("_kind", F.lit(1))
+        steps.withColumn("_rows", F.lit(None).cast("bigint"))
     )
     longest = replace(scale, largest=scale.largest + trees * sample)
     known = running(
