@@ -13,6 +13,8 @@ from wattline.session import stage
 
 #: Bytes of text that one numpy step looks at; longer texts make a step of their own.
 SLICE_BYTES = 2 << 20
+#: Rows that one step of a Python operator takes at most.
+ROWS = 2000
 
 
 def documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
@@ -47,7 +49,7 @@ def with_python(df: DataFrame, inputs: dict[str, Column], schema: str, step: Cal
     row_type = packed.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows = batch.column(batch.schema.get_field_index("_row"))
             made = step(batch)
             yield pa.RecordBatch.from_arrays([rows, *made], names=["_row", *names])

@@ -62,6 +62,14 @@ class Pieces:
             order = np.argsort(h)
             self.tables.append((h[order], ids[order]))
 
+    def join(self, ids: np.ndarray) -> str:
+        """The text of pieces, without the blank before it."""
+        length = self.bounds[ids + 1] - self.bounds[ids]
+        place = np.cumsum(length) - length
+        raw = self.flat[np.repeat(self.bounds[ids] - place, length) + np.arange(int(length.sum()))]
+        text = raw.tobytes().decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
     def edges(self, word: str, end: int) -> list[tuple[int, int, float]]:
         """(start, piece, score) of all pieces that end at a place; piece -1 is an unknown character."""
         out = []
@@ -203,7 +211,7 @@ class _Memory:
 
     def options(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         if (word, n) not in self.lists:
-            if len(self.lists) > 50_000:
+            if len(self.lists) > 20_000:
                 self.lists.clear()
             self.lists[word, n] = self.pieces.n_best("▁" + word.replace(" ", "▁"), n)
         return self.lists[word, n]
@@ -249,17 +257,18 @@ _NBEST = pa.list_(pa.struct([
     ("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("cut", pa.int32()), ("ids", pa.list_(pa.int32()))]))),
 ]))
 _SCHEMA = (
-    "ids array<int>, ids_sha256 string, nbest array<struct<score:double,edits:array<struct<at:int,cut:int,ids:array<int>>>>>"
+    "ids array<int>, ids_sha256 string, round_trip boolean, "
+    "nbest array<struct<score:double,edits:array<struct<at:int,cut:int,ids:array<int>>>>>"
 )
 
 
 def encode(df: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFrame:
-    """`df` with ids (pieces of the best path), ids_sha256 (of them as 32-bit numbers) and nbest.
+    """`df` with ids (pieces of the best path), ids_sha256 (of them as 32-bit numbers), round_trip and nbest.
 
     nbest lists the `n` best paths (fewer if there are no more), best first: the score and the edits that
     make it of the best one (from piece `at` on, `cut` pieces give way to `ids`).  Scores are the model's;
     a character that is no piece costs 10 more than the worst ordinary piece and is spelled in bytes.
-    Of equal paths the one with the longer last piece is the best; among words of equal loss the first is
+    round_trip says that decoding the pieces gives the text again.  Of equal paths the one with the longer last piece is the best; among words of equal loss the first is
     changed.  As in the library, a blank goes before the text.  Null and empty texts have no pieces and
     one path of score 0; long ones are read whole; repeated rows stay; columns with the new names are replaced.
     """
@@ -268,19 +277,20 @@ def encode(df: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFra
         memory = _memory(model)
         _, bounds = strings(batch.column("_text"))
         values = batch.column("_text").to_pylist()
-        offsets, parts, digests, lists = [0], [], [], []
-        for a, b in slices(bounds):
+        offsets, parts, digests, same, lists = [0], [], [], [], []
+        for a, b in slices(bounds, 1 << 20):
             texts = [pre_tokens(t) if t else [] for t in values[a:b]]
             memory.learn(texts)
-            for words in texts:
+            for words, whole in zip(texts, values[a:b]):
                 ids, best = memory.encode(words, n)
+                same.append(memory.pieces.join(ids) == whole)
                 parts.append(ids)
                 offsets.append(offsets[-1] + len(ids))
                 digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                 lists.append([{"score": s, "edits": e} for s, e in best])
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
-        return [ids, pa.array(digests, pa.string()), pa.array(lists, _NBEST)]
+        return [ids, pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array(lists, _NBEST)]
 
     return with_python(df, {"_text": filled(text)}, _SCHEMA, step)
 
@@ -297,13 +307,8 @@ def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
         flat, sizes, at = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(), 0
         out = []
         for size in sizes.tolist():
-            own = flat[at : at + size]
+            out.append(pieces.join(flat[at : at + size]))
             at += size
-            length = pieces.bounds[own + 1] - pieces.bounds[own]
-            place = np.cumsum(length) - length
-            raw = pieces.flat[np.repeat(pieces.bounds[own] - place, length) + np.arange(int(length.sum()))]
-            text = raw.tobytes().decode("utf-8", "replace")
-            out.append(text[1:] if text.startswith(" ") else text)
         return [pa.array(out, pa.string())]
 
     return with_python(df, {"_ids": F.coalesce(F.col(ids), F.array().cast("array<int>"))}, "decoded string", step)
