@@ -59,32 +59,31 @@ def stream_rolling(
     value: str = VALUE,
 ) -> DataFrame:
     """Mean, deviation and variation over the last w hours, every hour, for each window length."""
-    timed = _timed(stream, ts, watermark)
-
-    def over(hours: int) -> DataFrame:
-        return (
-            timed.groupBy(*keys, F.window(ts, f"{hours} hours", "1 hour").alias("_w"))
-            .agg(
-                F.avg(value).alias("mean_kw"),
-                F.stddev_samp(value).alias("stddev_kw"),
-                F.count(value).alias("n"),
-            )
-            .select(
-                *keys,
-                F.lit(hours).alias("window_hours"),
-                _plain("_w.end").alias("window_end"),
-                "mean_kw",
-                "stddev_kw",
-                ratio("stddev_kw", "mean_kw").alias("cv"),
-                "n",
-            )
+    # the longest window holds the others: one pass, one state, and per event as many copies as it has hours
+    longest = _timed(stream, ts, watermark).withColumn("_w", F.window(ts, f"{max(windows)} hours", "1 hour"))
+
+    def over(hours: int) -> Column:
+        late = F.col(ts) >= F.col("_w.end") - F.make_dt_interval(hours=F.lit(hours))
+        inside = F.when(late, F.col(value))
+        return F.struct(
+            F.avg(inside).alias("mean_kw"), F.stddev_samp(inside).alias("stddev_kw"), F.count(inside).alias("n"), F.count_if(late).alias("rows")
+        ).alias(f"_{hours}")
+
+    totals = longest.groupBy(*keys, "_w").agg(*[over(w) for w in windows])
+    lines = F.array(*[F.struct(F.lit(w).alias("window_hours"), F.col(f"_{w}").alias("s")) for w in windows])
+    return (
+        totals.select(*keys, _plain("_w.end").alias("window_end"), F.explode(lines).alias("_l"))
+        .filter("_l.s.rows > 0")
+        .select(
+            *keys,
+            "_l.window_hours",
+            "window_end",
+            "_l.s.mean_kw",
+            "_l.s.stddev_kw",
+            ratio("_l.s.stddev_kw", "_l.s.mean_kw").alias("cv"),
+            "_l.s.n",
         )
-
-    frames = [over(w) for w in windows]
-    table = frames[0]
-    for frame in frames[1:]:
-        table = table.unionByName(frame)
-    return table
+    )
 
 
 def stream_dedup(
