@@ -143,3 +143,23 @@ def test_a_large_table_is_not_broadcast(spark, make):
     plan = profiles.join_stats(df, stats)._jdf.queryExecution().analyzed().toString()
     assert plan.count("strategy=broadcast") <= 3  # hot keys and their rows of the table, never the table
     assert profiles.join_stats(df, stats).count() == 5
+
+
+def test_staged_tables_can_be_dropped(spark, monkeypatch):
+    from wattline import session
+
+    monkeypatch.setattr(session, "_STAGED", [])
+    df = session.stage(spark.range(6).withColumn("k", F.col("id") % 2), "gone", ["k"])
+    assert df.count() == 6 and df.columns == ["id", "k"]
+    assert session.drop_staged(spark) == 1
+    with pytest.raises(Exception, match="exist|FILE_NOT|FileNotFound"):
+        df.count()
+
+
+def test_reports_are_built_when_asked_for():
+    from wattline.plans.reports import Reports
+
+    made = []
+    reports = Reports({"a": lambda: made.append("a") or 1, "b": lambda: made.append("b") or 2})
+    assert list(reports) == ["a", "b"] and not made
+    assert reports["b"] == 2 and reports["b"] == 2 and made == ["b"]
