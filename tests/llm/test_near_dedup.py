@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -74,10 +75,11 @@ def test_components(spark):
 
 
 def test_shape_meets_the_miss():
-    for percent in (80, 85, 95):
-        a, b = N.shape(percent, 0.003)
+    for percent, count in ((80, 10), (85, 10**6), (95, 10**10)):
+        (i, a), (j, b) = N.shape(percent, 0.003, count)
         s = percent / 100
-        assert (1 - (1 - s**3) ** a) * (1 - (1 - s**2) ** b) > 0.997
+        assert (1 - (1 - s**i) ** a) * (1 - (1 - s**j) ** b) > 0.997
+        assert i + j == max(5, round(math.log10(count)))
 
 
 def test_query_on_documents(spark, sf):

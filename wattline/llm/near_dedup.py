@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 from wattline.llm.common import NOT_BLANK, filled, mixed, slices, stored, strings, with_python, word_hashes
 from wattline.llm.components import components
 
-#: Minhashes in a group of either collection.
-WIDTHS = (3, 2)
 #: Documents of one block; two blocks meet in a task.
 BLOCK = 128
 #: The place of a missing id: after all others.
 _LAST = 2**63 - 1
 
 
-def shape(percent: int, miss: float) -> tuple[int, int]:
-    """Groups in the two collections, so that a pair right at the threshold is missed with at most the
-    chance `miss`."""
-    s = percent / 100
-    counts = []
-    for width in WIDTHS:
-        hit = min(s**width, 1 - 1e-12)
-        counts.append(max(1, math.ceil(math.log(miss / len(WIDTHS)) / math.log(1 - hit))))
-    return counts[0], counts[1]
+def shape(percent: int, miss: float, count: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """(minhashes in a group, groups) of the two collections.
+
+    A key has one minhash for each power of ten in the number of documents (five at least), so that two
+    texts with a tenth in common meet by chance about once; the groups are as many as it takes to
+    miss a pair right at the threshold with at most the chance `miss`.
+    """
+    width = max(5, math.floor(math.log10(max(count, 1))))
+    s, sides = percent / 100, []
+    for side in ((width + 1) // 2, width // 2):
+        hit = min(s**side, 1 - 1e-12)
+        sides.append((side, max(1, math.ceil(math.log(miss / 2) / math.log(1 - hit)))))
+    return sides[0], sides[1]
 
 
 def _constants(n: int, salt: int) -> np.ndarray:
@@ -69,11 +71,14 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.nd
     return rows[fresh], values[fresh]
 
 
-def sketch(raw: np.ndarray, bounds: np.ndarray, words: int, groups: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketch(
+    raw: np.ndarray, bounds: np.ndarray, words: int, sides: tuple[tuple[int, int], tuple[int, int]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set sizes, two-number set identities and table keys (rows x tables) of whole texts."""
     rows, values = shingle_sets(raw, bounds, words)
     n = len(bounds) - 1
     size = np.bincount(rows, minlength=n)
+    groups = [count for _, count in sides]
     identity, keys = np.zeros((n, 2), np.uint64), np.zeros((n, groups[0] * groups[1]), np.uint64)
     filled_rows = np.flatnonzero(size)
     if not len(filled_rows):
@@ -81,18 +86,18 @@ def sketch(raw: np.ndarray, bounds: np.ndarray, words: int, groups: tuple[int, i
     starts = np.searchsorted(rows, filled_rows)
     for k in range(2):
         identity[filled_rows, k] = np.add.reduceat(mixed(values + np.uint64(k + 1)), starts)
-    sides = []
-    for side, (width, count) in enumerate(zip(WIDTHS, groups)):
+    parts = []
+    for side, (width, count) in enumerate(sides):
         factor = _constants(width * count, 100 + side)
         group = np.zeros((count, len(starts)), np.uint64)
         for k in range(width * count):
             least = np.minimum.reduceat((values ^ factor[-1 - k]) * factor[k], starts)
             group[k // width] = mixed(group[k // width] * np.uint64(31) + least)
-        sides.append(group)
+        parts.append(group)
     for i in range(groups[0]):
         for j in range(groups[1]):
             t = i * groups[1] + j
-            keys[filled_rows, t] = mixed(sides[0][i] * np.uint64(3) + sides[1][j] * np.uint64(5) + np.uint64(t))
+            keys[filled_rows, t] = mixed(parts[0][i] * np.uint64(3) + parts[1][j] * np.uint64(5) + np.uint64(t))
     return size, identity, keys
 
 
@@ -165,14 +170,14 @@ def near_duplicates(
     """
     new = ("n_shingles", "component_id", "kept")
     names = [c for c in df.columns if c != text and c not in new]
-    groups = shape(percent, miss)
+    sides = shape(percent, miss, df.count())
+    tables = sides[0][1] * sides[1][1]
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         raw, bounds = strings(batch.column("_text"))
-        parts = [sketch(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], words, groups) for a, b in slices(bounds)]
+        parts = [sketch(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], words, sides) for a, b in slices(bounds)]
         size = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         one, two = (np.concatenate([p[1][:, k] for p in parts]).view(np.int64) if parts else size for k in range(2))
-        tables = groups[0] * groups[1]
         offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, tables, 0)))).astype(np.int32)
         keys = np.concatenate([p[2] for p in parts])[size > 0].ravel().view(np.int64) if parts else size
         return [pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys))]
@@ -188,7 +193,9 @@ def near_duplicates(
     clusters = components(touching)
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    texts = base.select(F.col("doc").alias("node"), "text").join(members, "node")
+    # a shuffle join at every size: member ids have no bound to broadcast, and beyond some size Spark puts its
+    # own Bloom filter of them before the shuffle of the texts
+    texts = base.select(F.col("doc").alias("node"), "text").join(members.hint("merge"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meeting = texts.select("*", other).select(
         "node", "text", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
