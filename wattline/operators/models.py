@@ -78,20 +78,22 @@ def forest_fit(
     Each forest is a distributed Spark ML fit over all rows of its key, so a key may be of any length;
     `parallelism` of them are fitted at a time.  The rows are computed once and stored by key, so each fit
     reads its own folder only.  Trees grow as deep as Spark allows; a split may fall between any two
-    values of `x` unless `max_bins` says otherwise.
+    values of `x` (in single precision, so that the last bits of a computed regressor make no values of
+    their own) unless `max_bins` says otherwise.
     """
     if key_values is not None and not key_values:
         raise ValueError("name the keys to model")
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = known.withColumn("_x", F.col(x).cast("float").cast("double"))
     if key_values is not None:
         known = known.filter(F.col(key).isin(list(key_values)))
     known = stage(known, "forest", [key])
     if key_values is None:
         key_values = [r[0] for r in known.select(key).distinct().orderBy(key).collect()]
         if not key_values:
-            return known.withColumn("yhat", F.lit(None).cast("double"))
-    bins = max_bins or max(2, known.agg(F.count_distinct(x)).first()[0])
-    features = VectorAssembler(inputCols=[x], outputCol="_features")
+            return known.drop("_x").withColumn("yhat", F.lit(None).cast("double"))
+    bins = max_bins or max(2, known.agg(F.count_distinct("_x")).first()[0])
+    features = VectorAssembler(inputCols=["_x"], outputCol="_features")
     forest = RandomForestRegressor(
         featuresCol="_features",
         labelCol=y,
@@ -102,11 +104,12 @@ def forest_fit(
         maxBins=bins,
         featureSubsetStrategy="all",
         maxMemoryInMB=512,  # fewer passes over the rows at the deep levels
+        cacheNodeIds=True,
     )
 
     def fit_one(wanted: object) -> DataFrame:
         rows = features.transform(known.filter(F.col(key) == F.lit(wanted)))
-        return forest.fit(rows).transform(rows).drop("_features")
+        return forest.fit(rows).transform(rows).drop("_features", "_x")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return reduce(DataFrame.unionByName, pool.map(fit_one, key_values))
