@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattline.session import stage
 
 #: Bytes of text that one numpy step looks at; longer texts make a step of their own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: Rows that one step of a Python operator takes at most.
 ROWS = 2000
 
@@ -53,6 +53,7 @@ def with_python(df: DataFrame, inputs: dict[str, Column], schema: str, step: Cal
             rows = batch.column(batch.schema.get_field_index("_row"))
             made = step(batch)
             yield pa.RecordBatch.from_arrays([rows, *made], names=["_row", *names])
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages, its free memory need not
 
     out = packed.mapInArrow(run, f"_row {row_type}, {schema}")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in keep], *names)

@@ -24,7 +24,7 @@ from wattline.llm.common import filled, slices, strings, with_python
 from wattline.llm.token_counts import pre_tokens
 
 #: Words that one worker remembers; words longer than LONG characters are searched one by one.
-REMEMBERED, LONG, CHUNK = 250_000, 64, 20_000
+REMEMBERED, LONG, CHUNK = 200_000, 64, 8_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = -1e18
 
@@ -278,7 +278,7 @@ def encode(df: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFra
         _, bounds = strings(batch.column("_text"))
         values = batch.column("_text").to_pylist()
         offsets, parts, digests, same, lists = [0], [], [], [], []
-        for a, b in slices(bounds, 1 << 20):
+        for a, b in slices(bounds):
             texts = [pre_tokens(t) if t else [] for t in values[a:b]]
             memory.learn(texts)
             for words, whole in zip(texts, values[a:b]):
