@@ -203,7 +203,8 @@ def near_duplicates(
     links = meeting.groupBy("component", "low", "high").applyInArrow(_verify(words, percent), "a bigint, b bigint")
     reached = components(links).select(F.col("node"), F.col("component").alias("least"))
     homes = sets.select("one", "two", "node").join(reached, "node", "left").select("one", "two", F.coalesce("least", "node").alias("least"))
-    out = rows.drop("keys").join(homes, ["one", "two"], "left").withColumn("least", F.coalesce("least", "doc"))
+    # stored, so that both sides of the join are dealt out anew and Spark can split the rows of a hot set
+    out = rows.drop("keys").join(stored(homes, "homes"), ["one", "two"], "left").withColumn("least", F.coalesce("least", "doc"))
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in names],
         F.col("size").alias("n_shingles"),
