@@ -57,3 +57,12 @@ def test_plan_grows_slowly():
     assert E.plan(10_000, 0.9, 0.005)[0] < E.plan(10**6, 0.9, 0.005)[0]
     bits, tables = E.plan(50_000, 0.9, 0.005)
     assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables > 0.994
+
+
+def test_keys_join_nothing(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(3, 16))
+    near = lambda c: [float(x) for x in c + 0.05 * rng.normal(size=16)]
+    rows = [(1, near(centres[0])), (2, near(centres[1]))] + [(k, near(c)) for k in (None, 7) for c in centres]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert result(E.near_vectors(df, miss=1e-6)) == brute(rows)

@@ -87,3 +87,27 @@ def test_query_on_documents(spark, sf):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in QUERIES["op8_minhash_near_dedup"](spark, sf).collect()), key=str)
     assert got == brute(rows, 3, 85)
     assert np.mean([m != k for k, _, m in got]) > 0
+
+
+def test_keys_join_nothing(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4)]
+    near = lambda b: " ".join([*b[:-1], f"w{rng.randrange(10**6)}"])
+    whole = [" ".join(b) for b in base]
+    rows = [(1, whole[0]), (2, whole[1]), (None, near(base[0])), (None, near(base[1])), (None, whole[0]), (None, whole[2]), (None, whole[2]), (None, near(base[2]))]
+    rows += [(7, near(base[0])), (7, near(base[1])), (7, whole[3]), (7, whole[3]), (8, near(base[3])), (None, None), (None, ""), (9, " ")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = {r["n"]: r["component_id"] for r in N.near_duplicates(df).collect()}
+    assert [got[n] for n in range(len(rows))] == [1, 2, 1, 2, 1, None, None, None, 1, 2, 7, 7, 7, None, None, 9]
+    left = {r["n"] for r in N.keep_one(df).collect()}
+    assert {0, 1, 13, 14, 15} <= left and len(left & {5, 6, 7}) == 1 and len(left & {10, 11}) == 1 and len(left) == 7
+
+
+def test_many_copies_without_a_key(spark, monkeypatch):
+    monkeypatch.setattr(N, "_often", lambda count: 5, raising=False)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(None, " ".join(words))] * 300 + [(None, " ".join([*words[:-1], "other"]))] * 300 + [(None, f"one{n} two three four five") for n in range(50)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    left = {r["n"] for r in N.keep_one(df).collect()}
+    assert len(left) == 51 and set(range(600, 650)) <= left

@@ -114,8 +114,9 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{key}`"), F.lit(last)).cast("bigint").alias("vec"),
         F.when(fit, F.transform(numbers, lambda x: x + F.lit(0.0))).alias("vector"),
     )
-    classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec").alias("node"), F.count("*").alias("copies"))
-    classes = stored(classes, "vectors")
+    classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"))
+    # a node is a distinct vector, numbered as it is stored: keys only label what links join
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     bits, tables = plan(classes.count(), cosine, miss)
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -142,9 +143,11 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     found = stored(full.select("*", share).groupBy("share").applyInArrow(_compare(cosine), "node bigint, other bigint, n bigint"), "links")
     links = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     reached = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    labels = reached.join(classes.select("node", "vec"), "node").groupBy("component").agg(F.min("vec").alias("least"))
+    reached = reached.join(labels, "component").select("node", "least")
     homes = (
         classes.join(links, "node", "left").join(reached, "node", "left")
-        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("least"))
+        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "vec").alias("least"))
     )
     out = rows.join(homes, "vector", "left").withColumn("least", F.coalesce("least", "vec"))
     return out.select(

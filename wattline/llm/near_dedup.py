@@ -9,10 +9,11 @@ products.  What leaves a block is a spanning forest of its links, never all pair
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import NOT_BLANK, filled, mixed, slices, stored, strings, with_python, word_hashes
@@ -155,22 +156,46 @@ def _verify(words: int, percent: int):
     return run
 
 
-def near_duplicates(
-    df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 0.003
-) -> DataFrame:
-    """`df` without its text, and n_shingles, component_id and kept.
+#: What tells rows apart: the key's number and 128 bits of the text's hash; equal ones are copies.
+_PLACE = ["doc", "text_one", "text_two"]
 
-    Two documents are linked if 100 * common shingles >= `percent` * all shingles of both, checked on
-    full sets of `words`-word shingles; a pair right at the threshold becomes a candidate with the chance
-    1 - `miss` at least, a closer one almost surely.  component_id is the smallest key that links reach, kept
-    says that it is the row's own.  Texts that are null, empty or blank have no shingles and no links;
-    rows with one set (repeated rows among them) are linked without a comparison; rows with one key are
-    one document; a null key counts as larger than all others, and as a component it is null.
-    Long texts are read whole, empty tables stay empty, columns with the new names are replaced.
-    """
-    new = ("n_shingles", "component_id", "kept")
-    names = [c for c in df.columns if c != text and c not in new]
-    sides = shape(percent, miss, df.count())
+
+def _place(text: str, key: str) -> list[Column]:
+    number = F.coalesce(F.col(f"`{key}`"), F.lit(_LAST)).cast("bigint")
+    return [c.alias(n) for c, n in zip((number, F.xxhash64(filled(text)), F.xxhash64(F.lit(1), filled(text))), _PLACE)]
+
+
+def _often(count: int) -> int:
+    """Copies beyond which a row is thinned in the map tasks; fewer than 10,000 kinds of rows have so many."""
+    return max(1000, count // 10_000)
+
+
+def _thinned(df: DataFrame, hot: list) -> DataFrame:
+    """`df` (with the columns of _PLACE) with the first copy in each task of the rows in `hot`."""
+    if not hot:
+        return df
+    known = {tuple(h) for h in hot}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for batch in batches:
+            take = []
+            for n, place in enumerate(zip(*(batch.column(c).to_pylist() for c in _PLACE))):
+                if place in met:
+                    continue
+                if place in known:
+                    met.add(place)
+                take.append(n)
+            yield batch if len(take) == batch.num_rows else batch.take(pa.array(take, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _marked(df: DataFrame, names: list[str], text: str, key: str, words: int, percent: int, miss: float) -> DataFrame:
+    """Rows of `df` (their columns `names` in one struct) with their place, n_shingles as size, and the least
+    place that links reach as best."""
+    total = df.count()
+    sides = shape(percent, miss, total)
     tables = sides[0][1] * sides[1][1]
 
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -182,11 +207,14 @@ def near_duplicates(
         keys = np.concatenate([p[2] for p in parts])[size > 0].ravel().view(np.int64) if parts else size
         return [pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys))]
 
-    number = F.coalesce(F.col(key), F.lit(_LAST)).cast("bigint").alias("doc")
-    base = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), number, filled(text).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(1)
+    base = df.select(row.alias("row"), *_place(text, key), filled(text).alias("text"))
     made = with_python(base, {"_text": F.col("text")}, "size bigint, one bigint, two bigint, keys array<bigint>", step)
     rows = stored(made.drop("text"), "sketches")
-    sets = rows.filter("size > 0").groupBy("one", "two").agg(F.min("doc").alias("node"), F.first("keys").alias("keys"))
+    # a node is a distinct set, numbered as it is stored: document numbers only label what links join
+    sets = rows.filter("size > 0").groupBy("one", "two")
+    sets = sets.agg(F.min(F.struct(*_PLACE)).alias("best"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     places = sets.select("node", F.explode("keys").alias("at"))
     hubs = places.groupBy("at").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("at", "hub")
     touching = places.join(hubs, "at").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -195,26 +223,65 @@ def near_duplicates(
     members = clusters.join(sizes, "component").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     # a shuffle join at every size: member ids have no bound to broadcast, and beyond some size Spark puts its
     # own Bloom filter of them before the shuffle of the texts
-    texts = base.select(F.col("doc").alias("node"), "text").join(members.hint("merge"), "node")
+    wanted = sets.select("node", "best.*").join(members, "node")
+    hot = sets.filter(F.col("n") > _often(total)).select("best.*").collect()
+    texts = _thinned(base.select(*_PLACE, "text"), hot).join(wanted.hint("merge"), _PLACE)
+    # rows with one place have one text: the join has brought them together
+    texts = texts.groupBy(*_PLACE).agg(*[F.first(c).alias(c) for c in ("text", "node", "component", "blocks", "block")])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meeting = texts.select("*", other).select(
         "node", "text", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     links = meeting.groupBy("component", "low", "high").applyInArrow(_verify(words, percent), "a bigint, b bigint")
-    reached = components(links).select(F.col("node"), F.col("component").alias("least"))
-    homes = sets.select("one", "two", "node").join(reached, "node", "left").select("one", "two", F.coalesce("least", "node").alias("least"))
+    reached = components(links)
+    labels = reached.join(sets.select("node", "best"), "node").groupBy("component").agg(F.min("best").alias("least"))
+    reached = reached.join(labels, "component").select("node", "least")
+    homes = sets.select("one", "two", "node", "best").join(reached, "node", "left").select("one", "two", F.coalesce("least", "best").alias("best"))
     # stored, so that both sides of the join are dealt out anew and Spark can split the rows of a hot set
-    out = rows.drop("keys").join(stored(homes, "homes"), ["one", "two"], "left").withColumn("least", F.coalesce("least", "doc"))
+    out = rows.drop("keys").join(stored(homes, "homes"), ["one", "two"], "left")
+    return out.withColumn("best", F.coalesce("best", F.struct(*_PLACE)))
+
+
+def near_duplicates(
+    df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 0.003
+) -> DataFrame:
+    """`df` without its text, and n_shingles, component_id and kept.
+
+    Two documents are linked if 100 * common shingles >= `percent` * all shingles of both, checked on
+    full sets of `words`-word shingles; a pair right at the threshold becomes a candidate with the chance
+    1 - `miss` at least, a closer one almost surely.  component_id is the smallest key that links reach, kept
+    says that it is the row's own.  Texts that are null, empty or blank have no shingles and no links;
+    rows with one set (repeated rows among them) are linked without a comparison; a key that several rows
+    have, or none, links nothing; a null key counts as larger than all others, and as a component it is null.
+    Long texts are read whole, empty tables stay empty, columns with the new names are replaced.
+    """
+    new = ("n_shingles", "component_id", "kept")
+    names = [c for c in df.columns if c != text and c not in new]
+    out = _marked(df, names, text, key, words, percent, miss)
+    least = F.col("best")["doc"]
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in names],
         F.col("size").alias("n_shingles"),
-        F.when(F.col("least") != _LAST, F.col("least")).alias("component_id"),
-        (F.col("least") == F.col("doc")).alias("kept"),
+        F.when(least != _LAST, least).alias("component_id"),
+        (least == F.col("doc")).alias("kept"),
     )
 
 
-def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """`df` with one document of each group of near-duplicates: the one with the smallest key."""
-    marked = near_duplicates(df.select(key, text), text, key, **options)
-    gone = marked.filter("not kept").select(key).distinct()
-    return df.join(gone, key, "left_anti").select(*df.columns)
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, miss: float = 0.003) -> DataFrame:
+    """`df` with one row of each group of near-duplicates: one with the smallest key.
+
+    Groups are those of `near_duplicates`; equal rows of one key, or of none, are copies like all others.
+    Texts without shingles stay.
+    """
+    marked = _marked(df.select(key, text), [], text, key, words, percent, miss).filter("size > 0")
+    own = F.struct(*_PLACE)
+    counted = marked.groupBy(*_PLACE).agg(F.count("*").alias("n"), F.first(F.col("best") == own).alias("wins"))
+    counted = stored(counted.filter("not wins or n > 1"), "copies")
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_place(text, key))
+    left = tagged.join(counted.select(*_PLACE), _PLACE, "left_anti").select("row")
+    again = counted.filter("wins")
+    if not again.isEmpty():
+        hot = again.filter(F.col("n") > _often(df.count())).select(*_PLACE).collect()
+        copies = _thinned(tagged, hot).join(again.select(*_PLACE), _PLACE, "left_semi")
+        left = left.unionByName(copies.groupBy(*_PLACE).agg(F.first("row").alias("row")).select("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
