@@ -66,3 +66,28 @@ def test_keys_join_nothing(spark):
     rows = [(1, near(centres[0])), (2, near(centres[1]))] + [(k, near(c)) for k in (None, 7) for c in centres]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     assert result(E.near_vectors(df, miss=1e-6)) == brute(rows)
+
+
+def test_work_of_a_full_bucket_is_dealt_out(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(E, "BLOCK", 8)
+    monkeypatch.setattr(E, "WORK", 64)
+    compare, folder = E._compare, str(tmp_path)
+
+    def watched(cosine):
+        run = compare(cosine)
+
+        def counted(table):
+            with open(f"{folder}/{table.column('share')[0].as_py()}", "w") as out:
+                out.write(str(len(table)))
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(E, "_compare", watched)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=16)
+    rows = [(k, [float(x) for x in centre + 0.05 * rng.normal(size=16)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert result(E.near_vectors(df, miss=1e-6)) == brute(rows)
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert np.mean(sizes) < 100 and max(sizes) < 64 * 5

@@ -133,13 +133,16 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     signed = stored(signed, "signs")
     places = signed.select("node", "size", F.posexplode("signs").alias("tab", "val"))
     buckets = places.groupBy("size", "tab", "val").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    buckets = buckets.filter("n > 1").drop("n")
+    buckets = stored(buckets.filter("n > 1"), "buckets")
+    # a vector of a full bucket is sent once for each block it meets
+    sent = buckets.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    buckets = buckets.drop("n")
     spread = places.join(buckets, ["size", "tab", "val"]).withColumn("block", F.pmod(F.hash("node", "tab"), F.col("blocks")))
     spread = spread.select("node", "tab", "val", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     work = spread.select("node", "tab", "val", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     full = work.join(signed, "node")
-    shares = max(8, classes.count() * tables // WORK)
-    share = F.pmod(F.hash("size", "tab", "val", "low", "high"), F.lit(shares)).alias("share")
+    shares = max(8, -(-sent // WORK))
+    share = F.pmod(F.xxhash64("size", "tab", "val", "low", "high"), F.lit(shares)).alias("share")
     found = stored(full.select("*", share).groupBy("share").applyInArrow(_compare(cosine), "node bigint, other bigint, n bigint"), "links")
     links = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     reached = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
