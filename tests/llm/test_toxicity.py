@@ -54,3 +54,12 @@ def test_odd_rows(spark):
     assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out)
     assert {r["score"] for r in T.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
     assert T.score_toxicity(df.limit(0), labels).count() == 0
+
+
+def test_disguises_at_the_edges_of_words(spark):
+    docs = spark.createDataFrame([(k, "the bad shit and the ass of it was good, all in all a fuck") for k in range(300)], "doc_id long, text string")
+    channel = T.Channel(T.letter_costs(T.letter_counts(docs)))
+    written = ["a$$", "a55", "shi7", "shi+", "5 h i t", "@ s s", "s  h\ti\n t", "fuuck", "good", "all"]
+    assert [channel.clear(f"the {w} of").split() for w in written] == [
+        ["the", w, "of"] for w in ("ass", "ass", "shit", "shit", "shit", "ass", "shit", "fuck", "good", "all")
+    ]

@@ -2,7 +2,7 @@
 
 A noisy-channel model restores disguised words first.  Every character that may stand for others opens
 a small lattice (a leet sign as the letters it looks like, a blank between single letters as nothing, a
-letter written many times as one or two); the Viterbi path with the least cost under a letter trigram
+letter written twice or more as one or two); the Viterbi path with the least cost under a letter trigram
 model, counted over all documents, is the restored text.  Words of the restored text, and their first
 letters, then go into a sparse logistic regression; a text is also at least as toxic as its most telling
 word alone makes it, by the lower confidence bound of that word's share of toxic texts.
@@ -28,20 +28,21 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
 }
 #: Costs, in nats, of the channel: a sign for a letter, a sign as it is; a blank between single letters
-#: left out, the same kept; letters left out.
-SIGN, PLAIN, JOIN, SPLIT, REPEAT = 1.0, 9.0, 0.2, 5.0, 1.0
+#: left out, the same kept; letters left out, one of a common pair left out.
+SIGN, PLAIN, JOIN, SPLIT, REPEAT, PAIR = 1.0, 9.0, 0.2, 5.0, 1.0, 4.0
 #: Symbols of the letter model: a to z, any other letter, the edge of a word.
 OTHER, EDGE, SYMBOLS = 26, 27, 28
 #: Labelled rows that the classifier is fitted on at most, and hashed features.
 SAMPLE, BINS = 12_000, 1 << 22
 _SIGNS = re.escape("".join(LEET))
-_HINT = re.compile(
-    rf"[{_SIGNS}][a-z]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_][ .\-_*][^\W\d_](?![^\W_])", re.UNICODE
-)
+_GAP = r"[\s.\-_*]+"
+_ONE = rf"(?:[^\W_]|[{_SIGNS}])"
 _SPAN = re.compile(
-    rf"(?<![^\W_])[^\W\d_{_SIGNS}](?:[ .\-_*][^\W_{_SIGNS}]|[ .\-_*][{_SIGNS}](?![^\W_])){{2,}}(?![^\W_])"  # spaced letters
+    # single letters and signs with gaps, a letter among them
+    rf"(?<![^\W_])(?=(?:[{_SIGNS}]{_GAP})*[^\W\d_])(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])"
     rf"|(?<![^\W_])[^\W_{_SIGNS}]*(?:[{_SIGNS}]+[^\W_{_SIGNS}]+)+[{_SIGNS}]*"  # signs before letters
-    r"|(?<![^\W_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # letters written many times
+    rf"|(?<![^\W_])[^\W_{_SIGNS}]*[^\W\d_][{_SIGNS}]+"  # signs after the last letter
+    r"|(?<![^\W_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*"  # letters written twice or more
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _TABLE = np.full(0x110000, EDGE, np.uint8)
@@ -101,6 +102,9 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         elif run - k >= 3:
             places.append([(c, REPEAT), (c * 2, REPEAT), (c * (run - k), 0.0)])
             k = run
+        elif run - k == 2:
+            places.append([(c, PAIR), (c * 2, 0.0)])
+            k = run
         else:
             places.append([(c, 0.0)])
             k += 1
@@ -145,7 +149,7 @@ class Channel:
     def clear(self, text: str) -> str:
         """The lower-cased text with every disguised span restored."""
         low = text.lower()
-        return _SPAN.sub(lambda m: self.restore(m.group(0)), low) if _HINT.search(low) else low
+        return _SPAN.sub(lambda m: self.restore(m.group(0)), low)
 
 
 def terms(text: str, restored: str) -> set[str]:
