@@ -11,6 +11,7 @@ from wattline.llm import (
     decontamination,
     embeddings,
     language,
+    merkle,
     near_dedup,
     quality,
     segmentation,
@@ -135,3 +136,77 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op4_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     return warc.derive(documents(spark, sf, "pages"))
+
+
+def _sql_crc32(text: str) -> str:
+    """crc32 of an ASCII text: each byte is xored in, then come eight steps of the reversed polynomial."""
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda c: xor(c >> 1, 3988292384 * (c & 1)))[1]"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)))"
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["doc_id", "source", "lang", "n_chars"]
+    docs = documents(spark, sf).select(*names, "text")
+    fields = [F.col(c) for c in names]
+    tampered = merkle.leaf(*fields, F.translate("text", "\n", ""))
+    keep = {"doc_id": F.col("doc_id"), "tampered": F.when(remainder("doc_id", 2) == 0, tampered)}
+    built = merkle.manifest(docs, merkle.leaf(*fields, F.col("text")), "source", ["doc_id"], keep)
+    refolded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    proofs = built.proofs().withColumn("proof", merkle.path_digest(F.col("path"))).withColumn("refolded", refolded)
+    return proofs.select(
+        "doc_id",
+        merkle.written(F.col("leaf")).alias("leaf"),
+        merkle.written(F.col("subroot")).alias("subroot"),
+        merkle.written(F.col("root")).alias("root"),
+        merkle.written(F.col("proof")).alias("proof_sha256"),
+        merkle.written(F.col("refolded")).alias("folded_root"),
+        (F.col("refolded") == F.col("root")).alias("verified"),
+    )
+
+
+def _sql_field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_sql_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _sql_tree(name: str, leaves: str) -> str:
+    """Nodes of a forest, and the digests left and right of each in its run."""
+    return f"""{name} AS (SELECT tree, 0 AS level, idx, n, hash FROM {leaves}
+  UNION ALL SELECT tree, level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 3),
+{name}_run AS (SELECT a.tree, a.level, a.idx,
+  coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+  coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.idx)"""
+
+
+def _sql_fold(name: str, start: str, runs: str) -> str:
+    """Each leaf's way to its root: the hash so far and the siblings met."""
+    return f"""{name} AS ({start}
+  UNION ALL SELECT f.doc, f.tree, f.level + 1, f.idx // 3, sha256(r.l || f.h || r.r), f.p || r.l || r.r
+  FROM {name} f JOIN {runs} r ON f.tree = r.tree AND f.level = r.level AND f.idx = r.idx)"""
+
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce('=' || source, '') AS tree, {_sql_leaf("text")} AS leaf,
+  CASE WHEN {_sql_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN {_sql_leaf("replace(text, chr(10), '')")} END AS changed FROM documents),
+leaves AS (SELECT *, leaf AS hash, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_sql_tree("node", "leaves")},
+groups AS (SELECT '' AS tree, tree AS source, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM node WHERE n = 1),
+{_sql_tree("top", "groups")},
+{_sql_fold("way", "SELECT doc, tree, 0 AS level, idx, coalesce(changed, leaf) AS h, '' AS p FROM leaves", "node_run")},
+reached AS (SELECT doc, tree, arg_max(h, level) AS h, arg_max(p, level) AS p FROM way GROUP BY doc, tree),
+{_sql_fold("rest", "SELECT doc, '' AS tree, 0 AS level, idx, h, p FROM reached JOIN groups ON groups.source = reached.tree", "top_run")},
+done AS (SELECT doc, arg_max(h, level) AS h, arg_max(p, level) AS p FROM rest GROUP BY doc)
+SELECT doc_id, leaf, groups.hash AS subroot, top.hash AS root, sha256(p) AS proof_sha256, h AS folded_root, h = top.hash AS verified
+FROM leaves JOIN done USING (doc) JOIN groups ON groups.source = leaves.tree JOIN top ON top.n = 1"""
