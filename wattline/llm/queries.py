@@ -14,6 +14,7 @@ from wattline.llm import (
     merkle,
     near_dedup,
     quality,
+    repair,
     segmentation,
     suffix_dedup,
     token_counts,
@@ -210,3 +211,30 @@ reached AS (SELECT doc, tree, arg_max(h, level) AS h, arg_max(p, level) AS p FRO
 done AS (SELECT doc, arg_max(h, level) AS h, arg_max(p, level) AS p FROM rest GROUP BY doc)
 SELECT doc_id, leaf, groups.hash AS subroot, top.hash AS root, sha256(p) AS proof_sha256, h AS folded_root, h = top.hash AS verified
 FROM leaves JOIN done USING (doc) JOIN groups ON groups.source = leaves.tree JOIN top ON top.n = 1"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows with planted faults, by crc32 of `conv:turn` modulo 20 (nulls: one space)."""
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv", "turn"))
+    name = F.concat(conv, F.lit(":"), turn)
+    drawn = rows.withColumn("_draw", F.crc32(name.cast("binary")) % 20).filter("_draw <> 0")
+    text = F.when(F.col("_draw") == 1, "").when(F.col("_draw") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_draw") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(1), F.when(F.col("_draw") == 3, 2).otherwise(1))
+    return drawn.select("conv", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = repair.rows_of(documents(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    broken = damaged(rows)
+    repairs = repair.find_repairs(broken)
+    done = repairs.join(repair.repaired_digests(broken, repairs).withColumnRenamed("conv", "_conv"), F.col("conv").eqNullSafe(F.col("_conv")))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    all_ids = rows.select(F.col("conv").alias("conv_id")).distinct()
+    return all_ids.join(done, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
