@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.operators.covariate import best_lag, lag_correlation, shift_covariate
-from wattline.plans.attach import attach
+from wattline.operators.forest import forest_answers
+from wattline.plans.attach import attach, join_on
 from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
@@ -70,49 +68,24 @@ def forest_fit(
     seed: int = 42,
     max_depth: int = 30,
     max_bins: int | None = None,
-    parallelism: int = 4,
-    key: str = KEYS[0],
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """In-sample predictions `yhat` of one random forest per key: all keys, or the ones named.
+    """In-sample predictions `yhat` of one random forest per key: all keys, or those whose first part is named.
 
-    Each forest is a distributed Spark ML fit over all rows of its key, so a key may be of any length;
-    `parallelism` of them are fitted at a time.  The rows are computed once and stored by key, so each fit
-    reads its own folder only.  Trees grow as deep as Spark allows; a split may fall between any two
-    values of `x` (in single precision, so that the last bits of a computed regressor make no values of
-    their own) unless `max_bins` says otherwise.
+    All forests grow in one pass (`operators.forest`), so neither the number of keys nor the length of one
+    adds Spark jobs.  A split may fall between any two values of `x` (in single precision, so that the last
+    bits of a computed regressor make no values of their own), or between `max_bins` bins of about equally
+    many rows.  Rows without `x` or `y` are left out; a NULL key is a key like any other.
     """
     if key_values is not None and not key_values:
         raise ValueError("name the keys to model")
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     known = known.withColumn("_x", F.col(x).cast("float").cast("double"))
     if key_values is not None:
-        known = known.filter(F.col(key).isin(list(key_values)))
-    known = stage(known, "forest", [key])
-    if key_values is None:
-        key_values = [r[0] for r in known.select(key).distinct().orderBy(key).collect()]
-        if not key_values:
-            return known.drop("_x").withColumn("yhat", F.lit(None).cast("double"))
-    bins = max_bins or max(2, known.agg(F.count_distinct("_x")).first()[0])
-    features = VectorAssembler(inputCols=["_x"], outputCol="_features")
-    forest = RandomForestRegressor(
-        featuresCol="_features",
-        labelCol=y,
-        predictionCol="yhat",
-        numTrees=trees,
-        seed=seed,
-        maxDepth=max_depth,
-        maxBins=bins,
-        featureSubsetStrategy="all",
-        maxMemoryInMB=512,  # fewer passes over the rows at the deep levels
-        cacheNodeIds=True,
-    )
-
-    def fit_one(wanted: object) -> DataFrame:
-        rows = features.transform(known.filter(F.col(key) == F.lit(wanted)))
-        return forest.fit(rows).transform(rows).drop("_features", "_x")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fit_one, key_values))
+        named = F.col(keys[0]).isin([k for k in key_values if k is not None])
+        known = known.filter(named | F.col(keys[0]).isNull() if None in key_values else named)
+    known = stage(known, "forest")
+    return forest_answers(known, y, trees, seed, max_depth, max_bins, keys).drop("_x")
 
 
 @nan_is_missing
@@ -144,12 +117,10 @@ def model_comparison(
     for column, lags in ((x, at_zero), (f"{x}_shifted", at_best)):
         fit = linear_fit(shifted, column, value, coef_scale, keys)
         errors = regression_metrics(linear_predict(shifted, fit, column, keys, scale), value, keys=keys)
-        line = fit.join(errors, list(keys)).withColumn("model", F.lit("linear"))
-        parts.append(lags.join(line, list(keys)))
+        line = join_on(fit, errors, keys, "inner", null_safe=True).withColumn("model", F.lit("linear"))
+        parts.append(join_on(lags, line, keys, "inner", null_safe=True))
         if key_values:
-            predicted = forest_fit(
-                shifted, key_values, column, value, trees, seed, max_depth, key=keys[0]
-            )
+            predicted = forest_fit(shifted, key_values, column, value, trees, seed, max_depth, keys=keys)
             forest = regression_metrics(predicted, value, keys=keys).withColumn("model", F.lit("forest"))
-            parts.append(lags.join(forest, list(keys)))
+            parts.append(join_on(lags, forest, keys, "inner", null_safe=True))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
