@@ -944,8 +944,43 @@ _per_source(
       GROUP BY 1, 2, 3 HAVING count(DISTINCT method) >= 2""",
     "power_kw",
 )
-# random trees have no SQL twin; tests/test_isolation.py checks them
-_register("isolation_forest", lambda s, d: isolation.isolation_forest(_stored(_readings)(s, d)))
+
+
+def _sql_absorbed(state: str, part: str) -> str:
+    """The hash step of the draws."""
+    first = f"(({state}) + {part}) * 48271 % 2147483647"
+    second = f"list_transform([{first}], lambda x: xor(x, x >> 15) * 69621 % 2147483647)[1]"
+    return f"list_transform([{second}], lambda x: xor(x, x >> 13))[1]"
+
+
+def _sql_path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + 0.5772156649015329e0) - 2e0 * ({n} - 1e0) / {n} END"
+
+
+#: Every tree by recursion: the readings it sees and all values walk down together; a node lies between the readings in it.
+ISOLATION = f""", seen AS (SELECT meter_id, power_kw AS v, row_number() OVER (PARTITION BY meter_id ORDER BY ts, power_kw) - 1 AS r,
+    count(*) OVER (PARTITION BY meter_id) AS n, CAST('0x' || substr(md5(CAST(meter_id AS VARCHAR)), 1, 7) AS BIGINT) + 42 AS own
+    FROM (SELECT DISTINCT meter_id, ts, power_kw FROM readings)),
+  sized AS (SELECT *, least(n, 256) AS size, greatest(1, n // least(n, 256)) AS hands FROM seen),
+  dealt AS (SELECT *, row_number() OVER (PARTITION BY meter_id, deal ORDER BY {_sql_absorbed(_sql_absorbed(_sql_absorbed("0", "own"), "deal"), "r")}, r) - 1 AS place
+    FROM sized, unnest(range(0, CAST(ceil(100 / hands) AS BIGINT))) AS t(deal)),
+  start AS (SELECT meter_id, own, size, deal * hands + place // size AS tree, v, true AS inner_one FROM dealt
+    WHERE place < hands * size AND deal * hands + place // size < 100
+    UNION ALL SELECT meter_id, own, size, tree, v, false FROM (SELECT DISTINCT meter_id, own, size, v FROM sized), unnest(range(0, 100)) AS t(tree)),
+  walk AS (SELECT *, 1 AS node, 0 AS depth, NULL::DOUBLE AS path FROM start
+    UNION ALL SELECT meter_id, own, size, tree, v, inner_one,
+      2 * node + CASE WHEN v > lo + (hi - lo) * ({_sql_absorbed(_sql_absorbed(_sql_absorbed("1", "own"), "tree"), "node")} / 2147483648e0) THEN 1 ELSE 0 END, depth + 1,
+      CASE WHEN lo < hi AND depth < ceil(log2(greatest(size, 2))) THEN NULL ELSE depth + {_sql_path("held")} END
+    FROM (SELECT *, min(CASE WHEN inner_one THEN v END) OVER w AS lo, max(CASE WHEN inner_one THEN v END) OVER w AS hi,
+      count(CASE WHEN inner_one THEN 1 END) OVER w AS held FROM walk WHERE path IS NULL WINDOW w AS (PARTITION BY meter_id, tree, node))),
+  scores AS (SELECT meter_id, v AS power_kw,
+    round(power(2e0, -avg(path) / CASE WHEN any_value(size) <= 2 THEN 1e0 ELSE {_sql_path("any_value(size)")} END), 12) AS score
+    FROM walk WHERE path IS NOT NULL AND NOT inner_one GROUP BY 1, 2),
+  judged AS (SELECT r.*, score, quantile_cont(score, 0.99) OVER (PARTITION BY meter_id) AS lim FROM readings r JOIN scores USING (meter_id, power_kw))
+  SELECT * EXCLUDE (lim) FROM judged WHERE score > lim"""
+_per_source("isolation_forest", isolation.isolation_forest, ISOLATION, "power_kw score", "_by_user")
+for _name in ("isolation_forest", "isolation_forest_by_user"):
+    _SQL[_name] = _SQL[_name].replace("WITH readings", "WITH RECURSIVE readings", 1)
 
 # --- covariate and models -------------------------------------------------------------------------
 

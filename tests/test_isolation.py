@@ -40,26 +40,43 @@ def test_copies_of_one_reading_cannot_fill_a_group(make):
     assert draw(df, 50, 256).count() == 100
 
 
-def plain_trees(values, trees, sample, rng):
-    """The same trees one node at a time: lists of (lo, hi, cut value) by level, with the same draws."""
-    picks = [np.sort(values[rng.choice(len(values), sample, replace=False)]) for _ in range(trees)]
+def plain_trees(values, trees, sample, own):
+    """The same trees one node at a time, with the same draws."""
     limit = int(np.ceil(np.log2(sample)))
-    nodes = [{"v": v, "depth": 0} for v in picks]
+    nodes = [
+        {"v": np.sort(values[p]), "depth": 0, "tree": t, "node": 1}
+        for t, p in enumerate(isolation.sample_places(len(values), trees, sample, own))
+    ]
     level = nodes
     while level:
         live = [n for n in level if len(n["v"]) > 1 and n["v"][0] != n["v"][-1] and n["depth"] < limit]
-        for n, u in zip(live, rng.random(len(live))):
-            n["at"] = n["v"][0] + (n["v"][-1] - n["v"][0]) * u
-            n["left"] = {"v": n["v"][n["v"] <= n["at"]], "depth": n["depth"] + 1}
-            n["right"] = {"v": n["v"][n["v"] > n["at"]], "depth": n["depth"] + 1}
-        level = [n["left"] for n in live] + [n["right"] for n in live]
+        for n in live:
+            n["at"] = n["v"][0] + (n["v"][-1] - n["v"][0]) * isolation.cut_shares(n["tree"], n["node"], own)
+            for side, inside, k in (("left", n["v"] <= n["at"], 0), ("right", n["v"] > n["at"], 1)):
+                n[side] = {"v": n["v"][inside], "depth": n["depth"] + 1, "tree": n["tree"], "node": 2 * n["node"] + k}
+        level = [n[side] for n in live for side in ("left", "right")]
     return nodes
 
 
+def test_samples_are_dealt_out():
+    for n, trees, sample in ((720, 100, 256), (60, 7, 40), (10, 5, 16), (5000, 30, 64)):
+        picks = isolation.sample_places(n, trees, sample, 77)
+        assert picks.shape == (trees, min(sample, n)) and all(len(set(p)) == len(p) for p in picks)
+        hands = min(trees, n // min(sample, n))
+        assert len(np.unique(picks[:hands])) == hands * min(sample, n)  # one deal shares no reading
+    counts = np.bincount(isolation.sample_places(1000, 400, 100, 5).ravel(), minlength=1000)
+    assert counts.min() == counts.max() == 40
+    firsts = isolation.sample_places(50, 4000, 50, 9)[:, 0]
+    assert np.bincount(firsts, minlength=50).std() < 20  # about 80 each, chance gives 9
+    shares = isolation.cut_shares(np.arange(2000) % 100, np.arange(2000) // 100 + 1, 123)
+    assert abs(shares.mean() - 0.5) < 0.03 and abs(shares.std() - 12**-0.5) < 0.02
+    assert np.abs(np.corrcoef(shares[:-1], shares[1:])[0, 1]) < 0.06
+
+
 def test_steps_equal_a_walk_through_every_tree():
     values = np.random.default_rng(3).normal(size=60).round(1)
-    bounds, level = isolation.grow_steps(values, 7, 40, np.random.default_rng(11))
-    nodes = plain_trees(values, 7, 40, np.random.default_rng(11))
+    bounds, level = isolation.grow_steps(values, 7, 40, 11)
+    nodes = plain_trees(values, 7, 40, 11)
     for x in [*values, -9.0, 9.0]:
         paths = []
         for node in nodes:

@@ -9,7 +9,7 @@ before them.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -61,7 +61,44 @@ def draw_pool(
     return rows.dropDuplicates([*keys, ts, "_v"])
 
 
-def grow_steps(values: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+# fixed values: modulus and multipliers of the draws (any engine's 64-bit integers can make them)
+_MODULUS, _FIRST, _SECOND = 2147483647, 48271, 69621
+
+
+def absorbed(state: np.ndarray | int, part: np.ndarray | int) -> np.ndarray | int:
+    """A number below 2**31 that depends on `state` and `part` (both below 2**31), a hash step."""
+    x = (state + part) * _FIRST % _MODULUS
+    x = (x ^ (x >> 15)) * _SECOND % _MODULUS
+    return x ^ (x >> 13)
+
+
+def key_number(key: tuple, seed: int) -> int:
+    """What the draws of a key start from: seven hex digits of its md5, and the seed."""
+    text = "\x1f".join(str(part) for part in key)
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:7], 16) + seed
+
+
+def sample_places(n: int, trees: int, sample: int, own: int) -> np.ndarray:
+    """Which of `n` readings each tree sees (trees x min(sample, n)).
+
+    The readings are put in a random order and dealt out to as many trees as they suffice for; then
+    another order serves the next trees.
+    """
+    size = min(sample, n)
+    hands = max(1, n // size)
+    picks = []
+    for deal in range(-(-trees // hands)):
+        drawn = absorbed(absorbed(absorbed(0, own), deal), np.arange(n))
+        picks.append(np.argsort(drawn, kind="stable")[: hands * size].reshape(hands, size))
+    return np.concatenate(picks)[:trees]
+
+
+def cut_shares(tree: np.ndarray, node: np.ndarray, own: int) -> np.ndarray:
+    """Where in [0, 1) between its least and largest value a node (1 is the root, children 2k and 2k + 1) is cut."""
+    return absorbed(absorbed(absorbed(1, own), tree), node) / 2147483648.0
+
+
+def grow_steps(values: np.ndarray, trees: int, sample: int, own: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean path length by value over the trees of one key: boundaries, and the level before and after each.
 
     All trees grow together, level by level: a segment of a tree's sorted sample is cut at a uniform point
@@ -69,26 +106,24 @@ def grow_steps(values: np.ndarray, trees: int, sample: int, rng: np.random.Gener
     """
     size = min(sample, len(values))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    if size < len(values):
-        picks = np.stack([rng.choice(len(values), size, replace=False) for _ in range(trees)])
-    else:
-        picks = np.broadcast_to(np.arange(size), (trees, size))
+    picks = sample_places(len(values), trees, sample, own)
     grid = np.sort(values[picks], axis=1)
     levels = np.unique(values)
     flat = (np.arange(trees)[:, None] * len(levels) + np.searchsorted(levels, grid)).ravel()
     rest = np.array([mean_path(n) for n in range(size + 1)])
-    tree, lo, hi, depth = np.arange(trees), np.zeros(trees, np.int64), np.full(trees, size), 0
+    tree, node, lo, hi, depth = np.arange(trees), np.ones(trees, np.int64), np.zeros(trees, np.int64), np.full(trees, size), 0
     leaves, cuts = [], []
     while len(tree):
         first, last = grid[tree, lo], grid[tree, hi - 1]
         stop = (hi - lo <= 1) | (first == last) | (depth >= limit)
         leaves.append((tree[stop], lo[stop], depth + rest[(hi - lo)[stop]]))
-        tree, lo, hi, first, last = (x[~stop] for x in (tree, lo, hi, first, last))
-        at = first + (last - first) * rng.random(len(tree))
+        tree, node, lo, hi, first, last = (x[~stop] for x in (tree, node, lo, hi, first, last))
+        at = first + (last - first) * cut_shares(tree, node, own)
         place = np.searchsorted(levels, at, side="right") - 1
         cut = np.searchsorted(flat, tree * len(levels) + place, side="right") - tree * size
         cut = np.clip(cut, lo + 1, hi - 1)
         cuts.append((tree, cut, at))
+        node = np.concatenate((2 * node, 2 * node + 1))
         tree, lo, hi = np.concatenate((tree, tree)), np.concatenate((lo, cut)), np.concatenate((cut, hi))
         depth += 1
     tree, lo, path = (np.concatenate(x) for x in zip(*leaves))
@@ -115,9 +150,8 @@ def fit_steps(
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # the draw depends on the key and its readings, not on the order of arrival
-        own = zlib.crc32(repr(tuple(str(part) for part in key)).encode()) ^ seed
         values = rows.sort_values([ts, "_v"])["_v"].to_numpy()
-        bounds, level = grow_steps(values, trees, sample, np.random.default_rng(own))
+        bounds, level = grow_steps(values, trees, sample, key_number(key, seed))
         if rows["_n"].iloc[0] <= wanted:
             at = np.unique(values)
             steps = pd.DataFrame({"_v": at, "_path": level[np.searchsorted(bounds, at)], "_kind": -1})
@@ -171,9 +205,9 @@ def isolation_scores(
     scored = attach(known.filter("_kind = 0"), sizes, keys, scale)
     m = F.least(F.col("_n"), F.lit(sample)).cast("double")
     longest_path = F.when(m > 2, 2.0 * (F.log(m - 1.0) + float(np.euler_gamma)) - 2.0 * (m - 1.0) / m).otherwise(1.0)
-    return scored.select(
-        *keys, F.col("_v").alias(value), "_rows", F.pow(F.lit(2.0), -F.col("_known") / longest_path).alias("score")
-    )
+    # rounded, so that values with the same paths tie whatever the order of the sums
+    score = F.round(F.pow(F.lit(2.0), -F.col("_known") / longest_path), 12)
+    return scored.select(*keys, F.col("_v").alias(value), "_rows", score.alias("score"))
 
 
 @nan_is_missing
