@@ -1,16 +1,19 @@
 """No data is lost: small events, missing numbers, outliers in time, shifts in both directions."""
 
 import math
+import time
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import rows_of
 from wattline.functions.columns import in_hours, timestamp_from_text
-from wattline.operators import anomalies, autocorrelation, dsm, isolation, profiles, rolling
+from wattline.operators import anomalies, autocorrelation, covariate, dsm, isolation, profiles, rolling
 from wattline.plans.scale import measure
-from wattline.plans.series import _second, rank_slices, running
+from wattline.plans.series import range_parts, running
 from wattline.sources import tables
 
 T0 = datetime(2026, 1, 1)
@@ -59,8 +62,8 @@ def test_shift_is_the_same_on_both_plans(make, n):
 def test_one_early_timestamp_does_not_fill_a_slice(make):
     df = make([("1", h, 1.0) for h in range(400)] + [("1", -490_000, 1.0)])
     scale = replace(measure(df, ["meter_id"]), series_rows=50)
-    sizes = [r["count"] for r in rank_slices(df, ["meter_id"], _second("ts"), scale).groupBy("_chunk").count().collect()]
-    assert sum(sizes) == 401 and max(sizes) <= 50
+    sizes = [r["count"] for r in range_parts(df, ["meter_id"], ["ts"], scale).groupBy("_part").count().collect()]
+    assert sum(sizes) == 401 and len(sizes) == 4 and max(sizes) <= 150  # the session has 4 shuffle partitions
     long = running(df, {"n": ("sum", F.lit(1))}, ["meter_id"], ["ts"], scale=scale)
     assert sorted(r["n"] for r in long.collect()) == list(range(1, 402))
 
@@ -163,3 +166,64 @@ def test_reports_are_built_when_asked_for():
     reports = Reports({"a": lambda: made.append("a") or 1, "b": lambda: made.append("b") or 2})
     assert list(reports) == ["a", "b"] and not made
     assert reports["b"] == 2 and reports["b"] == 2 and made == ["b"]
+
+
+@pytest.mark.parametrize("before", [0, 1, 30, 99])
+@pytest.mark.parametrize("max_lag", [1, 50, 256, 257, 700])
+def test_lagged_sums(before, max_lag):
+    x = np.random.default_rng(5).normal(size=100)
+    want = [sum(x[i] * x[i - k] for i in range(max(before, k), 100)) for k in range(max_lag + 1)]
+    assert autocorrelation.lagged_sums(x, before, max_lag) == pytest.approx(want, abs=1e-10)
+
+
+def test_acf_of_many_lags_is_the_same_on_both_plans(make):
+    df = make([("a", h, (h * 13) % 17 + h % 24) for h in range(500)] + [(None, h, h % 5) for h in range(40)])
+    scale = measure(df, ["meter_id"])
+    rows = lambda s: rows_of(autocorrelation.acf(df, 300, scale=s), digits=9)
+    got = rows(scale)
+    assert len(got) == 300 + 39 and rows(replace(scale, series_rows=50, block_rows=40)) == got
+
+
+def test_acf_by_time_of_a_fine_series(spark):
+    """Readings ten seconds apart: the work grows with the lags, not with the readings of an hour."""
+    second = F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 10)")
+    df = spark.range(40_000).select(F.lit("m").alias("meter_id"), second.alias("ts"), ((F.col("id") * 7919) % 101).cast("double").alias("power_kw"))
+    autocorrelation.acf(df.limit(500), 3, by="time").collect()
+    begun = time.time()
+    got = {r["lag"]: r["acf"] for r in autocorrelation.acf(df, 24, by="time").collect()}
+    assert time.time() - begun < 15  # some 3 s; all readings of the last 24 hours for each took 51 s
+    x = np.array([(k * 7919) % 101 for k in range(40_000)], float)
+    x -= x.mean()
+    assert got == pytest.approx({k: (x[360 * k :] @ x[: len(x) - 360 * k]) / (x @ x) for k in range(1, 25)})
+
+
+def test_fractions_of_a_second_are_moments(make):
+    half = make([("a", h, h) for h in range(5)]).withColumn("ts", F.col("ts") + F.expr("INTERVAL 0.5 SECONDS"))
+    df = make([("a", h, -h) for h in range(5)]).unionByName(half)
+    got = {r["lag"]: r["acf"] for r in autocorrelation.acf(df, 2, by="time").collect()}
+    x = np.arange(5.0)
+    assert got == pytest.approx({k: 2 * (x[k:] @ x[: 5 - k]) / (2 * x @ x) for k in (1, 2)})
+
+
+def test_no_cuts_are_broadcast(make):
+    """The carry of a prefix scan has a row per key and partition, and no join is forced to broadcast it."""
+    df = make([(f"m{k}", h, 1.0) for k in range(30) for h in range(60)])
+    scale = replace(measure(df, ["meter_id"]), series_rows=10)
+    parts = range_parts(df, ["meter_id"], ["ts"], scale)
+    assert parts.select("meter_id", "_part").distinct().count() <= 30 + 4
+    sums = running(df, {"s": ("sum", F.col("power_kw"))}, ["meter_id"], ["ts"], scale=scale)
+    assert "ResolvedHint" not in sums._jdf.queryExecution().toString() and "strategy=broadcast" not in sums._jdf.queryExecution().toString()
+    assert sums.groupBy("meter_id").agg(F.max("s").alias("s")).filter("s <> 60").count() == 0
+
+
+def test_asof_feed_of_one_day_is_spread(spark):
+    """A day of readings by the second: the scan puts no day into one task."""
+    second = F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
+    df = spark.range(20_000).select((F.col("id") % 3).cast("string").alias("meter_id"), second.alias("ts"), F.lit(1.0).alias("power_kw"))
+    feed = spark.range(200).select(F.expr("timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, id * 97 + 5)").alias("ts"), F.col("id").cast("double").alias("temp"))
+    parts = range_parts(df.select("ts").distinct(), [], ["ts"], measure(df, [])).groupBy("_part").count().collect()
+    assert len(parts) >= 2 and max(r["count"] for r in parts) < 15_000
+    got = covariate.attach_covariate(df, feed, asof=True)
+    wrong = F.expr("NOT (temp <=> CASE WHEN s >= 5 THEN least(floor((s - 5) / 97), 199) END)")
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    assert got.count() == 20_000 and got.withColumn("s", seconds).filter(wrong).count() == 0

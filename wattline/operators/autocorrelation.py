@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wattline.functions.columns import nan_to_null, ratio
+from wattline.functions.columns import ratio
 from wattline.plans.attach import attach, join_on
 from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, recent, running, time_pairs
+from wattline.plans.series import look_back, position_blocks, running, time_pairs
 from wattline.schema import KEYS, TS, VALUE
 
-#: Up to so many lags, sums over the places of an array are one aggregation.
-ARRAY_LAGS = 100
+#: Up to so many lags are summed one by one; more, all at once by a Fourier transform.
+DIRECT_LAGS = 256
 
 
 @nan_is_missing
@@ -37,34 +40,63 @@ def acf(
     """
     if by not in ("position", "time"):
         raise ValueError("by must be 'position' or 'time'")
-    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, value)
-    means = known.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias(value))
     scale = scale or measure(known, keys)
-    centred = attach(known, means, keys, scale).select(
-        *keys, ts, (F.col(value) - F.col("_mean")).alias("_x")
-    )
+    if by == "position" and scale.short_series:
+        return _by_blocks(known, list(keys), ts, value, max_lag, list(keys), None)
+    means = known.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    centred = attach(known, means, keys, scale).select(*keys, ts, (F.col(value) - F.col("_mean")).alias("_x"))
     if by == "time":
         whole = centred.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_total"), F.count("_x").alias("n"))
         pairs = time_pairs(centred, "_x", max_lag, keys, ts, scale)
         sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
         table = join_on(sums, whole, keys, "inner", null_safe=True)
         return table.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
-    near = look_back(centred, lambda w: {"_recent": recent("_x", max_lag, w)}, max_lag, keys, ts, scale)
-    if max_lag <= ARRAY_LAGS:
-        # one row per key leaves the only pass: a sum for each place of the array, no row per pair
-        sums = [F.sum(F.col("_x") * nan_to_null(F.get("_recent", F.lit(k)))) for k in range(max_lag + 1)]
-        line = near.groupBy(*keys).agg(F.array(*sums).alias("_s"), F.count("_x").alias("n"))
-        lags = F.posexplode(F.slice("_s", 1, F.least(F.col("n").cast("int"), F.lit(max_lag + 1))))
-        long = line.select(*keys, "n", F.col("_s")[0].alias("_total"), lags.alias("lag", "_p"))
-        return long.filter("lag > 0").select(*keys, "lag", ratio(F.coalesce("_p", F.lit(0.0)), "_total").alias("acf"), "n")
-    paired = near.select(*keys, "_x", F.posexplode("_recent").alias("lag", "_y"))
-    products = F.sum(F.col("_x") * nan_to_null("_y"))
-    sums = paired.groupBy(*keys, "lag").agg(products.alias("_s"), F.count("_x").alias("_n"))
-    # lag 0 holds the sum of squares and the number of values
-    key = Window.partitionBy(*keys)
-    zero = F.col("lag") == 0
-    with_total = sums.withColumns({"_total": F.max(F.when(zero, F.col("_s"))).over(key), "n": F.max(F.when(zero, F.col("_n"))).over(key)})
-    return with_total.filter("lag > 0").select(*keys, "lag", ratio(F.coalesce("_s", F.lit(0.0)), "_total").alias("acf"), "n")
+    blocks = position_blocks(centred, keys, ts, max_lag, scale)
+    return _by_blocks(blocks, list(keys), "_pos", "_x", max_lag, [*keys, "_block"], "_home")
+
+
+def lagged_sums(x: np.ndarray, before: int, max_lag: int) -> np.ndarray:
+    """Sums of x[i] * x[i - k] over the values from place `before` on, for k up to `max_lag`."""
+    if max_lag <= DIRECT_LAGS:
+        return np.array([x[max(before, k) :] @ x[max(before, k) - k : max(len(x) - k, 0)] for k in range(max_lag + 1)])
+    own = x[before:]
+    padded = np.concatenate((np.zeros(max_lag), x))  # values before the first one count nothing
+    size = 1 << int(np.ceil(np.log2(len(padded) + len(own))))
+    products = np.fft.irfft(np.fft.rfft(padded, size) * np.conj(np.fft.rfft(own, size)), size)
+    return products[before + max_lag - np.arange(max_lag + 1)]  # at shift d: the sum of own[i] * padded[i + d]
+
+
+def _by_blocks(
+    df: DataFrame, keys: list[str], order: str, value: str, max_lag: int, by: list[str], home: str | None
+) -> DataFrame:
+    """Autocorrelation from the sums of each block, all lags of a block in one step.
+
+    A block is a whole series, centred here, or a stretch of a long one with copies of the rows before it.
+    """
+    number = T.StructField("_s", T.DoubleType())
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("lag", T.IntegerType()), number, T.StructField("_n", T.LongType())])
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        x, before = rows[value].to_numpy(float), 0
+        if home is None:
+            x = x - x.mean()
+        else:
+            before = int((rows[home] != rows["_block"]).sum())
+        found = lagged_sums(x, before, max_lag) if x[before:].any() else np.zeros(max_lag + 1)
+        out = pd.DataFrame({"lag": np.arange(max_lag + 1, dtype=np.int32), "_s": found, "_n": len(x) - before})
+        for name, part in reversed(list(zip(keys, key))):
+            out.insert(0, name, part)
+        return out
+
+    table = df.groupBy(*by).applyInPandas(sums, schema)
+    if home is not None:
+        table = table.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    # lag 0 holds the sum of squares
+    total = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
+    with_total = table.withColumn("_total", total).withColumnRenamed("_n", "n").filter((F.col("lag") > 0) & (F.col("lag") < F.col("n")))
+    return with_total.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
 
 
 def acf_confint(acf_table: DataFrame, alpha: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -71,15 +71,9 @@ def attach_covariate(
         return last.filter("_side = 1").select(*df.columns, "_last.*")
     if asof:
         moments = df.select(on).distinct()
-        # one shared series: always cut by day, only the last value of each day is brought together
-        line = running(
-            _beside(moments, cov, names, on),
-            {"_last": ("last", F.col("_cov"))},
-            [],
-            [on, "_side"],
-            F.to_date(on),
-            Scale(1, _ENDLESS, _ENDLESS),
-        )
+        # one shared series: a scan over range partitions, which cut a busy day as well as a long year
+        both = _beside(moments, cov, names, on)
+        line = running(both, {"_last": ("last", F.col("_cov"))}, [], [on, "_side"], Scale(1, _ENDLESS, _ENDLESS))
         cov = line.filter("_side = 1").select(on, "_last.*")
     table_rows = cov.count()
     scale = Scale(table_rows, 0, 0)

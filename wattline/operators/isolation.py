@@ -199,7 +199,7 @@ def isolation_scores(
     )
     longest = replace(scale, largest=scale.largest + trees * sample)
     known = running(
-        line, {"_known": ("last", F.col("_path"))}, keys, ["_v", "_kind"], scale=longest, place=F.col("_v")
+        line, {"_known": ("last", F.col("_path"))}, keys, ["_v", "_kind"], scale=longest
     )
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
     scored = attach(known.filter("_kind = 0"), sizes, keys, scale)

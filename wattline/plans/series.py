@@ -3,7 +3,8 @@
 A key up to `scale.series_rows` rows is one window partition (one shuffle by key, one sort).  A longer
 key is cut so that no task ever holds it:
 
-* running values are computed per time slice and completed with the total of the earlier slices;
+* running values are a prefix scan over range partitions of (key, order): each partition scans its own
+  rows, and a table of one row per key and partition carries the totals of the partitions before;
 * look-back windows run over blocks of consecutive positions, each block carrying a copy of the last
   rows of the block before it.
 
@@ -20,7 +21,7 @@ from pyspark.sql.window import WindowSpec
 
 from wattline.plans.attach import join_on
 from wattline.plans.scale import Scale, measure
-from wattline.session import cut_lineage
+from wattline.session import stage
 
 Running = tuple[str, Column]  # ('sum' | 'max' | 'last', expression)
 
@@ -43,32 +44,24 @@ def _combine(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(here, before)
 
 
-def _second(ts: str) -> Column:
+def _micros(ts: str) -> Column:
+    """Microseconds of a timestamp without a zone, whatever the session's zone."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+    clock = F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return (days * 86_400 + clock) * 1_000_000 + F.round(F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
-def rank_slices(df: DataFrame, keys: Sequence[str], place: Column, scale: Scale) -> DataFrame:
-    """`df` with `_chunk`, the slice of `place` a row of a long key lies in; other keys are one slice.
+def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], scale: Scale) -> DataFrame:
+    """`df` with `_part`, its range partition along (keys, order); NULLs come first, as in a window.
 
-    Slices are cut by rank, so a key has about half a full slice in each wherever its rows lie; the cuts
-    of the long keys (few, whatever the size of `df`) are broadcast.
+    Partitions hold about equally many rows wherever they lie, of one key or of many; a row number spreads
+    rows that are equal in all of these.  The frame is stored, so every later pass sees the same partitions.
     """
-    slices = max(2, 2 * scale.largest // scale.series_rows + 1)
-    cuts = (
-        df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx(place, [k / slices for k in range(1, slices)], max(10_000, 20 * slices)).alias("_cuts"),
-        )
-        .filter(F.col("_n") > scale.series_rows)
-        .select(*keys, F.array_distinct("_cuts").alias("_cuts"))
-    )
-    before = F.size(F.filter("_cuts", lambda cut: cut < place))
-    cut_up = join_on(df, F.broadcast(cut_lineage(cuts)), keys, "left", null_safe=True)
-    return cut_up.withColumn(
-        "_chunk", F.when(place.isNull(), F.lit(-1)).when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before).cast("bigint")
-    ).drop("_cuts")
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, min(wanted, 2 * scale.rows // scale.series_rows + 1))
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    spread = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *by, "_row")
+    return stage(spread.withColumn("_part", F.spark_partition_id()).drop("_row"), "ranges")
 
 
 def running(
@@ -76,51 +69,44 @@ def running(
     columns: Mapping[str, Running],
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None = None,
     scale: Scale | None = None,
-    place: Column | None = None,
 ) -> DataFrame:
     """Add running sums, maxima or last known values up to and including each row.
 
-    `chunk` cuts a long key into slices that do not overlap in `order`.  By default long keys are cut by
-    rank of `place`, a number that rises with the first order column: its second, if not given.  Rows
-    with a NULL order value sort first, as their slice does.
+    Without keys the whole frame is one series.  Rows with a NULL order value sort first.  Nothing is
+    broadcast by force: the carried totals have one row per key and range partition.
     """
     scale = scale or measure(df, keys)
     if scale.short_series:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: _fold(kind, value, window) for name, (kind, value) in columns.items()})
 
-    slices = rank_slices(df, keys, _second(order[0]) if place is None else place, scale) if chunk is None else df.withColumn("_chunk", chunk)
     for name, (_, value) in columns.items():
-        slices = slices.withColumn("_v_" + name, value)
+        df = df.withColumn("_v_" + name, value)
+    placed = range_parts(df, keys, order, scale)
     position = F.struct(*order)
     totals = {
         "sum": lambda v: F.sum(v),
         "max": lambda v: F.max(v),
         "last": lambda v: F.max_by(v, F.when(v.isNotNull(), position)),
     }
-    per_slice = slices.groupBy(*keys, "_chunk").agg(
-        F.count("*").alias("_n"),
-        *[totals[kind](F.col("_v_" + name)).alias("_t_" + name) for name, (kind, _) in columns.items()],
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_slice.select(
-        *keys,
-        "_chunk",
-        *[_fold(kind, F.col("_t_" + name), earlier).alias("_b_" + name) for name, (kind, _) in columns.items()],
+    by = [*keys, "_part"]
+    per_part = placed.groupBy(*by).agg(
+        *[totals[kind](F.col("_v_" + name)).alias("_t_" + name) for name, (kind, _) in columns.items()]
     )
-    joined = join_on(slices, before, [*keys, "_chunk"], "inner", null_safe=True)
-    inside = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_part.select(
+        *by, *[_fold(kind, F.col("_t_" + name), earlier).alias("_b_" + name) for name, (kind, _) in columns.items()]
     )
+    joined = join_on(placed, carried, by, "inner", null_safe=True)
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     done = joined.withColumns(
         {
             name: _combine(kind, F.col("_b_" + name), _fold(kind, F.col("_v_" + name), inside))
             for name, (kind, _) in columns.items()
         }
     )
-    return done.select(*df.columns, *columns)
+    return done.select(*[c for c in df.columns if c not in {"_v_" + name for name in columns}], *columns)
 
 
 def with_position(
@@ -136,28 +122,28 @@ def time_pairs(
 ) -> DataFrame:
     """(keys, lag, _x, _y): each value with those exactly 1 ... `hours` hours before it.
 
-    No grid is built: the lag is the distance in time, so series may start at any minute and have gaps.
-    Long keys are cut into stretches of time, each with a copy of the last hours before it.
+    No grid is built: the lag is the distance in time, so series may start at any moment and have gaps.
+    Readings whole hours apart lie on the same microsecond of their hours, so this is a key: a row meets as
+    many others as there are lags, however many readings an hour has.  Long keys are also cut into
+    stretches of hours, each with a copy of the last hours before it.
     """
     scale = scale or measure(df, keys)
-    reach, second = hours * 3_600, F.col("_sec")
-    timed = df.select(*keys, F.col(column).alias("_x"), _second(ts).alias("_sec")).filter("_sec is not null")
-    by = list(keys)
+    hour, by = F.col("_hour"), [*keys, "_moment"]
+    timed = df.select(*keys, F.col(column).alias("_x"), _micros(ts).alias("_us")).filter("_us is not null")
+    timed = timed.withColumn("_hour", F.expr("_us div 3600000000")).withColumn("_moment", F.col("_us") - hour * 3_600_000_000)
     if not scale.short_series:
-        span = max(reach, scale.block_rows * 60)
-        home = F.floor(second / span)
-        copies = F.array(home, F.when(F.pmod(second, F.lit(span)) >= span - reach, home + 1))
+        span = max(hours, scale.block_rows)
+        home = F.floor(hour / span)
+        copies = F.array(home, F.when(F.pmod(hour, F.lit(span)) >= span - hours, home + 1))
         timed = timed.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(copies)))
         by.append("_block")
-    window = Window.partitionBy(*by).orderBy("_sec").rangeBetween(-reach, -1)
-    near = timed.withColumn("_near", F.collect_list(F.struct("_sec", "_x")).over(window))
+    window = Window.partitionBy(*by).orderBy("_hour").rangeBetween(-hours, -1)
+    near = timed.withColumn("_near", F.collect_list(F.struct("_hour", "_x")).over(window))
     if not scale.short_series:
         near = near.filter("_block = _home")
-    pairs = near.select(*keys, "_x", "_sec", F.explode("_near").alias("_o"))
-    apart = second - F.col("_o")["_sec"]
-    return pairs.filter(apart % 3_600 == 0).select(
-        *keys, (apart / 3_600).cast("int").alias("lag"), "_x", F.col("_o")["_x"].alias("_y")
-    )
+    pairs = near.select(*keys, "_x", "_hour", F.explode("_near").alias("_o"))
+    apart = hour - F.col("_o")["_hour"]
+    return pairs.select(*keys, apart.cast("int").alias("lag"), "_x", F.col("_o")["_x"].alias("_y"))
 
 
 def recent(column: str, rows: int, window: WindowSpec) -> Column:
@@ -170,6 +156,18 @@ def recent(column: str, rows: int, window: WindowSpec) -> Column:
     return F.reverse(F.collect_list(kept).over(window.rowsBetween(-rows, 0)))
 
 
+def position_blocks(
+    df: DataFrame, keys: Sequence[str], ts: str, rows: int, scale: Scale, ahead: int = 0
+) -> DataFrame:
+    """Rows with `_pos`, cut by it into blocks: `_block` also holds copies of the `rows` rows before its own
+    (whose `_home` it is) and of the `ahead` rows behind them."""
+    size = max(scale.block_rows, rows, ahead)
+    home, place = F.floor(F.col("_pos") / size), F.col("_pos") % size
+    copies = F.array(home, F.when(place >= size - rows, home + 1), F.when(place < ahead, home - 1))
+    placed = with_position(df, keys, ts, "_pos", scale).withColumn("_home", home)
+    return placed.withColumn("_block", F.explode(F.array_compact(copies)))
+
+
 def look_back(
     df: DataFrame,
     build: Callable[[WindowSpec], Mapping[str, Column]],
@@ -188,10 +186,7 @@ def look_back(
     if scale.short_series:
         return df.withColumns(dict(build(Window.partitionBy(*keys).orderBy(ts))))
 
-    size = max(scale.block_rows, rows, ahead)
-    home, place = F.floor(F.col("_pos") / size), F.col("_pos") % size
-    copies = F.array(home, F.when(place >= size - rows, home + 1), F.when(place < ahead, home - 1))
-    blocks = with_position(df, keys, ts, "_pos", scale).withColumn("_block", F.explode(F.array_compact(copies)))
+    blocks = position_blocks(df, keys, ts, rows, scale, ahead)
     window = Window.partitionBy(*keys, "_block").orderBy("_pos")
     added = dict(build(window))
-    return blocks.withColumns(added).filter(F.col("_block") == home).select(*df.columns, *added)
+    return blocks.withColumns(added).filter(F.col("_block") == F.col("_home")).select(*df.columns, *added)
