@@ -31,6 +31,16 @@ def filled(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def drawn(wanted: int, rows: int, *columns: str) -> Column:
+    """Whether a row belongs to a sample of about `wanted` of `rows` rows, by a 64-bit hash of `columns`.
+
+    The same rows in every layout; equal rows go together, so collapse them before a bounded fit.
+    """
+    if rows <= wanted:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(int((1 << 64) * wanted // rows) - (1 << 63))
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts, counted over the whole table."""
     return df.agg(F.coalesce(F.sum(F.octet_length(filled(text))), F.lit(0))).first()[0]

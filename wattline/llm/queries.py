@@ -100,7 +100,7 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     held = (remainder("doc_id", 3) == 1).alias("held_out")
     docs = documents(spark, sf).select("doc_id", "text", held)
-    scored = toxicity.score_toxicity(docs, documents(spark, sf, "labels"), learn=~F.col("held_out"))
+    scored = toxicity.score_toxicity(docs, documents(spark, sf, "labels"), learn=~F.col("held_out"), keep_text=False)
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
