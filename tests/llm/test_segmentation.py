@@ -1,4 +1,5 @@
 import random
+import time
 
 from wattline.llm import segmentation as S
 from wattline.llm.queries import QUERIES, piece_model
@@ -63,3 +64,47 @@ def test_no_piece_spans_words():
 def test_query(spark, sf):
     rows = QUERIES["op2_sentencepiece"](spark, sf).collect()
     assert rows and all(r["round_trip"] and r["scores"] == sorted(r["scores"], reverse=True) for r in rows)
+
+
+def test_ties_do_not_fan_out():
+    """Long words without blanks, random or of one letter: seconds, not hours; the best is what many words at once give."""
+    pieces = S.Pieces(piece_model())
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for word in ("".join(rng.choice(letters) for _ in range(300_000)), "a" * 100_000, "ab" * 50_000):
+        begun = time.process_time()
+        found = pieces.n_best("▁" + word, 4)
+        assert time.process_time() - begun < 30 and len(found) == 4
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+        for _, ids in found:
+            assert b"".join(pieces.text[i] for i in ids).decode() == " " + word
+
+
+def test_n_best_starts_with_the_path_of_best():
+    pieces = S.Pieces(piece_model())
+    rng = random.Random(6)
+    words = ["▁" + "".join(rng.choice("abthe☃é/0") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    first, second, ids = pieces.best(words)
+    for word, one, two, own in zip(words, first, second, ids):
+        found = pieces.n_best(word, 2)
+        assert (found[0][0], found[0][1]) == (one, own.tolist()) and (len(found) == 1 or found[1][0] == two)
+        assert len({tuple(p) for _, p in pieces.n_best(word, 6)}) == len(pieces.n_best(word, 6))
+
+
+def test_memory_forgets_and_goes_on():
+    memory = S._Memory(S.Pieces(piece_model()))
+    rng = random.Random(1)
+    texts = [[" ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(200))] for _ in range(20)]
+    old = S.REMEMBERED
+    try:
+        S.REMEMBERED = 1000
+        for (text,) in texts:
+            words = pre_tokens(text)
+            memory.learn([words])
+            ids, best = memory.encode(words, 3)
+            assert memory.pieces.join(ids) == text and best[0][0] >= best[-1][0]
+            fresh = S._Memory(memory.pieces)
+            fresh.learn([words])
+            assert fresh.encode(words, 3)[0].tolist() == ids.tolist()
+    finally:
+        S.REMEMBERED = old

@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from wattline.llm.common import filled, slices, strings, with_python
 from wattline.llm.token_counts import pre_tokens
 
 #: Words that one worker remembers; words longer than LONG characters are searched one by one.
-REMEMBERED, LONG, CHUNK = 200_000, 64, 8_000
+REMEMBERED, LONG, CHUNK = 300_000, 64, 8_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = -1e18
 
@@ -51,16 +52,42 @@ class Pieces:
             self.text[i] = bytes([b])
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         self.bounds = np.cumsum([0, *map(len, self.text)])
-        self.tables = []  # for each length: sorted hashes, and the pieces they belong to
-        for length in range(1, self.longest + 1):
-            ids = np.array([i for n, i in self.names.items() if len(n) == length], np.int32)
-            names = [n for n in self.names if len(n) == length]
-            codes = np.array([[ord(c) for c in n] for n in names], np.uint64).reshape(len(names), length)
-            h = np.zeros(len(names), np.uint64)
-            for k in range(length):
-                h = h * _BASE + codes[:, k] + np.uint64(1)
-            order = np.argsort(h)
-            self.tables.append((h[order], ids[order]))
+        self.tables = []  # for each length: sorted hashes of the beginnings of pieces, and the piece it is (-1: none)
+        found: list[dict[int, int]] = [{} for _ in range(self.longest)]
+        mask = (1 << 64) - 1
+        for name, i in self.names.items():
+            h = 0
+            for k, c in enumerate(name):
+                h = (h * int(_BASE) + ord(c) + 1) & mask
+                if k + 1 == len(name):
+                    found[k][h] = i
+                else:
+                    found[k].setdefault(h, -1)
+        for table in found:
+            hashes = np.array(list(table), np.uint64)
+            order = np.argsort(hashes)
+            self.tables.append((hashes[order], np.array(list(table.values()), np.int32)[order]))
+
+    def matches(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces (-1: none) and scores by length - 1 and start, for characters with `left` of them to the end of
+        their word; a start is followed only while what it reads begins some piece."""
+        piece = np.full((self.longest, len(codes)), -1, np.int32)
+        score = np.full((self.longest, len(codes)), _LOW)
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for k, (hashes, ids) in enumerate(self.tables):
+            inside = left[at] > k
+            at, h = at[inside], h[inside]
+            h = h * _BASE + codes[at + k] + np.uint64(1)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            begun = hashes[place] == h
+            at, h, place = at[begun], h[begun], place[begun]
+            if not len(at):
+                break
+            whole = ids[place] >= 0
+            piece[k, at[whole]] = ids[place[whole]]
+            score[k, at[whole]] = self.scores[ids[place[whole]]]
+        score[0, piece[0] < 0] = self.unknown
+        return piece, score
 
     def join(self, ids: np.ndarray) -> str:
         """The text of pieces, without the blank before it."""
@@ -91,24 +118,36 @@ class Pieces:
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a word, best first: forward Viterbi, then A* from the end, where the
         forward scores say exactly what the rest of a path will bring."""
-        edges = [self.edges(word, end) for end in range(len(word) + 1)]
-        forward = [0.0]
-        for end in range(1, len(word) + 1):
-            forward.append(max(forward[s] + score for s, _, score in edges[end]))
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = len(codes)
+        piece, score = self.matches(codes, size - np.arange(size))
+        length, start = np.nonzero(score > _LOW)
+        order = np.lexsort((start, start + length))  # by end, the longest piece first
+        ends = (start + length + 1)[order]
+        first = array("q", np.searchsorted(ends, np.arange(size + 2)).astype(np.int64).tobytes())
+        starts = array("q", start[order].astype(np.int64).tobytes())
+        pieces = array("i", piece[length, start][order].astype(np.int32).tobytes())
+        scores = array("d", score[length, start][order].tobytes())
+        del piece, score, length, start, order, ends
+        forward = array("d", [0.0])
+        for end in range(1, size + 1):
+            forward.append(max([forward[starts[e]] + scores[e] for e in range(first[end], first[end + 1])]))
+        # among paths of equal cost the one nearest to the start goes on, so ties do not fan out
         ticket = itertools.count()
-        heap = [(-forward[-1], next(ticket), len(word), 0.0, None)]
+        heap = [(-forward[-1], size, next(ticket), 0.0, None)]
         out = []
         while heap and len(out) < n:
-            _, _, at, score, path = heapq.heappop(heap)
+            _, at, _, total, path = heapq.heappop(heap)
             if at == 0:
                 steps = []
                 while path is not None:
                     steps.append(path[:2])
                     path = path[2]
-                out.append((score, self.spelled(word, steps)))
+                out.append((total, self.spelled(word, steps)))
                 continue
-            for start, piece, more in reversed(edges[at]):  # of equal paths the one with the shorter last piece
-                heapq.heappush(heap, (-(score + more + forward[start]), next(ticket), start, score + more, (start, piece, path)))
+            for e in range(first[at], first[at + 1]):
+                begin, more = starts[e], total + scores[e]
+                heapq.heappush(heap, (-(more + forward[begin]), begin, next(ticket), more, (begin, pieces[e], path)))
         return out
 
     def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -129,20 +168,7 @@ class Pieces:
         codes = np.frombuffer("".join([words[k] for k in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         base = np.cumsum(size) - size
         left = np.repeat(size, size) - (np.arange(len(codes)) - np.repeat(base, size))  # characters to the word's end
-        piece = np.full((self.longest, len(codes)), -1, np.int32)
-        score = np.full((self.longest, len(codes)), _LOW)
-        h, at = np.zeros(len(codes), np.uint64), np.arange(len(codes))
-        for k, (hashes, ids) in enumerate(self.tables):
-            at = at[left[at] > k]
-            if not len(at):
-                break
-            h[at] = h[at] * _BASE + codes[at + k] + np.uint64(1)
-            if len(hashes):
-                place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                hit = hashes[place] == h[at]
-                piece[k, at[hit]] = ids[place[hit]]
-                score[k, at[hit]] = self.scores[ids[place[hit]]]
-        score[0, piece[0] < 0] = self.unknown
+        piece, score = self.matches(codes, left)
         one, two = np.full((len(size), int(size[0]) + 1), _LOW), np.full((len(size), int(size[0]) + 1), _LOW)
         back = np.zeros((len(size), int(size[0]) + 1), np.uint8)
         one[:, 0] = 0.0
@@ -192,6 +218,7 @@ class _Memory:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.words = self.pieces_known = 0
         self.score, self.loss, self.start = np.zeros(0), np.zeros(0), np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -204,10 +231,22 @@ class _Memory:
             part = new[k : k + CHUNK]
             first, second, ids = self.pieces.best(["▁" + w.replace(" ", "▁") for w in part])
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
-            self.score = np.concatenate((self.score, first))
-            self.loss = np.concatenate((self.loss, np.where(second > _LOW, first - second, np.inf)))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) for x in ids])))
-            self.flat = np.concatenate([self.flat, *ids])
+            sizes = np.array([len(x) for x in ids], np.int64)
+            self.score, self.loss = self._more(self.score, first), self._more(self.loss, np.where(second > _LOW, first - second, np.inf))
+            self.start = self._more(self.start, self.pieces_known + np.cumsum(sizes), 1)
+            self.flat = self._more(self.flat, np.concatenate(ids), 0, self.pieces_known)
+            self.pieces_known += int(sizes.sum())
+            self.words += len(part)
+
+    def _more(self, old: np.ndarray, new: np.ndarray, shift: int = 0, used: int | None = None) -> np.ndarray:
+        """`new` put behind the used part of an array, which doubles when it is full."""
+        used = self.words + shift if used is None else used
+        if used + len(new) > len(old):
+            old = np.concatenate((old[:used], np.zeros(max(used, len(new), 1024), old.dtype)))
+        if used + len(new) > len(old):
+            old = np.concatenate((old, np.zeros(len(new), old.dtype)))
+        old[used : used + len(new)] = new
+        return old
 
     def options(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         if (word, n) not in self.lists:
