@@ -1,4 +1,5 @@
 import html
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -68,3 +69,17 @@ def test_odd_rows(spark):
     text = {r["page_id"]: r["block"] for r in out if r["warc_type"] == "conversion"}
     assert text[6] == html.unescape("a < b < c") and text[8] == "q" and text[5] == "" and text[4] == "y" and len(text[9]) == 100_000
     assert W.derive(df.limit(0)).count() == 0
+
+
+def test_long_attributes_are_read_once():
+    for inside in ("a" * 300_000, "a " * 150_000, "a" * 100_000 + " " * 100_000, "= " * 100_000, "x='1' " * 50_000):
+        begun = time.process_time()
+        text, _, links = W.read_page(f"<a {inside} href='http://h/'>t</a>")
+        assert time.process_time() - begun < 2 and text == "t" and links == ["http://h/"]
+    assert W.read_page("<a download href=x.html hidden>t</a>")[2] == ["x.html"]
+    assert W.read_page("<html lang = 'de' class><meta charset=utf-8>")[1] == {"language": "de", "charset": "utf-8"}
+
+
+def test_an_unknown_date_is_left_out(spark):
+    out = W.derive(spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id long, url string, html string")).collect()
+    assert not any("WARC-Date" in r["headers"] for r in out)

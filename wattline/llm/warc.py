@@ -23,7 +23,8 @@ BLOCKS = set(
 )
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+>")
-_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# names are possessive and may stand without a value, so no name is read twice
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 _CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.IGNORECASE) for name in HIDDEN}
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the namespace of addresses
 
@@ -148,14 +149,14 @@ def derive(
     concurrent_to (the other derivative), content_type, content_length, block_digest, payload_digest (of the
     response), headers (with the source's WARC headers) and block.  `source_id`, `date` (text as in WARC),
     `source` (a map of the response's headers) and `payload_digest` are kept where given; else identifiers
-    are made from key, address and digest, the same in every run, and the date is 1970.  A null page is
+    are made from key, address and digest, the same in every run, and a record without a known date has no date line.  A null page is
     empty, a null address has no target line, repeated rows give repeated records, long pages are read in one
     linear pass, an empty table gives no rows; columns with the new names are replaced.
     """
     blank = F.lit(None).cast("string")
     inputs = {
         "_id": blank if source_id is None else source_id, "_key": F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "_url": filled(url),
-        "_page": filled(page), "_date": F.coalesce(blank if date is None else date, F.lit("1970-01-01T00:00:00Z")),
+        "_page": filled(page), "_date": F.coalesce(blank if date is None else date, F.lit("")),
         "_source": F.map_entries(F.create_map().cast("map<string,string>") if source is None else F.coalesce(source, F.create_map().cast("map<string,string>"))),
         "_digest": blank if payload_digest is None else payload_digest,
     }
