@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import ftrl
-from wattline.llm.common import filled, with_python
+from wattline.llm.common import drawn, filled, with_python
 
-#: Hashed n-grams, their sizes, rows that the weights are fitted on at most.
-BINS, SIZES, SAMPLE = 1 << 15, (1, 2, 3), 4000
+#: Hashed n-grams, their sizes, rows that the weights are fitted on at most; more languages are an error.
+BINS, SIZES, SAMPLE, LANGUAGES = 1 << 15, (1, 2, 3), 4000, 1000
 UNKNOWN = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -94,23 +94,25 @@ def identify(
 
     Learns from the rows where `learn` holds (all, if not given) and `lang` is not null: n-gram document
     frequencies from all of them, weights from about `sample` rows at most, an equal share of each
-    language chosen by a hash of key and text; a fifth of these only sets the temperature.  Texts that
+    language chosen by a hash of key and text, equal rows once; a fifth of these only sets the temperature.  Texts that
     are null, empty or without a letter get `und` and score 0, as all do when nothing can be learned; one
     language alone is predicted with score 1.  Long texts are read whole, repeated rows stay; columns
     lang_pred and score are replaced.
     """
     known = df.filter((learn if learn is not None else F.lit(True)) & F.col(lang).isNotNull()).select(
-        filled(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1_000_000)).alias("draw")
+        filled(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")
     )
-    share = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(share) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted(share)
     weights, idf, heat = np.zeros((BINS, max(len(names), 1))), np.ones(BINS), 1.0
     if names:
         found, rows = document_frequencies(known.select("text"))
         idf = np.log((1 + rows) / (1 + found)) + 1
-        quota = F.lit(0.0)
+        chosen = F.lit(False)
         for name in names:
-            quota = F.when(F.col("lang") == name, min(1.0, sample / len(names) / share[name])).otherwise(quota)
+            chosen = F.when(F.col("lang") == name, drawn(max(1, sample // len(names)), share[name], "key", "text")).otherwise(chosen)
 
         def build(batch: pa.RecordBatch) -> list[pa.Array]:
             vectors = [vector(t.as_py(), idf) for t in batch.column("_text")]
@@ -118,10 +120,9 @@ def identify(
                 pa.array([a for a, _ in vectors], pa.list_(pa.int32())), pa.array([v for _, v in vectors], pa.list_(pa.float32())),
             ]
 
-        drawn = with_python(
-            known.filter(F.col("draw") < quota * 1e6), {"_text": F.col("text")}, "bins array<int>, vals array<float>", build
-        )
-        taken = drawn.select("lang", "draw", "bins", "vals").toArrow().sort_by("draw")
+        rows_taken = known.filter(chosen).dropDuplicates(["key", "text", "lang"]).withColumn("draw", F.xxhash64("text", "key"))
+        told = with_python(rows_taken, {"_text": F.col("text")}, "bins array<int>, vals array<float>", build)
+        taken = told.select("lang", "draw", "bins", "vals").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
         number = {name: k for k, name in enumerate(names)}
         kinds = np.array([number[x.as_py()] for x in taken["lang"]], np.int64)
         pairs = [(a.values.to_numpy(), v.values.to_numpy().astype(float)) for a, v in zip(taken["bins"], taken["vals"])]
