@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import NOT_BLANK, filled, slices, stored, strings, with_python, word_hashes
+from wattline.llm.common import drawn, NOT_BLANK, filled, slices, stored, strings, with_python, word_hashes
 
 #: Labelled rows that the ranking is fitted on at most, and preference pairs drawn from them.
 SAMPLE, PAIRS = 40_000, 200_000
@@ -146,7 +146,7 @@ def score_quality(
     """`df` with score (0 to 1, higher: better) and predicted (1 if the score is at least CUT).
 
     `learn` says which rows of `df` may be learned from (all, if not given); of those with a label, at
-    most about `sample`, chosen by a hash of the key, fit the ranking on the driver.  The cut is the
+    most about `sample`, chosen by a hash of key and features (equal ones count once), fit the ranking on the driver.  The cut is the
     `quantile` of the strengths of these rows: by default the share marked bad.  Repeated labels of a key
     are averaged (good from one half).  Null and empty texts are scored like any other; without labels
     of both kinds every score is 0.5.  Other columns stay, those called score or predicted are replaced;
@@ -160,7 +160,7 @@ def score_quality(
     rows = known.filter("learn").select("key", "features").join(marks, "key")
     count = rows.count()
     if count > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1e6 * sample / count))
+        rows = rows.filter(drawn(sample, count, "key", "features")).dropDuplicates(["key", "features"])
     taken = rows.orderBy("key", "features").collect() if count else []
     x, good = np.array([r["features"] for r in taken]), np.array([r["good"] for r in taken], bool)
     model = Ranking.fit(x, good, quantile) if 0 < good.sum() < len(good) else None
