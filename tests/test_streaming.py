@@ -1,6 +1,8 @@
 """A stream over several files ends with the rows of the batch operators."""
 
-from datetime import timedelta
+import math
+import statistics
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import golden_rows, rows_of
 from wattline.operators import anomalies
 from wattline.schema import READINGS
-from wattline.streaming import monitor
+from wattline.streaming import monitor, ring
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +95,77 @@ def test_overload_sessions(spark, files, tmp_path):
     # from 9 to 17 h on weekdays of the first ten days (1 January 2026 is a Thursday)
     assert sessions <= {(d, 9) for d in (1, 2, 5, 6, 7, 8, 9)}
     assert {(d, 9) for d in (1, 2, 5, 6, 7, 8)} <= sessions
+
+
+@pytest.fixture(scope="module")
+def holes(spark, tmp_path_factory):
+    """Readings with NaN, NULL values and a NULL key, in two files."""
+    folder = str(tmp_path_factory.mktemp("holes") / "in")
+    start = datetime(2026, 1, 1)
+    rows = []
+    for h in range(60):
+        rows.append(("a", start + timedelta(hours=h), float("nan") if h % 7 == 3 else None if h % 11 == 5 else 10.0 + h % 4))
+        rows.append((None, start + timedelta(hours=h, minutes=30), 50.0 if h == 20 else 1.0 + h % 2))
+        rows.append((None, start + timedelta(hours=h, minutes=40), 2.0))
+    for part in (rows[:90], rows[90:]):
+        spark.createDataFrame(part, READINGS).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def plain_rolling(rows, windows, last):
+    """Lines of every hour up to `last`, from the readings themselves."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        own = [(r[1], None if r[2] is None or math.isnan(r[2]) else r[2]) for r in rows if r[0] == key]
+        end = min(t for t, _ in own).replace(minute=0) + timedelta(hours=1)
+        while end <= last:
+            for w in windows:
+                inside = [v for t, v in own if end - timedelta(hours=w) <= t < end]
+                known = [v for v in inside if v is not None]
+                if inside:
+                    mean = statistics.fmean(known) if known else None
+                    spread = statistics.stdev(known) if len(known) > 1 else None
+                    out[key, w, end] = (len(known), mean, spread)
+            end += timedelta(hours=1)
+    return out
+
+
+def test_rolling_with_holes(spark, holes, tmp_path):
+    got = drain(spark, holes, tmp_path, lambda s: monitor.stream_rolling(s, (2, 5, 12)))
+    rows = [tuple(r) for r in spark.read.schema(READINGS).parquet(holes).collect()]
+    last = max(r[1] for r in rows) - timedelta(hours=2)
+    want = plain_rolling(rows, (2, 5, 12), last)
+    found = {(r["meter_id"], r["window_hours"], r["window_end"]): r for r in got.collect()}
+    assert found.keys() == want.keys() and len(found) == got.count()
+    for key, (n, mean, spread) in want.items():
+        r = found[key]
+        assert r["n"] == n and r["mean_kw"] == (mean if mean is None else pytest.approx(mean))
+        assert r["stddev_kw"] == (spread if spread is None else pytest.approx(spread, abs=1e-9))
+        assert r["cv"] == (None if spread is None or not mean else pytest.approx(spread / mean, abs=1e-9))
+
+
+def test_merged_moments():
+    parts = [[1.0, 5.0], [], [2.5], [7.0, 7.0, 1.0]]
+    total = (0, 0, 0.0, 0.0)
+    for part in parts:
+        mean = statistics.fmean(part) if part else 0.0
+        total = ring.merged(total, (len(part) + 1, len(part), mean, sum((x - mean) ** 2 for x in part)))
+    flat = [x for part in parts for x in part]
+    assert total[:2] == (10, 6) and total[2] == pytest.approx(statistics.fmean(flat))
+    assert total[3] / 5 == pytest.approx(statistics.variance(flat))
+
+
+@pytest.mark.parametrize("limit", [10, 0])
+def test_zscore_with_holes(spark, holes, tmp_path, limit):
+    table = spark.createDataFrame([("a", 11.0, 1.0, 11.0, 1.0), (None, 1.7, 0.5, 2.0, 0.5)], "meter_id string, mean double, stddev double, median double, mad double")
+    got = drain(spark, holes, tmp_path, lambda s: monitor.stream_zscore(s, table, 5, broadcast_rows=limit)).collect()
+    assert [(r["meter_id"], r["power_kw"]) for r in got] == [(None, 50.0)]  # no NaN is far from anything
+
+
+def test_sessions_and_hours_with_holes(spark, holes, tmp_path):
+    limits = spark.createDataFrame([("a", 100.0), (None, 40.0)], "meter_id string, contract_kw double")
+    got = drain(spark, holes, tmp_path / "s", lambda s: monitor.stream_overload_sessions(s, limits)).collect()
+    assert [(r["meter_id"], r["readings"], r["max_kw"]) for r in got] == [(None, 1, 50.0)]
+    hourly = drain(spark, holes, tmp_path / "h", monitor.stream_hourly).collect()
+    sums = {(r["meter_id"], r["ts"].day * 24 + r["ts"].hour - 24): r["power_kw"] for r in hourly}
+    assert sums[None, 20] == 52.0 and sums["a", 3] is None and sums["a", 5] is None and sums["a", 4] == 10.0

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from wattline.functions.columns import exact_sum, ratio
 from wattline.operators.anomalies import MAD_FACTOR
+from wattline.plans.attach import join_on
+from wattline.plans.missing import nan_is_missing
 from wattline.schema import KEYS, TS, VALUE
+from wattline.streaming.ring import rolling
 
 BROADCAST_ROWS = 200_000
 
@@ -28,11 +31,12 @@ def _plain(column: str) -> Column:
 
 
 def _with_table(stream: DataFrame, table: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """Stream joined with a static table of one row per key, broadcast only after counting it."""
+    """Stream joined with a static table of one row per key, broadcast only after counting it; NULL is a key."""
     small = table.count() <= rows
-    return stream.join(F.broadcast(table) if small else table, list(keys))
+    return join_on(stream, F.broadcast(table) if small else table, keys, "inner", null_safe=True)
 
 
+@nan_is_missing
 def stream_hourly(
     stream: DataFrame,
     watermark: str = "2 hours",
@@ -50,6 +54,7 @@ def stream_hourly(
     )
 
 
+@nan_is_missing
 def stream_rolling(
     stream: DataFrame,
     windows: Sequence[int] = (3, 6, 12),
@@ -58,32 +63,12 @@ def stream_rolling(
     ts: str = TS,
     value: str = VALUE,
 ) -> DataFrame:
-    """Mean, deviation and variation over the last w hours, every hour, for each window length."""
-    # the longest window holds the others: one pass, one state, and per event as many copies as it has hours
-    longest = _timed(stream, ts, watermark).withColumn("_w", F.window(ts, f"{max(windows)} hours", "1 hour"))
-
-    def over(hours: int) -> Column:
-        late = F.col(ts) >= F.col("_w.end") - F.make_dt_interval(hours=F.lit(hours))
-        inside = F.when(late, F.col(value))
-        return F.struct(
-            F.avg(inside).alias("mean_kw"), F.stddev_samp(inside).alias("stddev_kw"), F.count(inside).alias("n"), F.count_if(late).alias("rows")
-        ).alias(f"_{hours}")
-
-    totals = longest.groupBy(*keys, "_w").agg(*[over(w) for w in windows])
-    lines = F.array(*[F.struct(F.lit(w).alias("window_hours"), F.col(f"_{w}").alias("s")) for w in windows])
-    return (
-        totals.select(*keys, _plain("_w.end").alias("window_end"), F.explode(lines).alias("_l"))
-        .filter("_l.s.rows > 0")
-        .select(
-            *keys,
-            "_l.window_hours",
-            "window_end",
-            "_l.s.mean_kw",
-            "_l.s.stddev_kw",
-            ratio("_l.s.stddev_kw", "_l.s.mean_kw").alias("cv"),
-            "_l.s.n",
-        )
-    )
+    """Mean, deviation and variation over the last w hours, every hour, for each window length.
+
+    An hour's line comes once the watermark has passed its end, if its window has readings.  State is one
+    row of moments per key and hour in reach; an event updates one of them.
+    """
+    return rolling(_timed(stream, ts, watermark), windows, keys, ts, value)
 
 
 def stream_dedup(
@@ -94,6 +79,7 @@ def stream_dedup(
     return timed.dropDuplicatesWithinWatermark([*keys, ts]).withColumn(ts, _plain(ts))
 
 
+@nan_is_missing
 def stream_zscore(
     stream: DataFrame,
     baseline: DataFrame,
@@ -116,6 +102,7 @@ def stream_zscore(
     return scored.filter((F.abs("z_score") > threshold) | (F.abs("z_robust") > threshold))
 
 
+@nan_is_missing
 def stream_overload_sessions(
     stream: DataFrame,
     limits: DataFrame,
