@@ -144,15 +144,16 @@ def test_rolling_with_holes(spark, holes, tmp_path):
         assert r["cv"] == (None if spread is None or not mean else pytest.approx(spread / mean, abs=1e-9))
 
 
-def test_merged_moments():
-    parts = [[1.0, 5.0], [], [2.5], [7.0, 7.0, 1.0]]
-    total = (0, 0, 0.0, 0.0)
-    for part in parts:
-        mean = statistics.fmean(part) if part else 0.0
-        total = ring.merged(total, (len(part) + 1, len(part), mean, sum((x - mean) ** 2 for x in part)))
-    flat = [x for part in parts for x in part]
-    assert total[:2] == (10, 6) and total[2] == pytest.approx(statistics.fmean(flat))
-    assert total[3] / 5 == pytest.approx(statistics.variance(flat))
+def test_merged_moments(spark):
+    parts = [[None, None], [1e9, 1e9 + 4], [None], [1e9 + 1.5], [1e9 + 6, None, 1e9 + 6, 1e9]]
+    rows = [(k, v) for k, part in enumerate(parts) for v in part]
+    each = spark.createDataFrame(rows, "k int, v double").groupBy("k").agg(ring.moments("v").alias("m"))
+    total = each.groupBy().agg(F.array_sort(F.collect_list("m")).alias("all"))
+    start = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    got = total.select(F.aggregate("all", start, ring.merged).alias("m")).first()["m"]
+    flat = [v for part in parts for v in part if v is not None]
+    assert (got["rows"], got["n"]) == (10, 6) and got["mean"] == pytest.approx(statistics.fmean(flat), rel=1e-15)
+    assert got["squares"] / 5 == pytest.approx(statistics.variance(flat), rel=1e-7)  # numbers of 1e9 have seven places
 
 
 @pytest.mark.parametrize("limit", [10, 0])

@@ -1,15 +1,16 @@
 """Exact linearly interpolated percentiles per key, for keys of any length.
 
 `percentile` keeps a value -> count map of a key in memory, which is fine up to
-`scale.percentile_rows` rows per key.  Longer keys are narrowed down first: a mergeable sketch brackets
-each wanted rank, by rank and not by value, so no outlier widens a bracket; rows below it are counted and
-only the distinct values inside, a few thousandths of the key, are ranked.  Weighted rows are narrowed
-by equal-width bins instead.
+`scale.percentile_rows` rows per key.  Longer keys, and only they, are narrowed down first: a mergeable
+sketch brackets each wanted rank, by rank and not by value, so no outlier widens a bracket; rows below it
+are counted and only the distinct values inside, a few thousandths of the key, are ranked.  Weighted rows
+are narrowed by equal-width bins instead, meant for values in a known range such as scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,10 +56,20 @@ def percentiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(value, f, freq).alias(percentile_name(f)) for f in q], *extra
         )
-    per_key = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    narrow = _bracketed(df, value, q, keys, scale) if weight is None else _narrowed(df, value, q, keys, weight, scale)
+    # a class per key: the long ones are few, so the rows of all others see nothing but a small join
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    long = cut_lineage(sizes.filter(F.col("_size") > scale.percentile_rows))
+    of_long = replace(scale, keys=long.count())
+    marked = attach(df, long, keys, of_long, how="left")
+    freq = F.lit(1) if weight is None else F.col(weight)
+    short = marked.filter("_size is null").groupBy(*keys)
+    built_in = short.agg(*[F.percentile(value, f, freq).alias(percentile_name(f)) for f in q], *extra)
+    rows = marked.filter("_size is not null").drop("_size")
+    per_key = rows.groupBy(*keys).agg(*extra) if extra else long.select(*keys)
+    narrow = _bracketed(rows, value, q, keys, of_long) if weight is None else _narrowed(rows, value, q, keys, weight, of_long)
     # a key without any value keeps its row, as the built-in aggregate does
-    return cut_lineage(join_on(per_key, narrow, keys, "left", null_safe=True))
+    narrowed = join_on(per_key, narrow, keys, "left", null_safe=True)
+    return cut_lineage(built_in.unionByName(narrowed.select(*built_in.columns)))
 
 
 def _between(q: Sequence[float], keys: Sequence[str], picked: DataFrame) -> DataFrame:
@@ -83,23 +94,18 @@ def _bracketed(df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str
         high = F.when(long & F.lit(f < 1 - margin), F.percentile_approx(v, min(f + margin, 1.0), ACCURACY)).otherwise(F.max(v))
         ends |= {f"_lo{i}": low, f"_hi{i}": high}
     brackets = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in ends.items()])
-    # below its bracket a value only counts; above it, not even that
-    seen = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(v < F.col(f"_lo{i}"), F.lit(float("-inf"))).when(v <= F.col(f"_hi{i}"), v).alias("v"),
-            )
-            for i in range(len(q))
-        ]
+    # one pass counts what lies below each bracket, without a copy of any row; another ranks what lies inside
+    bracketed = attach(rows, cut_lineage(brackets), keys, scale)
+    below = bracketed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.count_if(v < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(q))])
+    inside = F.filter(
+        F.array(*[F.when((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")), F.lit(i)) for i in range(len(q))]), lambda i: i.isNotNull()
     )
     counted = (
-        attach(rows, cut_lineage(brackets), keys, scale)
-        .select(*keys, "_n", F.explode(F.filter(seen, lambda s: s["v"].isNotNull())).alias("_s"))
-        .groupBy(*keys, F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v"))
-        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+        bracketed.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_c"))
     )
-    ranked = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v")))
+    started = join_on(counted, below, keys, "inner", null_safe=True)
+    before = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(q))]), F.col("_i") + 1)
+    ranked = started.withColumn("_upto", before + F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v")))
 
     def at(i: int, rank: Column) -> Column:
         hit = (F.col("_i") == i) & (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))

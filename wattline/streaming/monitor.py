@@ -65,8 +65,8 @@ def stream_rolling(
 ) -> DataFrame:
     """Mean, deviation and variation over the last w hours, every hour, for each window length.
 
-    An hour's line comes once the watermark has passed its end, if its window has readings.  State is one
-    row of moments per key and hour in reach; an event updates one of them.
+    An hour's line comes once the watermark has passed its end, if its window has readings.  State holds
+    the moments of open hours, and of the closed ones that a window still needs: no copies of events.
     """
     return rolling(_timed(stream, ts, watermark), windows, keys, ts, value)
 

@@ -1,100 +1,57 @@
-"""Rolling statistics of a stream from a ring of hourly moments per key.
+"""Rolling statistics of a stream from hourly moments.
 
-An event touches one state row, the moments of its hour; a timer at the end of every hour in reach merges
-the rows of each window and drops those that no later window sees.
+An event is aggregated once, into the moments of its hour.  When the watermark has closed an hour, its one
+row goes to the windows that hold it, so the copies that overlapping windows need are of hours and not of
+events.  Moments are merged without squaring large numbers, oldest hour first.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-HOUR_MS = 3_600_000
-Moments = tuple[int, int, float, float]  # rows, rows with a value, their mean, squares around it
+from wattline.functions.columns import ratio
 
 
-def merged(a: Moments, b: Moments) -> Moments:
-    """Moments of two sets of rows together."""
-    n = a[1] + b[1]
-    if not a[1] or not b[1]:
-        full = a if a[1] else b
-        return (a[0] + b[0], n, full[2], full[3])
-    step = b[2] - a[2]
-    return (a[0] + b[0], n, a[2] + step * b[1] / n, a[3] + b[3] + step * step * a[1] * b[1] / n)
+def moments(value: str) -> Column:
+    """Rows, rows with a value, their mean and the squares around it."""
+    n = F.count(value)
+    squares = F.coalesce(F.var_pop(value) * n, F.lit(0.0))
+    return F.struct(F.count("*").alias("rows"), n.alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), squares.alias("squares"))
 
 
-class Ring(StatefulProcessor):
-    """State: hour -> moments, at most as many hours as the longest window and the watermark have."""
-
-    def __init__(self, keys: Sequence[str], windows: Sequence[int]):
-        self.keys, self.windows, self.reach = list(keys), list(windows), max(windows)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.hours = handle.getMapState("hours", "hour long", "rows long, n long, mean double, squares double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        found: dict[int, Moments] = {}
-        for frame in rows:
-            if frame.empty:
-                continue
-            for hour, values in frame.groupby("ring_hour")["ring_value"]:
-                known = values.dropna()
-                mean = float(known.mean()) if len(known) else 0.0
-                squares = float(((known - mean) ** 2).sum())
-                found[hour] = merged(found.get(hour, (0, 0, 0.0, 0.0)), (len(values), len(known), mean, squares))
-        for hour, moments in found.items():
-            hour = int(hour)
-            if self.hours.containsKey((hour,)):
-                moments = merged(tuple(self.hours.getValue((hour,))), moments)
-            else:
-                for end in range(hour + 1, hour + self.reach + 1):
-                    self.handle.registerTimer(end * HOUR_MS - 1)  # a timer goes off once the watermark is beyond it
-            self.hours.updateValue((hour,), moments)
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        end = (expiredTimerInfo.getExpiryTimeInMs() + 1) // HOUR_MS
-        held = sorted((int(hour[0]), tuple(moments)) for hour, moments in self.hours.iterator())
-        lines = []
-        for window in self.windows:
-            total: Moments = (0, 0, 0.0, 0.0)
-            for hour, moments in held:
-                if end - window <= hour < end:
-                    total = merged(total, moments)
-            rows, n, mean, squares = total
-            if rows:
-                spread = math.sqrt(squares / (n - 1)) if n > 1 else None
-                lines.append((window, end, mean if n else None, spread, spread / mean if spread is not None and mean else None, n))
-        for hour, _ in held:
-            if hour + self.reach <= end:
-                self.hours.removeKey((hour,))
-        if lines:
-            names = ["window_hours", "_end", "mean_kw", "stddev_kw", "cv", "n"]
-            frame = pd.DataFrame(lines, columns=names).astype({c: float for c in ("mean_kw", "stddev_kw", "cv")})
-            for name, part in reversed(list(zip(self.keys, key))):
-                frame.insert(0, name, part)
-            yield frame
+def merged(a: Column, b: Column) -> Column:
+    """The moments of two sets of rows together."""
+    n, step = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    return F.struct(
+        (a["rows"] + b["rows"]).alias("rows"),
+        n.alias("n"),
+        F.when(a["n"] == 0, b["mean"]).otherwise(a["mean"] + step * share).alias("mean"),
+        (a["squares"] + b["squares"] + F.when(a["n"] == 0, 0.0).otherwise(step * step * a["n"] * share)).alias("squares"),
+    )
 
 
 def rolling(timed: DataFrame, windows: Sequence[int], keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """(keys, window_hours, window_end, mean_kw, stddev_kw, cv, n) of a stream with a watermark on `ts`."""
-    hour = F.floor(F.unix_micros(F.col(ts)) / 3_600_000_000).alias("ring_hour")
-    # no underscore in front: frames of state come from named tuples, which rename such columns
-    events = timed.select(*keys, ts, hour, F.col(value).cast("double").alias("ring_value"))
-    numbers = [T.StructField(c, T.DoubleType()) for c in ("mean_kw", "stddev_kw", "cv")]
-    schema = T.StructType(
-        [
-            *[timed.schema[k] for k in keys], T.StructField("window_hours", T.IntegerType()), T.StructField("_end", T.LongType()),
-            *numbers, T.StructField("n", T.LongType()),
-        ]
-    )
-    ring = events.groupBy(*keys).transformWithStateInPandas(Ring(keys, windows), schema, "Append", "EventTime")
-    end = F.timestamp_seconds(F.col("_end") * 3600).cast("timestamp_ntz").alias("window_end")
-    return ring.select(*keys, "window_hours", end, "mean_kw", "stddev_kw", "cv", "n")
+    hourly = timed.groupBy(*keys, F.window(ts, "1 hour").alias("_hour")).agg(moments(F.col(value).cast("double")).alias("_m"))
+    longest = F.window(F.window_time("_hour"), f"{max(windows)} hours", "1 hour").alias("_w")
+    held = F.collect_list(F.struct(F.col("_hour.start").alias("at"), F.col("_m").alias("m")))
+    rings = hourly.groupBy(*keys, longest).agg(F.array_sort(held).alias("_held"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def line(hours: int) -> Column:
+        since = F.col("_w.end") - F.make_dt_interval(hours=F.lit(hours))
+        inside = F.filter("_held", lambda hour: hour["at"] >= since)
+        total = F.aggregate(inside, nothing, lambda done, hour: merged(done, hour["m"]))
+        return F.struct(F.lit(hours).alias("window_hours"), total.alias("m"))
+
+    lines = F.explode(F.array(*[line(hours) for hours in windows])).alias("_l")
+    out = rings.select(*keys, F.col("_w.end").cast("timestamp_ntz").alias("window_end"), lines).filter("_l.m.rows > 0")
+    n, mean = F.col("_l.m.n"), F.when(F.col("_l.m.n") > 0, F.col("_l.m.mean"))
+    spread = F.when(n > 1, F.sqrt(F.col("_l.m.squares") / (n - 1)))
+    return out.select(
+        *keys, "_l.window_hours", "window_end", mean.alias("mean_kw"), spread.alias("stddev_kw"), ratio(spread, mean).alias("cv"), n.alias("n")
+    )
