@@ -179,3 +179,46 @@ def test_shared_covariate_wider_than_a_broadcast(make, spark, monkeypatch):
         covariate, "measure", lambda *a: replace(measure(*a), broadcast_rows=0, hot_parts=10)
     )
     assert rows_of(covariate.attach_covariate(df, cov)) == want
+
+
+def test_group_transform_of_long_keys(uneven):
+    """Medians and percentiles of a hot key take the percentile plan; all others stay one aggregation."""
+    aggs = {"mid": F.median("power_kw"), "top": F.percentile("power_kw", 0.9), "mean": F.avg("power_kw"), "odd": F.median(F.col("power_kw") * 2)}
+    a, b = (rows_of(profiles.group_transform(uneven, aggs, scale=s)) for s in (measure(uneven, ["meter_id"]), cut(uneven)))
+    assert a == b and len(a) == uneven.count()
+    plain = {k: [r["power_kw"] for r in uneven.filter(F.col("meter_id") == k).collect()] for k in ("big", "a", "one")}
+    got = {r["meter_id"]: r for r in profiles.group_transform(uneven, aggs, scale=cut(uneven)).collect()}
+    for k, values in plain.items():
+        assert got[k]["mid"] == pytest.approx(np.median(values)) and got[k]["top"] == pytest.approx(np.quantile(values, 0.9))
+        assert got[k]["odd"] == pytest.approx(2 * np.median(values)) and got[k]["mean"] == pytest.approx(np.mean(values))
+
+
+def test_one_long_key_leaves_the_short_ones_alone(uneven):
+    """Keys below the limit are ranked by the built-in aggregate; only the long one is narrowed down."""
+    scale = replace(measure(uneven, ["meter_id"]), percentile_rows=100)
+    long = replace(scale, percentile_rows=1)
+    q = [0, 0.05, 0.5, 0.95, 1]
+    assert rows_of(percentiles(uneven, "power_kw", q, ["meter_id"], scale=scale)) == rows_of(percentiles(uneven, "power_kw", q, ["meter_id"], scale=long))
+    gap = uneven.withColumn("power_kw", F.when(F.col("meter_id") != "flat", F.col("power_kw")))
+    got = {r["meter_id"]: r["p50"] for r in percentiles(gap, "power_kw", [0.5], ["meter_id"], scale=long).collect()}
+    assert got["flat"] is None and got["one"] == 7 and len(got) == 6
+    extra = [F.count("*").alias("n"), F.max("power_kw").alias("top")]
+    for s in (scale, long):
+        out = {r["meter_id"]: (r["n"], r["top"]) for r in percentiles(uneven, "power_kw", [0.5], ["meter_id"], extra=extra, scale=s).collect()}
+        assert out["flat"] == (30, 5.0) and out["big"][0] == 400
+
+
+def test_lag_correlation_without_a_row_per_lag(make, uneven):
+    """Moments per key and lag, against numpy with missing numbers; no Generate over the readings of short keys."""
+    rows = [("a", h, None if h % 13 == 4 else (h * 7) % 19) for h in range(300)] + [("flat", h, 3) for h in range(20)] + [("one", 0, 1)]
+    df = make(rows).withColumn("outdoor_temp", F.when(F.hour("ts") != 7, (F.hour("ts") * F.hour("ts") % 17 + F.day("ts")).cast("double")))
+    scale = measure(df, ["meter_id"])
+    plain = covariate.lag_correlation(df, max_lag=9, scale=scale)
+    assert "Generate" not in plain._jdf.queryExecution().toString()
+    assert rows_of(plain, digits=9) == rows_of(covariate.lag_correlation(df, max_lag=9, scale=cut(df)), digits=9)
+    got = {(r["meter_id"], r["lag"]): r["corr"] for r in plain.collect()}
+    assert len(got) == 9 + 9 + 1 and got["one", 0] is None and got["flat", 3] is None
+    line = [(r["power_kw"], r["outdoor_temp"]) for r in df.filter("meter_id = 'a'").orderBy("ts").collect()]
+    for lag in range(9):
+        pairs = [(y, line[i - lag][1]) for i, (y, _) in enumerate(line) if i >= lag and y is not None and line[i - lag][1] is not None]
+        assert got["a", lag] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1])

@@ -15,7 +15,7 @@ from wattline.functions.columns import ratio
 from wattline.plans.attach import attach, join_on
 from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, position_blocks, running, time_pairs
+from wattline.plans.series import look_back, over_blocks, running, time_pairs
 from wattline.schema import KEYS, TS, VALUE
 
 #: Up to so many lags are summed one by one; more, all at once by a Fourier transform.
@@ -42,8 +42,6 @@ def acf(
         raise ValueError("by must be 'position' or 'time'")
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias(value))
     scale = scale or measure(known, keys)
-    if by == "position" and scale.short_series:
-        return _by_blocks(known, list(keys), ts, value, max_lag, list(keys), None)
     means = known.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     centred = attach(known, means, keys, scale).select(*keys, ts, (F.col(value) - F.col("_mean")).alias("_x"))
     if by == "time":
@@ -52,8 +50,20 @@ def acf(
         sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
         table = join_on(sums, whole, keys, "inner", null_safe=True)
         return table.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
-    blocks = position_blocks(centred, keys, ts, max_lag, scale)
-    return _by_blocks(blocks, list(keys), "_pos", "_x", max_lag, [*keys, "_block"], "_home")
+
+    def sums(rows: pd.DataFrame, before: int) -> pd.DataFrame:
+        x = rows["_x"].to_numpy(float)
+        found = lagged_sums(x, before, max_lag) if x[before:].any() else np.zeros(max_lag + 1)
+        return pd.DataFrame({"lag": np.arange(max_lag + 1, dtype=np.int32), "_s": found, "n": len(x) - before})
+
+    fields = [T.StructField("lag", T.IntegerType()), T.StructField("_s", T.DoubleType()), T.StructField("n", T.LongType())]
+    table = over_blocks(centred, keys, ts, max_lag, fields, sums, scale)
+    if not scale.short_series:
+        table = table.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("n").alias("n"))
+    # lag 0 holds the sum of squares
+    total = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
+    lags = table.withColumn("_total", total).filter((F.col("lag") > 0) & (F.col("lag") < F.col("n")))
+    return lags.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
 
 
 def lagged_sums(x: np.ndarray, before: int, max_lag: int) -> np.ndarray:
@@ -67,38 +77,6 @@ def lagged_sums(x: np.ndarray, before: int, max_lag: int) -> np.ndarray:
     return products[before + max_lag - np.arange(max_lag + 1)]  # at shift d: the sum of own[i] * padded[i + d]
 
 
-def _by_blocks(
-    df: DataFrame, keys: list[str], order: str, value: str, max_lag: int, by: list[str], home: str | None
-) -> DataFrame:
-    """Autocorrelation from the sums of each block, all lags of a block in one step.
-
-    A block is a whole series, centred here, or a stretch of a long one with copies of the rows before it.
-    """
-    number = T.StructField("_s", T.DoubleType())
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("lag", T.IntegerType()), number, T.StructField("_n", T.LongType())])
-
-    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        x, before = rows[value].to_numpy(float), 0
-        if home is None:
-            x = x - x.mean()
-        else:
-            before = int((rows[home] != rows["_block"]).sum())
-        found = lagged_sums(x, before, max_lag) if x[before:].any() else np.zeros(max_lag + 1)
-        out = pd.DataFrame({"lag": np.arange(max_lag + 1, dtype=np.int32), "_s": found, "_n": len(x) - before})
-        for name, part in reversed(list(zip(keys, key))):
-            out.insert(0, name, part)
-        return out
-
-    table = df.groupBy(*by).applyInPandas(sums, schema)
-    if home is not None:
-        table = table.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    # lag 0 holds the sum of squares
-    total = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))
-    with_total = table.withColumn("_total", total).withColumnRenamed("_n", "n").filter((F.col("lag") > 0) & (F.col("lag") < F.col("n")))
-    return with_total.select(*keys, "lag", ratio("_s", "_total").alias("acf"), "n")
-
-
 def acf_confint(acf_table: DataFrame, alpha: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:
     """Half width of the band around zero at each lag (Bartlett's formula), as `bound`."""
     z = NormalDist().inv_cdf(1 - alpha / 2)

@@ -6,14 +6,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.functions.columns import correlation, nan_to_null
 from wattline.plans.attach import attach, attach_table
 from wattline.plans.missing import nan_is_missing
 from wattline.plans.scale import Scale, measure
-from wattline.plans.series import look_back, recent, running, with_position
+from wattline.plans.series import look_back, over_blocks, recent, running, with_position
 from wattline.schema import KEYS, TS, VALUE
 
 # Mean, amplitude, period in hours and phase of the daily temperature wave.
@@ -107,12 +110,63 @@ def lag_correlation(
     value: str = VALUE,
     scale: Scale | None = None,
 ) -> DataFrame:
-    """Correlation of the load with `x` shifted by 0 ... `max_lag` - 1 rows (below the key's length)."""
-    rows = max_lag - 1
-    shifted = look_back(
-        df.select(*keys, ts, value, x), lambda w: {"_recent": recent(x, rows, w)}, rows, keys, ts, scale
-    ).select(*keys, value, F.posexplode("_recent").alias("lag", "_x"))
-    return shifted.groupBy(*keys, "lag").agg(correlation(value, nan_to_null("_x")).alias("corr"))
+    """Correlation of the load with `x` shifted by 0 ... `max_lag` - 1 rows (below the key's length).
+
+    NULL where one of them does not vary.  A key's moments at all lags come from one look at its rows; the
+    moments of the blocks of a long key are merged.
+    """
+    scale = scale or measure(df, keys)
+    known = df.select(*keys, ts, F.col(value).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
+    fields = [T.StructField("lag", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in MOMENTS]]
+
+    def sums(rows: pd.DataFrame, before: int) -> pd.DataFrame:
+        found = lagged_moments(rows["_y"].to_numpy(float), rows["_x"].to_numpy(float), before, max_lag)
+        return pd.DataFrame(found, columns=["lag", *MOMENTS]).astype({"lag": np.int32})
+
+    table = over_blocks(known, keys, ts, max_lag - 1, fields, sums, scale)
+    if not scale.short_series:
+        table = _merged_moments(table, [*keys, "lag"])
+    varies = (F.col("y_low") < F.col("y_high")) & (F.col("x_low") < F.col("x_high"))
+    corr = F.when(varies, F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0)))
+    return table.select(*keys, "lag", corr.alias("corr"))
+
+
+#: Rows with both numbers, their means, squares and products around these, least and largest of each.
+MOMENTS = ("n", "x", "y", "xx", "yy", "xy", "x_low", "x_high", "y_low", "y_high")
+
+
+def lagged_moments(y: np.ndarray, x: np.ndarray, before: int, lags: int) -> list[tuple]:
+    """(lag, MOMENTS) of y[i] with x[i - lag] for the rows from place `before` on; lags without a row are left out."""
+    out = []
+    for lag in range(min(lags, len(y))):
+        first = max(before, lag)
+        a, b = y[first:], x[first - lag : len(x) - lag]
+        if not len(a):
+            break
+        both = ~(np.isnan(a) | np.isnan(b))
+        a, b = a[both], b[both]
+        if len(a):
+            my, mx = a.mean(), b.mean()
+            u, v = a - my, b - mx
+            out.append((lag, len(a), mx, my, v @ v, u @ u, u @ v, b.min(), b.max(), a.min(), a.max()))
+        else:
+            out.append((lag, 0, *[np.nan] * 9))
+    return out
+
+
+def _merged_moments(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The moments of sets of rows together: products around the common means."""
+    known = F.col("n") > 0
+    total = Window.partitionBy(*by)
+    filled = table.withColumns({c: F.when(known, F.col(c)) for c in MOMENTS[1:]})
+    means = {f"_m{c}": F.sum(F.col("n") * F.col(c)).over(total) / F.nullif(F.sum("n").over(total), F.lit(0.0)) for c in ("x", "y")}
+    dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
+    added = {"xx": dx * dx, "yy": dy * dy, "xy": dx * dy}
+    return filled.withColumns(means).groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        *[F.sum(F.col(c) + F.col("n") * extra).alias(c) for c, extra in added.items()],
+        *[(F.min if c.endswith("low") else F.max)(c).alias(c) for c in MOMENTS[6:]],
+    )
 
 
 def best_lag(corrs: DataFrame, mode: str = "min", keys: Sequence[str] = KEYS) -> DataFrame:

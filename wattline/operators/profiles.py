@@ -6,10 +6,12 @@ work only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.functions.columns import (
     TARIFF_BANDS,
@@ -21,8 +23,8 @@ from wattline.functions.columns import (
     tariff_label,
     week_start,
 )
-from wattline.plans.attach import attach, attach_table
-from wattline.plans.missing import nan_is_missing
+from wattline.plans.attach import attach, attach_table, join_on
+from wattline.plans.missing import nan_is_missing, without_nan
 from wattline.plans.percentiles import percentile_name, percentiles
 from wattline.plans.scale import Scale, measure
 from wattline.schema import KEYS, TS, VALUE
@@ -244,6 +246,30 @@ def group_transform(
     keys: Sequence[str] = KEYS,
     scale: Scale | None = None,
 ) -> DataFrame:
-    """Readings with aggregates of their key as new columns."""
-    stats = df.groupBy(*keys).agg(*[column.alias(name) for name, column in aggs.items()])
-    return attach(df, stats, keys, scale)
+    """Readings with aggregates of their key as new columns.
+
+    Most aggregates merge, so a key of any length is one partial aggregation.  A median or percentile of a
+    column keeps all values of its key, so these take the percentile plan, which cuts long keys; NaN counts
+    as missing there, as in all percentiles.
+    """
+    scale = scale or measure(df, keys)
+    quantiles = {name: found for name, column in aggs.items() if (found := _as_quantile(column, df)) is not None}
+    others = [column.alias(name) for name, column in aggs.items() if name not in quantiles]
+    stats = df.groupBy(*keys).agg(*others) if others else df.select(*keys).distinct()
+    for name, (value, q) in quantiles.items():
+        found = percentiles(without_nan(df.select(*keys, value), value), value, [q], keys, scale=scale)
+        stats = join_on(stats, found.withColumnRenamed(percentile_name(q), name), keys, "left", null_safe=True)
+    return attach(df, stats.select(*keys, *aggs), keys, scale)
+
+
+_QUANTILE = re.compile(r"(?:median\((?P<median>[^(),]+)\)|percentile\((?P<value>[^(),]+), (?P<q>[0-9.]+), 1\))")
+
+
+def _as_quantile(column: Column, df: DataFrame) -> tuple[str, float] | None:
+    """(column, fraction) of a plain median or percentile of a numeric column of `df`."""
+    found = _QUANTILE.fullmatch(str(column).removeprefix("Column<'").removesuffix("'>"))
+    name = found and (found["median"] or found["value"])
+    kinds = {f.name: f.dataType for f in df.schema}
+    if not found or not isinstance(kinds.get(name), T.NumericType):
+        return None
+    return name, 0.5 if found["median"] else float(found["q"])

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from wattline.plans.attach import join_on
@@ -168,6 +170,34 @@ def position_blocks(
     return placed.withColumn("_block", F.explode(F.array_compact(copies)))
 
 
+def over_blocks(
+    df: DataFrame, keys: Sequence[str], ts: str, rows: int, fields: Sequence[T.StructField],
+    build: Callable[[pd.DataFrame, int], pd.DataFrame], scale: Scale,
+) -> DataFrame:
+    """(keys, fields) that `build` makes of each series, or of each block of long ones, sorted by time.
+
+    `build` gets the rows of a block and how many of them, at the front, are copies of the `rows` rows before
+    its own.  One shuffle; what a long key's blocks give must be merged by the caller.
+    """
+    names, by = list(keys), list(keys)
+    schema = T.StructType([*[df.schema[k] for k in names], *fields])
+    if scale.short_series:
+        blocks, order = df, ts
+    else:
+        blocks, order = position_blocks(df, keys, ts, rows, scale), "_pos"
+        by.append("_block")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        before = int((group["_home"] != group["_block"]).sum()) if "_home" in group else 0
+        out = build(group, before)
+        for name, part in reversed(list(zip(names, key))):
+            out.insert(0, name, part)
+        return out
+
+    return blocks.groupBy(*by).applyInPandas(run, schema)
+
+
 def look_back(
     df: DataFrame,
     build: Callable[[WindowSpec], Mapping[str, Column]],
