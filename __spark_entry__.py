@@ -610,6 +610,22 @@ _per_source(
     "p50 p95 p99",
     "_by_user _by_supplier",
 )
+# the sketch holds its ranks exactly here: no key has more rows than its accuracy
+_per_source(
+    "percentile_sketch",
+    lambda r: profiles.percentile_by_key(r, exact=False),
+    """SELECT meter_id, quantile_disc(power_kw, 0.5) AS p50, quantile_disc(power_kw, 0.95) AS p95,
+      quantile_disc(power_kw, 0.99) AS p99 FROM readings GROUP BY 1""",
+    "p50 p95 p99",
+)
+_per_source(
+    "contract_exceedance_all",
+    lambda r: profiles.contract_exceedance(r, 0.9, include_zero=True),
+    """, limits AS (SELECT meter_id, quantile_cont(power_kw, 0.9) AS p90 FROM readings GROUP BY 1)
+      SELECT meter_id, p90, count(*) FILTER (power_kw > p90) AS exceedances FROM readings JOIN limits USING (meter_id) GROUP BY 1, 2""",
+    "p90",
+    "_by_supplier",
+)
 _per_source(
     "join_stats",
     lambda r: profiles.join_stats(r, profiles.stability_summary(r)),
@@ -1023,6 +1039,13 @@ def _errors_sql(x: str) -> str:
 _per_source(
     "harmonic_feature", _heated, f"{WAVE} SELECT * FROM heated", "power_kw outdoor_temp", "_by_user"
 )
+_per_source(
+    "harmonic_clock",
+    lambda r: covariate.harmonic_feature(r, index="hour"),
+    "SELECT *, 5e0 + 10e0 * sin(2 * pi() * (epoch(ts) // 3600) / 24e0 + (-2 * pi() * 15 / 24)) AS outdoor_temp FROM readings",
+    "power_kw outdoor_temp",
+    "_by_user",
+)
 
 
 def _weather(spark: SparkSession, sf: str) -> DataFrame:
@@ -1048,6 +1071,26 @@ _register(
     f"{READINGS}{FEED} SELECT r.*, f.feed FROM readings r ASOF LEFT JOIN feed f ON r.ts >= f.ts",
     "power_kw feed",
 )
+
+
+def _own_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed of each meter: every sixth hour's reading."""
+    return _stored(_readings)(spark, sf).filter(F.hour("ts") % 6 == 0).select("meter_id", "ts", F.col("power_kw").alias("feed"))
+
+
+OWN_FEED = ", feed AS (SELECT meter_id, ts, power_kw AS feed FROM readings WHERE hour(ts) % 6 = 0)"
+_register(
+    "attach_covariate_per_key",
+    lambda s, d: covariate.attach_covariate(_stored(_readings)(s, d), _own_feed(s, d), per_key=True),
+    f"{READINGS}{OWN_FEED} SELECT r.*, f.feed FROM readings r LEFT JOIN feed f USING (meter_id, ts)",
+    "power_kw feed",
+)
+_register(
+    "attach_covariate_per_key_asof",
+    lambda s, d: covariate.attach_covariate(_stored(_readings)(s, d), _own_feed(s, d), per_key=True, asof=True),
+    f"{READINGS}{OWN_FEED} SELECT r.*, f.feed FROM readings r ASOF LEFT JOIN feed f ON r.meter_id = f.meter_id AND r.ts >= f.ts",
+    "power_kw feed",
+)
 _per_source(
     "corr_lag0",
     lambda r: covariate.corr_lag0(_heated(r)),
@@ -1066,6 +1109,12 @@ _per_source(
     f"{LAGGED} SELECT * FROM best",
     "best_corr",
 )
+_per_source(
+    "best_lag_abs",
+    lambda r: covariate.best_lag(covariate.lag_correlation(_heated(r)), "abs"),
+    f"{LAGGED} SELECT meter_id, first(lag ORDER BY abs(corr) DESC, lag) AS best_lag, first(corr ORDER BY abs(corr) DESC, lag) AS best_corr FROM corrs GROUP BY 1",
+    "best_corr",
+)
 _per_source(
     "shift_covariate",
     _shifted,
@@ -1097,11 +1146,41 @@ _per_source(
 )
 
 
+def _nameless(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings in which one meter has no name and every sixth hour no number (NaN)."""
+    name = F.when(F.col("meter_id") != "click", F.col("meter_id"))
+    value = F.when(F.hour("ts") % 6 == 5, float("nan")).otherwise(F.col("power_kw"))
+    return _stored(_readings)(spark, sf).select(name.alias("meter_id"), "ts", value.alias("power_kw"))
+
+
+#: The same for SQL, which groups the nameless meter under '~' until the end.
+NAMELESS = READINGS.replace("WITH readings", "WITH named") + """, readings AS (SELECT CASE WHEN meter_id = 'click' THEN '~' ELSE meter_id END AS meter_id, ts,
+  CASE WHEN hour(ts) % 6 = 5 THEN NULL ELSE power_kw END AS power_kw FROM named)"""
+
+
+def _unnamed(sql: str) -> str:
+    return f"SELECT * REPLACE (nullif(meter_id, '~') AS meter_id) FROM ({sql})"
+
+
+_register(
+    "linear_comparison_nameless",
+    lambda s, d: models.model_comparison(_heated(_nameless(s, d))),
+    _unnamed(
+        f"""{NAMELESS}{LAGGED} SELECT meter_id, lag, corr, slope, intercept, mae, rmse, 'linear' AS model
+        FROM corrs JOIN ({_errors_sql("outdoor_temp")}) USING (meter_id) WHERE lag = 0
+      UNION ALL SELECT meter_id, best_lag AS lag, best_corr AS corr, slope, intercept, mae, rmse,
+        'linear' AS model FROM best JOIN ({_errors_sql("outdoor_temp_shifted")}) USING (meter_id)"""
+    ),
+    "corr slope intercept mae rmse",
+)
+_register("forest_fit_nameless", lambda s, d: models.forest_fit(_heated(_nameless(s, d))))
+
+
 def _types(spark: SparkSession, sf: str) -> list[str]:
     return sorted(r["meter_id"] for r in quality.distinct_keys(_stored(_readings)(spark, sf)).collect())
 
 
-# Spark ML forests have no SQL twin; tests/test_models.py checks them
+# forests have no SQL twin; tests/test_models.py checks them against recursion and another library
 _register("forest_fit", lambda s, d: models.forest_fit(_heated(_stored(_readings)(s, d))))
 _register("model_comparison", lambda s, d: models.model_comparison(_heated(_stored(_readings)(s, d)), _types(s, d)))
 
@@ -1187,8 +1266,11 @@ def _stream_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _baseline(spark: SparkSession, sf: str) -> DataFrame:
-    values = _stream_rows(spark, sf)
-    scored = anomalies.robust_z(values, threshold=None)
+    return _baseline_of(_stream_rows(spark, sf))
+
+
+def _baseline_of(rows: DataFrame) -> DataFrame:
+    scored = anomalies.robust_z(rows, threshold=None)
     return scored.groupBy("meter_id").agg(
         F.avg("power_kw").alias("mean"),
         F.stddev_samp("power_kw").alias("stddev"),
@@ -1205,7 +1287,20 @@ def _limits(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.contract_power(_stream_rows(spark, sf), 0.9, 1.0)
 
 
+def _holed(events: DataFrame) -> DataFrame:
+    """One meter without a name, every seventh event without a number (NaN)."""
+    name = F.when(F.col("meter_id") != "click", F.col("meter_id"))
+    value = F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("power_kw"))
+    return events.withColumn("meter_id", name).withColumn("power_kw", value)
+
+
+def _holed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _holed(_events(spark, sf).select(F.col("event_type").alias("meter_id"), "ts", F.col("value").alias("power_kw"), "event_id"))
+
+
 RAW = "WITH readings AS (SELECT event_type AS meter_id, ts, value AS power_kw, event_id FROM events)"
+HOLED = """WITH readings AS (SELECT CASE WHEN event_type = 'click' THEN '~' ELSE event_type END AS meter_id, ts,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS power_kw, event_id FROM events)"""
 CLOSED = "<= (SELECT max(ts) FROM readings) - INTERVAL 2 HOUR"
 
 _register(
@@ -1261,6 +1356,29 @@ _register(
 )
 
 
+# streams with a nameless meter and missing numbers
+_register(
+    "stream_hourly_holes",
+    lambda s, d: _drained(monitor.stream_hourly(_holed(_stream(s, d)))),
+    _unnamed(_SQL["stream_hourly"].replace(RAW, HOLED)),
+)
+_register(
+    "stream_rolling_holes",
+    lambda s, d: _drained(monitor.stream_rolling(_holed(_stream(s, d)))),
+    _unnamed(_SQL["stream_rolling"].replace("count(*) AS n", "count(power_kw) AS n").replace(RAW, HOLED)),
+)
+_register(
+    "stream_zscore_holes",
+    lambda s, d: _drained(monitor.stream_zscore(_holed(_stream(s, d)), _baseline_of(_holed_rows(s, d)))),
+    _unnamed(_SQL["stream_zscore"].replace(RAW, HOLED)),
+)
+_register(
+    "stream_overload_sessions_holes",
+    lambda s, d: _drained(monitor.stream_overload_sessions(_holed(_stream(s, d)), profiles.contract_power(_holed_rows(s, d), 0.9, 1.0))),
+    _unnamed(_SQL["stream_overload_sessions"].replace(RAW, HOLED)),
+)
+
+
 # The text operators stand apart: without their package the library and its other queries still work.
 try:
     import corpus_pipeline
