@@ -91,3 +91,22 @@ def test_work_of_a_full_bucket_is_dealt_out(spark, monkeypatch, tmp_path):
     assert result(E.near_vectors(df, miss=1e-6)) == brute(rows)
     sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
     assert np.mean(sizes) < 100 and max(sizes) < 64 * 5
+
+
+def test_numbers_of_any_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e200, 1e200]), (4, [5e-324, 0.0]), (5, [1e-200, 1e-201]), (6, [1e308, 1e308]), (7, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(E.near_vectors(df, miss=1e-6))
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 1, 3), (4, 3, 1), (5, 3, 1), (6, 1, 3), (7, 0, 7)]
+
+
+def test_sketches_pass_near_pairs():
+    """Pairs at the threshold all pass the screen, unrelated ones nearly never."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9 * a + math.sqrt(1 - 0.81) * b
+    apart = lambda x, y: np.unpackbits(E.sketches(x) ^ E.sketches(y), axis=1).sum(1)
+    assert apart(a, near).max() <= E.unlike(0.9) and (apart(a, b) <= E.unlike(0.9)).sum() == 0

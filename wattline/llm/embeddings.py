@@ -1,9 +1,11 @@
 """Near-duplicate vectors by random-hyperplane sign hashing.
 
-The signs of a vector's products with random planes make one key in each of several tables; vectors that
-share a key are compared exactly.  Full buckets are cut into blocks, so a task never holds more than two.
-A pair that meets in several tables counts in the first only.  A task returns how many links each vector
-has and a spanning forest of them, never the pairs.
+The signs of a vector's products with random planes make one key in each of several tables.  Most vectors
+that share a key do so by chance, so a bucket is screened first with sketches of SKETCH more signs: only
+vectors with another one near by them in the bucket send their numbers there, and are compared exactly.
+Full buckets are cut into blocks, so a task never holds more than two.  A pair that meets in several tables
+counts in the first only.  A task returns how many links each vector has and a spanning forest of them,
+never the pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from wattline.llm.near_dedup import _forest
 
 #: Vectors of one block, and rows that make one task's work.
 BLOCK, WORK = 512, 8192
+#: Signs of a sketch, and deviations above the expected number of unlike ones that still count as near:
+#: a pair right at the threshold fails the screen with a chance below one in a million.
+SKETCH, DEVIATIONS = 512, 5.0
 
 
 def plan(count: int, cosine: float, miss: float) -> tuple[int, int]:
@@ -32,9 +37,21 @@ def plan(count: int, cosine: float, miss: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - min(alike**bits, 1 - 1e-12))))
 
 
+def unlike(cosine: float) -> int:
+    """Most unlike signs that two sketches of near vectors may have."""
+    share = math.acos(min(1.0, cosine)) / math.pi
+    return math.floor(SKETCH * share + DEVIATIONS * math.sqrt(SKETCH * share * (1 - share)))
+
+
 @functools.cache
-def _planes(size: int, many: int) -> np.ndarray:
-    return np.random.default_rng(20_011 + size).standard_normal((size, many))
+def _planes(size: int, many: int, seed: int = 20_011) -> np.ndarray:
+    return np.random.default_rng(seed + size).standard_normal((size, many))
+
+
+def sketches(vectors: np.ndarray) -> np.ndarray:
+    """Vectors x bytes: SKETCH signs of products with planes of their own."""
+    signs = [vectors[a : a + 4096] @ _planes(vectors.shape[1], SKETCH, 40_009) > 0 for a in range(0, len(vectors), 4096)]
+    return np.packbits(np.concatenate(signs), axis=1)
 
 
 def keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -47,17 +64,47 @@ def keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _grid(array: pa.Array) -> np.ndarray:
-    return array.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(array), -1)
+    """Vectors as rows, each scaled by a power of two so that its largest number is near one."""
+    x = array.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(array), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0.0))[1])
+
+
+_PLACE = ("size", "tab", "val", "low", "high")
+
+
+def _meetings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows in which each pair of blocks of a bucket is one stretch, their starts and the places."""
+    columns = [table.column(c).to_numpy() for c in _PLACE]
+    order = np.lexsort(columns[::-1])
+    where = np.stack([c[order] for c in columns], 1)
+    return order, np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]).any(1)))), where
+
+
+def _screen(most: int):
+    """Rows that have another one near by them, by their sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order, starts, where = _meetings(table)
+        block = table.column("block").to_numpy()[order]
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+        near = np.zeros(len(order), bool)
+        for a, b in zip(starts, np.append(starts[1:], len(order))):
+            signs = 1.0 - 2.0 * np.unpackbits(sketch[a:b], axis=1).astype(np.float32)
+            meet = signs @ signs.T >= SKETCH - 2 * most
+            if where[a, 3] != where[a, 4]:  # two blocks: only pairs across
+                meet &= block[a:b, None] != block[None, a:b]
+            np.fill_diagonal(meet, False)
+            near[a:b] = meet.any(1)
+        return table.select(["node", *_PLACE[1:], "block"]).take(pa.array(order[near]))
+
+    return run
 
 
 def _compare(cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_numpy() for c in ("size", "tab", "val", "low", "high")]
-        order = np.lexsort(columns[::-1])
+        order, starts, where = _meetings(table)
         node, copies = table.column("node").to_numpy()[order], table.column("copies").to_numpy()[order]
         block = table.column("block").to_numpy()[order]
-        where = np.stack([c[order] for c in columns], 1)
-        starts = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]).any(1))))
         lists, signs = table.column("vector").combine_chunks(), table.column("signs").combine_chunks()
         links: dict[int, int] = {}
         edges_a, edges_b = [], []
@@ -122,14 +169,15 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         lists = batch.column("_vector")
         size = lists.value_lengths().to_numpy()
-        out = np.zeros((len(lists), tables), np.int32)
+        out, rough = np.zeros((len(lists), tables), np.int32), np.zeros((len(lists), SKETCH // 8), np.uint8)
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            out[at] = keys(_grid(lists.take(pa.array(at))), bits, tables)
+            grid = _grid(lists.take(pa.array(at)))
+            out[at], rough[at] = keys(grid, bits, tables), sketches(grid)
         offsets = np.arange(len(lists) + 1, dtype=np.int32) * tables
-        return [pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), pa.int32()))]
+        return [pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), pa.int32())), pa.array([r.tobytes() for r in rough], pa.binary())]
 
-    signed = with_python(classes, {"_vector": F.col("vector")}, "signs array<int>", step).withColumn("size", F.size("vector"))
+    signed = with_python(classes, {"_vector": F.col("vector")}, "signs array<int>, sketch binary", step).withColumn("size", F.size("vector"))
     signed = stored(signed, "signs")
     places = signed.select("node", "size", F.posexplode("signs").alias("tab", "val"))
     buckets = places.groupBy("size", "tab", "val").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
@@ -140,10 +188,16 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     spread = places.join(buckets, ["size", "tab", "val"]).withColumn("block", F.pmod(F.hash("node", "tab"), F.col("blocks")))
     spread = spread.select("node", "tab", "val", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     work = spread.select("node", "tab", "val", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = work.join(signed, "node")
-    shares = max(8, -(-sent // WORK))
-    share = F.pmod(F.xxhash64("size", "tab", "val", "low", "high"), F.lit(shares)).alias("share")
-    found = stored(full.select("*", share).groupBy("share").applyInArrow(_compare(cosine), "node bigint, other bigint, n bigint"), "links")
+
+    def shared(rows: DataFrame, sent: int) -> DataFrame:
+        share = F.pmod(F.xxhash64(*_PLACE), F.lit(max(8, -(-sent // WORK)))).alias("share")
+        return rows.select("*", share).groupBy("share")
+
+    screened = shared(work.join(signed.select("node", "size", "sketch"), "node"), sent)
+    places_kept = "node bigint, tab int, val int, low int, high int, block int"
+    kept = stored(screened.applyInArrow(_screen(unlike(cosine)), places_kept), "near")
+    full = kept.join(signed.drop("sketch"), "node")
+    found = stored(shared(full, kept.count()).applyInArrow(_compare(cosine), "node bigint, other bigint, n bigint"), "links")
     links = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     reached = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     labels = reached.join(classes.select("node", "vec"), "node").groupBy("component").agg(F.min("vec").alias("least"))
