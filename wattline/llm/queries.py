@@ -253,3 +253,42 @@ def op12_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     talks = talks.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
     done = chat.format_chats(talks, tokenizer=str(public_tokenizers.path("byte_bpe_50k.json")))
     return chat.read_back(done).withColumnRenamed("conv", "conv_id")
+
+
+#: Rows that inserts lead from one last initial to another, and what an edit of a row does: the audits of
+#: every beginning of a conversation, the least one for each last initial.
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE drawn AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '~') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS draw FROM conversations),
+broken AS (SELECT k, turn, CASE draw WHEN 3 THEN 2 ELSE 1 END AS copies, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, sum(copies) OVER line - copies AS earlier, lag(role) OVER line AS previous,
+  row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) AS time_said, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS shown
+  FROM broken WINDOW line AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+judged AS MATERIALIZED (SELECT *, CAST(earlier + copy AS BIGINT) AS pos, substr(role, 1, 1) AS initial, CASE WHEN copy > 1 THEN role ELSE previous END AS before,
+  CASE WHEN shown = '' THEN 'blank' WHEN time_said > 1 OR copy > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM placed, unnest(range(1, copies + 1)) AS t(copy)),
+counted AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY k),
+ins(a, b, c, e) AS (VALUES ('', '', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('', 'u', 2, 'I'), ('', 'a', 4, 'II'),
+  ('s', 'u', 2, 'I'), ('s', 'a', 4, 'II'), ('u', 'a', 2, 'I'), ('a', 'u', 2, 'I')),
+nxt(a, b) AS (VALUES ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+edits AS MATERIALIZED (SELECT k, pos, a, a AS b, 3 AS c, 'D' AS e FROM judged, nxt
+  UNION ALL SELECT k, pos, a, b, 2 + (fault IS NOT NULL)::INT, 'R' FROM judged, nxt WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT k, pos, a, initial, (fault IS NOT NULL)::INT, 'K' FROM judged, nxt
+    WHERE (fault IS NULL OR fault = 'truncated') AND (initial = b OR (a = '' AND initial = 's'))),
+walk AS (SELECT DISTINCT k, 0 AS pos, '' AS last, {{'c': 0, 'e': ''}} AS best FROM judged
+  UNION ALL SELECT w.k, w.pos + 1, d.b, min({{'c': w.best.c + i.c + d.c, 'e': w.best.e || i.e || d.e}})
+  FROM walk w JOIN ins i ON i.a = w.last JOIN edits d ON d.k = w.k AND d.pos = w.pos + 1 AND d.a = i.b GROUP BY w.k, w.pos, d.b),
+done AS (SELECT w.k, min({{'c': w.best.c + i.c, 'e': w.best.e || i.e}}) AS best FROM walk w JOIN ins i ON i.a = w.last
+  JOIN (SELECT k, max(pos) AS pos FROM judged GROUP BY k) USING (k, pos) WHERE i.b IN ('', 'a') GROUP BY w.k),
+spelled AS (SELECT k, i, substr(best.e, i, 1) AS edit, len(replace(substr(best.e, 1, i), 'I', '')) AS pos, len(replace(substr(best.e, 1, i), 'D', '')) AS place
+  FROM done, unnest(range(1, len(best.e) + 1)) AS t(i)),
+met AS (SELECT s.*, role, text, max((place = 1 AND edit = 'K' AND initial = 's')::INT) OVER (PARTITION BY k) AS led
+  FROM spelled s LEFT JOIN judged USING (k, pos) WHERE edit <> 'D'),
+said AS (SELECT k, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+  CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS words FROM met GROUP BY k)
+SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(words, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM drawn) LEFT JOIN counted USING (k) LEFT JOIN done USING (k) LEFT JOIN said USING (k)"""

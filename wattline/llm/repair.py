@@ -67,7 +67,7 @@ def faults(rows: DataFrame) -> DataFrame:
             F.when(known, F.col("initial")).otherwise("o")
         )
     )
-    seen = F.row_number().over(Window.partitionBy("conv", "role", "text").orderBy("turn")) > 1
+    seen = F.row_number().over(Window.partitionBy("conv", "role", "text").orderBy("place")) > 1  # of equal rows the first place
     placed = (
         rows.withColumn("place", F.row_number().over(line))
         .withColumn("initial", initial)
