@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from wattline.llm import queries
-from wattline.llm.chat import escape, format_chats, read_back, read_turns, segment, unescape
+from wattline.llm.chat import Codec, escape, format_chats, read_back, read_turns, segment, unescape
 
 HOSTILE = ["", "\\", "\\\\", "#", "####", "\\####", "</turn>", "\\</turn>\n### user: x", "</tur", "a: b", "<|endoftext|>", "##", "é\U0001f600\x00"]
 
@@ -63,7 +64,7 @@ def test_stream_of_tokens(spark, parts):
         df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
         done = format_chats(df)
         assert digests(read_back(done)) == plain(rows)
-        packed = sorted(done.packed.collect(), key=lambda r: r["start"])
+        packed = sorted((r.asDict() for r in done.packed.collect()), key=lambda r: r["start"])
         index = {r["conv"]: r["node"] for r in done.index.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
@@ -75,6 +76,8 @@ def test_stream_of_tokens(spark, parts):
     assert len(packed) == len(prefixes)  # every beginning once
     at, stream, owner = 0, [], []
     for row in packed:
+        row["ids"] = np.frombuffer(row["ids"], Codec().kind).tolist()
+        assert len(row["ids"]) == row["n"]
         assert row["start"] == at
         at += len(row["ids"])
         stream += row["ids"]
@@ -105,8 +108,10 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], schema)
     done = format_chats(df)
     assert digests(read_back(done)) == plain(rows)
-    with_tokens = format_chats(df, tokenizer=str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")))
-    assert digests(read_back(with_tokens)) == plain(rows)
+    public = pytest.importorskip("public_tokenizers")
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        with_tokens = format_chats(df, tokenizer=str(public.path(name)), pattern=public.PATTERN)
+        assert digests(read_back(with_tokens)) == plain(rows)
     assert read_back(format_chats(df.limit(0))).count() == 0
 
 

@@ -14,12 +14,14 @@ strings within texts never read as the template's, and all comes back.
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,47 +63,62 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 class Codec:
-    """Text to token ids and back without loss: a byte-level tokenizer's file, or code points without one."""
+    """Text to token ids and back without loss: code points, or a byte-level tokenizer's file.
 
-    def __init__(self, path: str | None):
-        self.library = None
-        if path:
+    A `.json` file is read by the tokenizers library, a `.tiktoken` file of ranks by tiktoken, with the
+    pattern that cuts texts before merging.  Ids are kept in two bytes each if all fit, else in four.
+    """
+
+    def __init__(self, path: str | None = None, pattern: str | None = None):
+        self.kind, size = np.dtype("<u4"), 0x110000
+        if path is None:
+            self.encode_one, self.decode_one = lambda text: list(map(ord, text)), lambda ids: "".join(map(chr, ids))
+        elif path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+            library = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encode_one, self.decode_one, size = library.encode_ordinary, library.decode, library.n_vocab
+        else:
             from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+            library = Tokenizer.from_file(path)
+            library.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.encode_one = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.decode_one, size = lambda ids: library.decode(ids, skip_special_tokens=False), library.get_vocab_size()
+        if size <= 1 << 16:
+            self.kind = np.dtype("<u2")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.library is None:
-            return [list(map(ord, text)) for text in texts]
-        return [self.library.encode(text, add_special_tokens=False).ids for text in texts]
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.encode_one(text), self.kind)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        if self.library is None:
-            return ["".join(map(chr, one)) for one in ids]
-        return [self.library.decode(one, skip_special_tokens=False) for one in ids]
+    def decode(self, ids: bytes) -> str:
+        """The text of ids as they are kept."""
+        return self.decode_one(np.frombuffer(ids, self.kind).tolist())
 
 
 @functools.cache
-def _codec(path: str | None) -> Codec:
-    return Codec(path)
+def _codec(tokenizer: tuple[str | None, str | None]) -> Codec:
+    return Codec(*tokenizer)
 
 
 @dataclass
 class Formatted:
     """The tokens of all conversations, as tables.
 
-    `packed`: one row per node: node, part and start (place in the stream; parts are consecutive), ids,
-    position (id of its first token; they count on), attends (intervals [first, end) of the stream),
-    loss (the interval under the loss mask, null for none), ends (a conversation ends here).
-    `heads`: for each part the nodes of earlier parts that its first node attends to, and their part.
+    `packed`: one row per node: node, part and start (place in the stream; parts are consecutive), n (tokens),
+    ids (bytes, as `Codec` keeps them), position (id of its first token; they count on), attends (intervals
+    [first, end) of the stream), loss (the interval under the loss mask, null for none), ends (a
+    conversation ends here).
+    `heads`: for each part, the rows of earlier parts that its first node attends to, marked with that part.
     `index`: (conv, node), the last node of each conversation.
     """
 
     packed: DataFrame
     heads: DataFrame
     index: DataFrame
-    tokenizer: str | None
+    tokenizer: tuple[str | None, str | None]
 
 
 def _content(role: Column, text: Column) -> Column:
@@ -146,24 +163,23 @@ def _paths(turns: DataFrame) -> DataFrame:
     return lined.mapInArrow(run, f"conv {conv}, nodes array<binary>, contents array<binary>")
 
 
-def _segments(turns: DataFrame, tokenizer: str | None) -> DataFrame:
+def _segments(turns: DataFrame, tokenizer: tuple[str | None, str | None]) -> DataFrame:
     """(content, role, ids, n_head, n_body, n): the tokens of each distinct turn."""
     distinct = turns.groupBy("content").agg(F.first("role").alias("role"), F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(tokenizer)
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            roles = batch.column("role").to_pylist()
-            parts = zip(*[segment(r, t) for r, t in zip(roles, batch.column("text").to_pylist())])
-            head, body, foot = (_codec(tokenizer).encode(list(p)) for p in parts)
-            ids = pa.array([a + b + c for a, b, c in zip(head, body, foot)], pa.list_(pa.int32()))
-            sizes = [[len(x) for x in part] for part in (head, body)]
-            total = [len(a) + len(b) + len(c) for a, b, c in zip(head, body, foot)]
-            counts = [pa.array(x, pa.int64()) for x in (*sizes, total)]
+            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
+            parts = [[codec.encode(x) for x in segment(r, t)] for r, t in zip(roles, texts)]
+            ids = pa.array([b"".join(p.tobytes() for p in part) for part in parts], pa.binary())
+            head, body, foot = (np.array([len(part[k]) for part in parts], np.int64) for k in range(3))
+            counts = [pa.array(x) for x in (head, body, head + body + foot)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("content"), batch.column("role"), ids, *counts], names=["content", "role", "ids", "n_head", "n_body", "n"]
             )
 
-    return distinct.mapInArrow(run, "content binary, role string, ids array<int>, n_head bigint, n_body bigint, n bigint")
+    return distinct.mapInArrow(run, "content binary, role string, ids binary, n_head bigint, n_body bigint, n bigint")
 
 
 def _depth_first(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,31 +253,34 @@ def _sighted(placed: DataFrame, above: DataFrame) -> DataFrame:
 
 def format_chats(
     df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None,
-    loss_role: str = "assistant",
+    pattern: str | None = None, loss_role: str = "assistant",
 ) -> Formatted:
     """The conversations of `df` as one stream of tokens in which shared first turns appear once.
 
     Turns go by `turn` (nulls first), ties by role, then by a hash of the text.  Null roles and texts are
     empty ones, a null key is a conversation like any other, repeated rows are turns of their own, and
-    equal conversations end in the same node.  Texts of any length are one turn; `tokenizer` (a byte-level
-    file for the tokenizers library at the same path on every machine; without one, tokens are code points)
-    sees each distinct turn once.  Other columns of `df` are not read, so no names clash.  An empty table
+    equal conversations end in the same node.  Texts of any length are one turn; the tokenizer (see `Codec`; a
+    file at the same path on every machine; without one, tokens are code points) sees each distinct turn once.  Other columns of `df` are not read, so no names clash.  An empty table
     gives empty tables.
     """
     turns = df.select(F.col(key).alias("conv"), F.col(turn).alias("turn"), filled(role).alias("role"), filled(text).alias("text"))
     turns = turns.withColumn("content", _content(F.col("role"), F.col("text")))
     paths = stored(_paths(turns).withColumn("node", F.element_at("nodes", -1)), "chat-paths")
-    segments = stored(_segments(turns, tokenizer), "chat-segments")
+    codec = (tokenizer, pattern)
+    segments = stored(_segments(turns, codec), "chat-segments")
     nodes, above = _depth_first(paths)
     above = stored(above, "chat-above")
     placed = stored(_placed(nodes.join(segments.select("content", "n"), "content")), "chat-layout")
     sighted = _sighted(placed, above)
     first = F.col("start") + F.col("n_head")
     loss = F.when(F.col("role") == loss_role, F.struct(first.alias("first"), (first + F.col("n_body")).alias("end")))
-    told = placed.select("node", "content", "part", "start", "ends").join(sighted, "node")
-    packed = told.join(segments, "content").select("node", "part", "start", "ids", "position", "attends", loss.alias("loss"), "ends")
-    heads = above.select(F.col("reader").alias("part"), "node")
-    return Formatted(stored(packed, "chat-packed"), heads, paths.select("conv", "node"), tokenizer)
+    nodes = stored(placed.select("node", "content", "part", "start", "ends").join(sighted, "node"), "chat-nodes")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.join(segments, "content").select("node", "part", "start", "n", "ids", "position", "attends", loss.alias("loss"), "ends")
+
+    heads = above.select(F.col("reader").alias("_part"), "node").join(nodes, "node").withColumn("part", F.col("_part"))
+    return Formatted(packed(nodes), packed(heads), paths.select("conv", "node"), codec)
 
 
 def read_back(done: Formatted) -> DataFrame:
@@ -270,19 +289,17 @@ def read_back(done: Formatted) -> DataFrame:
     A task reads a part of the stream in order.  Ancestors of a node are told by its intervals alone; their
     hashes so far are copied and go on, so each shared turn is read once.
     """
-    own = done.packed.withColumn("told", F.lit(False))
-    heads = done.heads.withColumnRenamed("part", "reader").join(done.packed, "node")
-    heads = heads.withColumn("part", F.col("reader")).withColumn("told", F.lit(True)).select(*own.columns)
-    lined = own.unionByName(heads).repartition("part").sortWithinPartitions("part", "start")
+    rows = done.packed.withColumn("told", F.lit(False)).unionByName(done.heads.withColumn("told", F.lit(True)))
+    lined = rows.repartition("part").sortWithinPartitions("part", "start")
     tokenizer, names = done.tokenizer, ["node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stack = None, []  # entries: end in the stream, turns, hash of turns, loss, its hash, characters
         codec = _codec(tokenizer)
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            columns = [batch.column(c).to_pylist() for c in ("node", "part", "start", "ids", "attends", "loss", "ends", "told")]
+            columns = [batch.column(c).to_pylist() for c in ("node", "part", "start", "n", "ids", "attends", "loss", "ends", "told")]
             out = []
-            for node, at, start, ids, attends, loss, ends, told_only in zip(*columns):
+            for node, at, start, n, ids, attends, loss, ends, told_only in zip(*columns):
                 if at != part:
                     part, stack = at, []
                 parent = attends[-1]["end"] if attends else -1
@@ -291,17 +308,21 @@ def read_back(done: Formatted) -> DataFrame:
                 if attends and not stack:
                     raise ValueError("a node without its ancestors")
                 _, turns, hashed, chars, masked, length = stack[-1] if stack else (0, 0, hashlib.sha256(), 0, hashlib.sha256(), 0)
-                formatted = codec.decode([ids])[0]
                 hashed, masked = hashed.copy(), masked.copy()
-                for role, text in read_turns(formatted):
-                    hashed.update(f"{role}\n{text}\n".encode())
-                    turns += 1
                 if loss:
-                    text = unescape(codec.decode([ids[loss["first"] - start : loss["end"] - start]])[0])
+                    first, end = ((loss[edge] - start) * codec.kind.itemsize for edge in ("first", "end"))
+                    text = codec.decode(ids[first:end])
+                    formatted = codec.decode(ids[:first]) + text + codec.decode(ids[end:])
+                    text = unescape(text)
                     masked.update(text.encode())
                     chars += len(text)
+                else:
+                    formatted = codec.decode(ids)
+                for role, text in read_turns(formatted):
+                    hashed.update(f"{role}\n{text}\n".encode())
+                    turns += 1
                 length += len(formatted)
-                stack.append((start + len(ids), turns, hashed, chars, masked, length))
+                stack.append((start + n, turns, hashed, chars, masked, length))
                 if ends and not told_only:
                     out.append((node, turns, hashed.hexdigest(), chars, masked.hexdigest(), length))
             columns = [list(c) for c in zip(*out)] if out else [[] for _ in names]

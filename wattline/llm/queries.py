@@ -251,7 +251,8 @@ def op12_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
     talks = documents(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     talks = talks.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
-    done = chat.format_chats(talks, tokenizer=str(public_tokenizers.path("byte_bpe_50k.json")))
+    ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    done = chat.format_chats(talks, tokenizer=ranks, pattern=public_tokenizers.PATTERN)
     return chat.read_back(done).withColumnRenamed("conv", "conv_id")
 
 
