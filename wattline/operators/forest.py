@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.plans.attach import attach
-from wattline.plans.scale import Scale, measure
+from wattline.plans.scale import Scale, dealt_out, measure
 from wattline.plans.series import running
 from wattline.session import cut_lineage
 
@@ -186,7 +186,7 @@ def forest_answers(
         values, said = fit_group(*(group[c].to_numpy() for c in ("_bin", "_y", "_h")), trees, max_depth)
         return framed(key, {"_bin": values, "_said": said})
 
-    short = slim.filter(F.col("_n") <= group_rows).groupBy(*names).applyInPandas(fit, T.StructType([*key_fields, number("_bin"), number("_said")]))
+    short = dealt_out(slim.filter(F.col("_n") <= group_rows), names, scale.keys).groupBy(*names).applyInPandas(fit, T.StructType([*key_fields, number("_bin"), number("_said")]))
     answers = short
     if scale.largest > group_rows:
         each = slim.filter(F.col("_n") > group_rows).select(*names, "_bin", "_y", "_h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
@@ -200,7 +200,7 @@ def forest_answers(
             return framed(key[:-1], {"_bin": group["_bin"].to_numpy(), "_said": total, "_told": told.astype(float)})
 
         fields = T.StructType([*key_fields, number("_bin"), number("_said"), number("_told")])
-        told = sums.groupBy(*names, "_tree").applyInPandas(fit_tree, fields)
+        told = dealt_out(sums, [*names, "_tree"], scale.keys * trees).groupBy(*names, "_tree").applyInPandas(fit_tree, fields)
         told = told.groupBy(*names, "_bin").agg((F.sum("_said") / F.greatest(F.sum("_told"), F.lit(1.0))).alias("_said"))
         answers = short.unionByName(told)
     answers = cut_lineage(answers)

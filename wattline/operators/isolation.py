@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from wattline.plans.attach import attach
 from wattline.plans.missing import nan_is_missing
 from wattline.plans.percentiles import percentile_name, percentiles
-from wattline.plans.scale import Scale, measure
+from wattline.plans.scale import Scale, dealt_out, measure
 from wattline.plans.series import running
 from wattline.schema import KEYS, TS, VALUE
 from wattline.session import cut_lineage
@@ -187,7 +187,7 @@ def isolation_scores(
     """Score in (0, 1) of every distinct value of a key, with its number of rows; 1 is isolated."""
     scale = scale or measure(df, keys)
     pool = draw_pool(df, trees, sample, seed, keys, ts, value, scale)
-    steps = fit_steps(pool, trees, sample, seed, keys, ts)
+    steps = fit_steps(dealt_out(pool, keys, scale.keys), trees, sample, seed, keys, ts)
     values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))

@@ -50,3 +50,13 @@ def measure(df: DataFrame, keys: Sequence[str]) -> Scale:
         .first()
     )
     return Scale(totals["keys"], totals["largest"] or 0, totals["rows"] or 0)
+
+
+def dealt_out(df: DataFrame, by: Sequence[str], groups: int, a_task: int = 256) -> DataFrame:
+    """`df` shuffled `by` columns into at least the session's number of partitions, for groups that cost time, not bytes.
+
+    Left to itself, adaptive execution merges partitions of few bytes, and a few tasks do all the work.  A
+    grouping by the same columns needs no further shuffle.  Tasks get about `a_task` of the `groups` at most.
+    """
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(groups, max(wanted, -(-groups // a_task)))), *by)
