@@ -24,7 +24,7 @@ from wattline.operators import (
 )
 from wattline.plans.attach import attach, join_on
 from wattline.plans.percentiles import percentiles
-from wattline.plans.scale import measure
+from wattline.plans.scale import measure, row_bytes
 from wattline.plans.series import with_position
 
 
@@ -222,3 +222,16 @@ def test_lag_correlation_without_a_row_per_lag(make, uneven):
     for lag in range(9):
         pairs = [(y, line[i - lag][1]) for i, (y, _) in enumerate(line) if i >= lag and y is not None and line[i - lag][1] is not None]
         assert got["a", lag] == pytest.approx(np.corrcoef(*zip(*pairs))[0, 1])
+
+
+def test_wide_tables_are_not_broadcast(uneven):
+    """The limit counts bytes as well as rows; the result is the same."""
+    scale = measure(uneven, ["meter_id"])
+    facts = uneven.groupBy("meter_id").agg(F.max("power_kw").alias("top"), F.collect_list("power_kw").alias("all"))
+    facts = facts.withColumn("all", F.size("all"))
+    wide = replace(scale, broadcast_bytes=100)
+    assert scale.may_broadcast(facts) and not wide.may_broadcast(facts)
+    assert rows_of(attach(uneven, facts, ["meter_id"], scale)) == rows_of(attach(uneven, facts, ["meter_id"], wide))
+    unknown = replace(wide, rows=0, largest=0)
+    assert rows_of(attach(uneven, facts, ["meter_id"], unknown)) == rows_of(attach(uneven, facts, ["meter_id"], scale))
+    assert row_bytes(facts.schema) == 48 and row_bytes(uneven.select(F.array("power_kw")).schema) == 128

@@ -42,7 +42,7 @@ def attach(
 
     A NULL key is a key like any other, as it is for a window or a group.
 
-    Up to `scale.broadcast_rows` keys the table is broadcast and `df` is not shuffled.  Beyond that
+    Up to `scale.broadcast_rows` keys, and as many bytes, the table is broadcast and `df` is not shuffled.  Beyond that
     the part of the table for hot keys is broadcast, and the other rows find theirs in a shuffle join
     in which no key is large.  Hot rows pass through that join spread by a hash of their columns, so
     `df` is read once.
@@ -50,8 +50,10 @@ def attach(
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     scale = scale or measure(df, keys)
-    if scale.broadcastable:
+    if scale.may_broadcast(table):
         return join_on(df, F.broadcast(table), keys, how, null_safe=True)
+    if not scale.rows:  # the caller knew the size of the table only
+        scale = replace(measure(df, keys), keys=scale.keys)
     names = [c for c in table.columns if c not in keys]
     stored = cut_lineage(table)
     hot = hot_keys(df, keys, scale)
@@ -94,7 +96,7 @@ def attach_to_copies(
     Nothing tells such copies apart, so hot rows are not shuffled at all: they are read a second time
     and meet a broadcast.
     """
-    if scale.broadcastable:
+    if scale.may_broadcast(table):
         return join_on(df, F.broadcast(table), keys, "inner", null_safe)
     stored = cut_lineage(table)
     hot = F.broadcast(hot_keys(df, keys, scale))

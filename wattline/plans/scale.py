@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,7 @@ class Scale:
     largest: int  # rows of the longest key
     rows: int  # rows of all keys
     broadcast_rows: int = 200_000  # a per-key table up to this size is broadcast
+    broadcast_bytes: int = 128 << 20  # if its rows, as wide as their types say, are not more than this together
     hot_parts: int = 10_000  # a key with more than rows / hot_parts rows is hot: at most hot_parts of them
     series_rows: int = 2_000_000  # a key up to this length fits one window partition
     percentile_rows: int = 100_000  # a key up to this length fits one in-memory value map
@@ -40,6 +42,21 @@ class Scale:
     def short_percentile(self) -> bool:
         return self.largest <= self.percentile_rows
 
+    def may_broadcast(self, table: DataFrame) -> bool:
+        """Whether a table with at most a row per key is small enough, in rows and in bytes."""
+        return self.broadcastable and self.keys * row_bytes(table.schema) <= self.broadcast_bytes
+
+
+def row_bytes(kind: T.DataType) -> int:
+    """About how many bytes a value takes: text as 32, a list as 16 of its elements."""
+    if isinstance(kind, T.StructType):
+        return sum(row_bytes(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 * row_bytes(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 16 * (row_bytes(kind.keyType) + row_bytes(kind.valueType))
+    return 32 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
 
 def measure(df: DataFrame, keys: Sequence[str]) -> Scale:
     """Count the keys, the rows and the rows of the longest key of `df`."""
