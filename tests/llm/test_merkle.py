@@ -111,3 +111,13 @@ def test_joins_are_equijoins_on_indices(spark):
         assert not re.search("Cartesian|NestedLoop|Window", plan)
         got = {r["idx"]: bytes(r["right"]).hex() for r in met.collect()}
         assert [got[k] for k in range(4)] == ["".join(x * 32 for x in re.findall("..", text)) for text in right]
+
+
+def test_a_plan_holds_few_levels(spark):
+    """Proofs over ten levels are as small a plan as over five: the driver keeps the whole of it."""
+    sizes = []
+    for rows in (2**4 + 1, 2**9 + 1):
+        df = spark.range(rows).select(F.lit("a").alias("source"), F.col("id").alias("doc_id"))
+        made = merkle.manifest(df, merkle.leaf(F.col("doc_id")), "source", ["doc_id"], {"doc_id": F.col("doc_id")}, 2)
+        sizes.append(len(re.findall(r"\bJoin\b", made.proofs()._jdf.queryExecution().optimizedPlan().toString())))
+    assert sizes[0] == sizes[1] <= 2 * merkle.PLAN_LEVELS

@@ -5,7 +5,8 @@ the others of its run by equijoins on computed sibling indices: idx XOR 1 in bin
 slots of the run otherwise.  Index keys are unique, so a source that holds a third of all rows is dealt
 out like any other.  Rows in slot zero then emit the parents.  Every level is stored, so the next one
 starts from a table, and paths of siblings are handed down again from the root: a node adds its own
-siblings to its parent's path.  Only the size of the largest tree and the root reach the driver.
+siblings to its parent's path, and paths are stored on the way, so no query holds more than a few levels
+however many there are.  Only the size of the largest tree and the root reach the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from wattline.llm.common import stored
 from wattline.llm.order import numbered
 
 _NONE = bytearray()
+#: Levels whose joins one query may hold when paths are handed down: the driver keeps the whole plan of a query.
+PLAN_LEVELS = 3
 
 
 def field(column: Column) -> Column:
@@ -86,13 +89,13 @@ def _levels(nodes: DataFrame, arity: int, name: str) -> list[DataFrame]:
     return levels
 
 
-def _paths(levels: list[DataFrame], top: DataFrame, arity: int) -> DataFrame:
+def _paths(levels: list[DataFrame], top: DataFrame, arity: int, name: str) -> DataFrame:
     """The rows of the lowest level with `path`, their siblings from there to the root of roots.
 
     `top` has the path above each tree's root, and columns for all nodes of the tree.
     """
     below, told = None, [c for c in top.columns if c not in ("tree", "path")]
-    for level in reversed(levels):
+    for number, level in reversed(list(enumerate(levels))):
         root = level.filter("n = 1").join(top, "tree")
         if below is None:
             found = root
@@ -102,6 +105,8 @@ def _paths(levels: list[DataFrame], top: DataFrame, arity: int) -> DataFrame:
             inner = level.filter("n > 1").join(above, met).drop("_tree", "_idx")
             own = F.array(F.struct("left", "right"))
             found = inner.withColumn("path", F.concat(own, "path")).unionByName(root)
+        if number and number % PLAN_LEVELS == 0:
+            found = stored(found.select("tree", "idx", "path", *told), f"{name}-{number}")
         below = found
     return found
 
@@ -140,10 +145,10 @@ class Manifest:
             none = F.lit(None)
             digests = [none.cast("binary").alias(c) for c in ("leaf", "subroot", "root")]
             return self.empty.select(*self.keep, *digests, none.cast(path).alias("path"))
-        start = _roots(self.top).select("tree", F.array().cast(path).alias("path"))
-        over = _paths(self.top, start, self.arity)
-        over = over.select(F.col("group").alias("tree"), "path", F.col("hash").alias("subroot"))
-        found = _paths(self.levels, over, self.arity)
+        start = stored(_roots(self.top).select("tree", F.array().cast(path).alias("path")), "manifest-start")
+        over = _paths(self.top, start, self.arity, "manifest-top-paths")
+        over = stored(over.select(F.col("group").alias("tree"), "path", F.col("hash").alias("subroot")), "manifest-over")
+        found = _paths(self.levels, over, self.arity, "manifest-paths")
         root = F.lit(bytearray(self.root)).alias("root")
         return found.select(*self.keep, F.col("hash").alias("leaf"), "subroot", root, "path")
 
