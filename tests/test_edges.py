@@ -250,3 +250,13 @@ def test_several_key_columns(make):
     assert rolling.rolling_cv(df, keys=keys).count() == 30
     assert anomalies.robust_z(df, None, keys=keys).count() == 30
     assert autocorrelation.acf(df, 5, keys=keys).count() == 5
+
+
+def test_a_change_of_just_the_threshold_is_normal(make):
+    """29.48 after 36.85 and 178.44 after 148.70 are 20 percent in decimals, more than that in doubles; so is 3.6 after 3."""
+    pairs = [([36.85], [29.48]), ([148.70], [178.44]), ([3.0], [3.6]), ([1.0, 0.1, 0.2], [1.56]), ([3.0], [3.61]), ([0.0], [5.0]), ([1e30], [1.3e30])]
+    rows = [(str(k), hour + 24 * day, x) for k, pair in enumerate(pairs) for day, values in enumerate(pair) for hour, x in enumerate(values)]
+    found = {r["meter_id"]: r["status"] for r in energy.daily_change_status(make(rows)).filter("date = '2026-01-02'").collect()}
+    assert found == {"0": "normal", "1": "normal", "2": "normal", "3": "normal", "4": "anomaly", "5": "normal", "6": "anomaly"}
+    odd = energy.daily_change_status(make(rows), 100 / 3).filter("date = '2026-01-02'")
+    assert {r["status"] for r in odd.collect()} == {"normal"}
