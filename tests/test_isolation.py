@@ -102,3 +102,17 @@ def test_the_lonely_value_scores_highest(make):
     scores = {r["power_kw"]: (r["score"], r["_rows"]) for r in isolation.isolation_scores(df, 50).collect()}
     assert max(scores, key=lambda v: scores[v][0]) == 50
     assert all(0 < s < 1 for s, _ in scores.values()) and sum(n for _, n in scores.values()) == 201
+
+
+def test_short_keys_grow_together_as_alone(spark):
+    """A group holds many short keys: their paths are those of each key alone."""
+    rng = np.random.default_rng(3)
+    parts = [np.sort(rng.integers(0, 40, n) / 4.0) for n in (1, 2, 7, 66, 200, 256)]
+    own = np.array([isolation.key_number((str(k),), 42) for k in range(len(parts))])
+    starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
+    together = isolation.grow_short(np.concatenate(parts), starts, 100, own)
+    for values, start, number in zip(parts, starts, own):
+        bounds, level = isolation.grow_steps(values, 100, 256, int(number))
+        np.testing.assert_allclose(together[start : start + len(values)], level[np.searchsorted(bounds, values)], rtol=1e-12, atol=1e-12)
+    df = spark.range(3000).selectExpr("id % 1500 as k", "timestamp_ntz'2024-01-01 00:00:00' as ts", "cast(id as double) as _v", "2L as _n")
+    assert isolation.fit_steps(df, 10, 16, 1, ["k"], "ts", 8).count() == 3000
