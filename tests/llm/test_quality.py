@@ -35,3 +35,41 @@ def test_odd_rows(spark):
     assert sorted(r["features"] for r in out) == ["a", "b", "c", "c", "d"]
     assert {r["score"] for r in Q.score_quality(df, labels.limit(0)).collect()} == {0.5}
     assert Q.score_quality(df.limit(0), labels).count() == 0
+
+
+def plain_fit(x, good):
+    """Weights by Newton steps over every pair of a good and a bad row."""
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = Q._expanded(np.clip((x - mean) / scale, -8, 8))
+    pairs = (z[good][:, None] - z[~good]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(pairs @ w, -30, 30)))
+        bent = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + np.eye(len(w)) / 200_000
+        w += np.linalg.solve(bent, pairs.T @ p / len(pairs) - w / 200_000)
+    return w
+
+
+def test_all_pairs_count():
+    rng = np.random.default_rng(1)
+    for rows, columns, noise in ((300, 4, 0.3), (200, 3, 0.0), (300, 5, 5.0)):
+        x = rng.normal(size=(rows, columns))
+        good = x[:, 1] - x[:, 2] + noise * rng.normal(size=rows) > -0.8
+        want = plain_fit(x, good)
+        assert np.abs(Q.Ranking.fit(x, good).weights - want).max() < 1e-5 * max(1, np.abs(want).max())
+
+
+def test_all_labelled_rows_count(spark):
+    n = 45_000  # more than were once fitted
+    rng = np.random.default_rng(2)
+    words = ["word", "Word", "wörd", "42", "!!", "a", "reading,", "of", "x_y"]
+    texts = [" ".join(rng.choice(words, 3 + k % 9)) for k in range(n)]
+    good = [len(t) + int(rng.integers(0, 40)) > 50 for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(good)], "doc_id long, quality int").repartition(5)
+    x = np.array([r["features"] for r in Q.features(df).orderBy("doc_id").collect()])
+    want = Q.Ranking.fit(x, np.array(good))
+    for keep in (True, False):
+        got = Q.score_quality(df, labels, keep_text=keep).orderBy("doc_id").collect()
+        assert np.abs(np.array([r["score"] for r in got]) - want.score(x)).max() < 1e-9
+        assert abs(sum(r["predicted"] for r in got) - sum(good)) <= 1 + (np.abs(want.score(x) - Q.CUT) < 1e-9).sum()
